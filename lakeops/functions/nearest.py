@@ -98,18 +98,22 @@ def batch_best(scores: np.ndarray, chunk_ids: np.ndarray, k: int, positive_only:
     return best(question, chunk_ids[row], scores[row, question], k)
 
 
-def running_best(batches: Iterator[pa.RecordBatch], questions: Questions, scorer, k: int, positive_only: bool):
-    """Best ``k`` chunks per question over all batches of a task."""
-    state = None
+def running_best(batches: Iterator[pa.RecordBatch], questions: Questions, rankers: dict, k: int) -> dict:
+    """Best ``k`` chunks per ranker and question over all batches of a task, one batch at a time.
+
+    ``rankers`` maps a name to (scorer, positive scores only).
+    """
+    state: dict = {}
     step = max(1, CELLS // max(1, len(questions.ids)))
     for batch in batches:
         for start in range(0, batch.num_rows, step):
             part = compact(batch.slice(start, step))
             ids = np.array(part.column("chunk_id").to_pylist())
-            fresh = batch_best(scorer(questions, part), ids, k, positive_only)
-            if state is not None:
-                fresh = best(*[np.concatenate(pair) for pair in zip(state, fresh)], k)
-            state = fresh
+            for name, (scorer, positive_only) in rankers.items():
+                fresh = batch_best(scorer(questions, part), ids, k, positive_only)
+                if name in state:
+                    fresh = best(*[np.concatenate(pair) for pair in zip(state[name], fresh)], k)
+                state[name] = fresh
     return state
 
 

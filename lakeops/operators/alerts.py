@@ -74,7 +74,7 @@ def alerts_from_drift(drift: DataFrame, minimum: str | None = "WARNING") -> Data
 
 def clean_recipients(text) -> Column:
     """Non-blank trimmed addresses of a comma list; NULL gives none."""
-    parts = F.transform(F.split(F.coalesce(rules.as_column(text), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(rules.as_column(text), F.lit("")), ","), lambda a: F.trim(a))
     return F.filter(parts, lambda a: a != "")
 
 

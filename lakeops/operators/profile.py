@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeops.functions.rules import printed
+
 
 def distinct_per_day(df: DataFrame, key: str, day: str, name: str) -> DataFrame:
     """Distinct keys per day (Spark de-duplicates (day, key) before counting)."""
@@ -28,6 +30,12 @@ def prediction_distribution(df: DataFrame, prediction: str = "prediction") -> Da
     return counts.withColumn("prediction_rate", F.col("prediction_count") / total)
 
 
+def prediction_monitoring(df: DataFrame, target_env: str, prediction: str = "prediction") -> DataFrame:
+    """The same distribution with the value as text (NULL prints as ``None``) and the environment."""
+    rows = prediction_distribution(df, prediction)
+    return rows.withColumns({"prediction_value": printed("prediction_value"), "target_env": F.lit(target_env)})
+
+
 def confusion_matrix(
     df: DataFrame, label: str = "label", prediction: str = "prediction", weight: str | None = None
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ QUERY_COLUMNS = (
 )
 
 MAX_BROADCAST_QUESTIONS = 4096
-FRAGMENT_ROWS = 100_000
+FRAGMENT_ROWS = 20_000
 RECIPROCAL_OFFSET = 60
 
 
@@ -140,9 +141,9 @@ def hyperplane_bucket(vector, dimensions: int, bits: int) -> Column:
     """Bucket number from the signs of ``bits`` fixed pseudo-random projections."""
     v = as_column(vector)
     bucket = F.lit(0)
-    for bit in range(bits):
-        plane = F.array(*[F.lit(1.0 if (hash((bit, i)) >> 3) & 1 else -1.0) for i in range(dimensions)])
-        products = F.zip_with(v, plane, lambda a, b: a * b)
+    for bit, plane in enumerate(np.random.default_rng(0).standard_normal((bits, dimensions))):
+        weights = F.array(*[F.lit(float(x)) for x in plane])
+        products = F.zip_with(v, weights, lambda a, b: a * b)
         dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
         bucket = bucket + F.when(dot > 0, 1 << bit).otherwise(0)
     return bucket
@@ -176,13 +177,11 @@ def _search(questions: DataFrame, chunks: DataFrame, columns: Mapping[str, str],
     )
     arrow = to_arrow_schema(out)
 
+    rankers = {name: RANKERS[name] for name in names}
+
     def rank(held: nearest.Questions, batches):
-        batches = list(batches) if len(names) > 1 else batches
-        for name in names:
-            scorer, positive = RANKERS[name]
-            state = nearest.running_best(iter(batches), held, scorer, k, positive)
-            if state is not None:
-                yield nearest.best_rows(state, held, name, arrow)
+        for name, state in nearest.running_best(batches, held, rankers, k).items():
+            yield nearest.best_rows(state, held, name, arrow)
 
     few = q.limit(limit + 1).toArrow()
     if few.num_rows <= limit:
@@ -204,7 +203,7 @@ def _search(questions: DataFrame, chunks: DataFrame, columns: Mapping[str, str],
             if not some_questions.num_rows or not some_chunks.num_rows:
                 return arrow.empty_table()
             held = nearest.Questions.from_table(some_questions)
-            return pa.Table.from_batches(rank(held, some_chunks.to_batches()), schema=arrow)
+            return pa.Table.from_batches(rank(held, iter(some_chunks.to_batches())), schema=arrow)
 
         keys = ["block", "fragment"]
         partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, out)
@@ -261,39 +260,39 @@ def named_results(results: DataFrame, columns: Sequence[str], data: str = "data"
 # ---- context, prompts, evaluation ------------------------------------------------------------
 
 
-def context_rows(ranked: DataFrame, max_chars: int | Column = 6000, key: str = "query_id") -> DataFrame:
+def context_rows(ranked: DataFrame, max_chars: int | str = 6000, key: str = "query_id") -> DataFrame:
     """Context text per question from its ranked chunks, cut at ``max_chars`` with a marker.
 
-    ``ranked`` holds at most a few chunks per question (a top-k result), so the list per question is
-    small by construction.
+    ``max_chars`` is a number or the name of a column with the question's own limit. ``ranked`` is a
+    top-k result, so the list gathered per question has at most k entries.
     """
 
     def filled(column: str) -> Column:
         return F.nullif(F.col(column), F.lit(""))
 
-    name = F.coalesce(filled("display_name"), filled("file_name"), F.lit(UNKNOWN_DOCUMENT))
-    page = F.when(F.col("page_number").isNull(), "").otherwise(F.concat(F.lit(PAGE_PART), F.col("page_number").cast("string")))
-    lead, tail = SOURCE_HEADER.split("{}")
-    body = F.coalesce("chunk_text", F.lit(""))
-
     def stripped(text: Column) -> Column:
         return F.regexp_replace(text, r"\s+\z", "")
 
-    grouped = ranked.select(key, "rank", name.alias("n"), page.alias("p"), body.alias("t")).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "n", "p", "t"))).alias("__chunks"),
+    name = F.coalesce(filled("display_name"), filled("file_name"), F.lit(UNKNOWN_DOCUMENT))
+    page = F.concat(F.lit(PAGE_PART), F.col("page_number").cast("string"))
+    lead, tail = SOURCE_HEADER.split("{}")
+    limit = F.max(max_chars) if isinstance(max_chars, str) else F.max(F.lit(max_chars))
+    chunk = F.struct("rank", name.alias("n"), F.coalesce(page, F.lit("")).alias("p"), F.coalesce("chunk_text", F.lit("")).alias("t"))
+    grouped = ranked.groupBy(key).agg(
+        F.array_sort(F.collect_list(chunk)).alias("chunks"),
         F.count(F.lit(1)).alias("retrieved_chunks"),
+        limit.alias("limit"),
     )
     parts = F.transform(
-        F.col("__chunks"),
+        F.col("chunks"),
         lambda c, i: stripped(
             F.concat(F.lit(lead), (i + 1).cast("string"), F.lit(tail), c["n"], c["p"], F.lit("\n"), c["t"])
         ),
     )
-    joined = grouped.withColumn("__text", F.array_join(parts, CONTEXT_SEPARATOR))
-    limit = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
-    cut = F.concat(stripped(F.substring(F.col("__text"), F.lit(1), limit)), F.lit(CONTEXT_MARKER))
-    context = F.when(F.length("__text") > limit, cut).otherwise(F.col("__text"))
-    return joined.select(key, context.alias("context_text"), "retrieved_chunks")
+    whole = grouped.withColumn("text", F.array_join(parts, CONTEXT_SEPARATOR))
+    cut = F.concat(stripped(F.substring(F.col("text"), F.lit(1), F.col("limit"))), F.lit(CONTEXT_MARKER))
+    context = F.when(F.length("text") > F.col("limit"), cut).otherwise(F.col("text"))
+    return whole.select(key, context.alias("context_text"), "retrieved_chunks")
 
 
 def question_rows(requests: DataFrame, defaults: Mapping[str, float] = REQUEST_DEFAULTS) -> DataFrame:
@@ -335,18 +334,9 @@ def answer_prompts(
     accepted = questions.filter(~F.col("is_rejected"))
     largest = k or accepted.agg(F.max("num_results")).first()[0] or 1
     found = similar_chunks(query_vectors, index, largest)
-    wanted = found.join(accepted.select("query_id", "num_results"), "query_id").filter(
-        F.col("rank") <= F.col("num_results")
-    )
-    detail = wanted.join(chunks, "chunk_id").select(
-        "query_id", "rank", "display_name", "file_name", "page_number", "chunk_text"
-    )
-    limits = accepted.select("query_id", "max_context_chars")
-    whole = context_rows(detail, F.lit(2**31 - 1)).join(limits, "query_id")
-    too_long = F.length("context_text") > F.col("max_context_chars")
-    cut = F.regexp_replace(F.substring(F.col("context_text"), F.lit(1), F.col("max_context_chars")), r"\s+\z", "")
-    text = F.when(too_long, F.concat(cut, F.lit(CONTEXT_MARKER))).otherwise(F.col("context_text"))
-    contexts = whole.select("query_id", text.alias("context_text"), "retrieved_chunks")
+    settings = accepted.select("query_id", "num_results", "max_context_chars")
+    wanted = found.join(settings, "query_id").filter(F.col("rank") <= F.col("num_results"))
+    contexts = context_rows(wanted.join(chunks, "chunk_id"), "max_context_chars")
     return prompt_rows(accepted, contexts)
 
 

@@ -118,12 +118,13 @@ def activation_events(requests: DataFrame, deployments: DataFrame, strict: bool
 def rollback_candidates(requests: DataFrame, deployments: DataFrame) -> DataFrame:
     """Per request (model, environment, current version): the newest other version whose own newest
     event is INACTIVE. Requests without one are absent."""
-    others = deployments.join(
-        requests.select(*MODEL_ENV, F.col("current_model_version")).distinct(), list(MODEL_ENV), "inner"
-    ).filter(F.col("model_version") != F.col("current_model_version"))
-    per_version = latest_by(
-        others, [*MODEL_ENV, "current_model_version", "model_version"], _order(deployments)
-    ).filter(F.col("deployment_status") == "INACTIVE")
+    per_version = latest_by(deployments, [*MODEL_ENV, "model_version"], _order(deployments)).filter(
+        F.col("deployment_status") == "INACTIVE"
+    )
+    wanted = requests.select(*MODEL_ENV, "current_model_version").distinct()
+    per_version = per_version.join(wanted, list(MODEL_ENV), "inner").filter(
+        F.col("model_version") != F.col("current_model_version")
+    )
     return latest_by(per_version, [*MODEL_ENV, "current_model_version"], _order(deployments))
 
 
@@ -153,7 +154,7 @@ def rollback_plan(requests: DataFrame, deployments: DataFrame, registry: DataFra
         .when(F.col("to_version").isNull(), "NO_CANDIDATE")
         .when(F.col("registered").isNull(), "NOT_IN_REGISTRY")
     )
-    return joined.drop("registered").withColumn("reason", reason)
+    return joined.withColumn("reason", reason).drop("registered")
 
 
 def rollback_deployment_events(plan: DataFrame, deployments: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,6 +17,9 @@ from lakeops.functions import text as tx
 from lakeops.functions.rules import as_column, blank
 from lakeops.operators.events import top_by
 
+# The kernels travel with the task, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(nearest)
+
 # Quality thresholds, header, separator, marker, answer and prompt texts, defaults.
 MIN_ALPHA_RATIO, MAX_NOISE = 0.55, 0.06
 SOURCE_HEADER, PAGE_PART = "[Fonte {}] ", ", página "
@@ -211,8 +215,6 @@ def _search(questions: DataFrame, chunks: DataFrame, columns: Mapping[str, str],
 
 
 def _ranked(found: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id", "ranker").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
     return found.withColumn("rank", F.row_number().over(order))
 

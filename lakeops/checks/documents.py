@@ -11,7 +11,7 @@ from lakeops.checks.base import Tables, query, r6, scratch_folder
 from lakeops.functions import text as tx
 from lakeops.operators import retrieval as rt
 from lakeops.operators.events import newest, new_events
-from lakeops.sources.tables import scan_knowledge
+from lakeops.sources.tables import scan_knowledge, spread
 from lakeops.plans.documents import Stages, run_documents
 from lakeops.streaming.ingest import stream_new_chunks
 
@@ -21,8 +21,12 @@ STEP = SIZE - OVERLAP
 # ---- stand-ins: one page per document row, the source is the file ---------------------------------
 
 
+def documents(t: Tables) -> DataFrame:
+    return spread(t.documents, "doc_id")
+
+
 def pages(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return documents(t).select(
         F.col("source").alias("document_id"),
         F.concat("source", F.lit(".pdf")).alias("file_name"),
         F.col("doc_id").alias("page_number"),
@@ -51,7 +55,7 @@ def _hash_vector_sql(text: str) -> str:
 
 
 def chunks(t: Tables) -> DataFrame:
-    rows = rt.chunk_rows(t.documents, "text", SIZE, OVERLAP, ["doc_id", "source", "lang"])
+    rows = rt.chunk_rows(documents(t), "text", SIZE, OVERLAP, ["doc_id", "source", "lang"])
     return rt.chunk_identity(rows, ["doc_id"])
 
 
@@ -96,7 +100,7 @@ def k3(t: Tables) -> DataFrame:
 
 @query("k4_chunks", f"WITH {WINDOWS_SQL} SELECT doc_id, position, chunk_text FROM chunks")
 def k4(t: Tables) -> DataFrame:
-    return rt.chunk_rows(t.documents, "text", SIZE, OVERLAP, ["doc_id"])
+    return rt.chunk_rows(documents(t), "text", SIZE, OVERLAP, ["doc_id"])
 
 
 @query("k5_chunk_identity", f"WITH {WINDOWS_SQL}, {IDENTITY_SQL} SELECT chunk_id, doc_id, chunk_text_normalized, sha256(chunk_text_normalized) AS chunk_hash FROM identified")
@@ -106,7 +110,7 @@ def k5(t: Tables) -> DataFrame:
 
 @query("k6_hash_embedding", f"SELECT doc_id, {VECTOR_TEXT_SQL.format(_hash_vector_sql('text'))} AS vector_text FROM documents")
 def k6(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.hash_embedding("text").alias("v")).select("doc_id", text_of("v").alias("vector_text"))
+    return documents(t).select("doc_id", tx.hash_embedding("text").alias("v")).select("doc_id", text_of("v").alias("vector_text"))
 
 
 @query("k7_embedding_rows", f"WITH {WINDOWS_SQL}, {IDENTITY_SQL} SELECT chunk_id, 'offline-hash' AS embedding_model, {VECTOR_TEXT_SQL.format(_hash_vector_sql('chunk_text'))} AS vector_text FROM identified")

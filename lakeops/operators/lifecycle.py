@@ -84,35 +84,32 @@ def active_deployments(deployments: DataFrame, strict: bool = False) -> DataFram
     return latest_by(deployments.filter("is_active"), MODEL_ENV, _order(deployments))
 
 
-DEPLOYMENT_COLUMNS = (
-    "model_name", "model_version", "artifact_path", "source_env", "target_env",
-    "deployment_status", "is_active", "run_id", "notes",
-)
-
-
 def activation_events(requests: DataFrame, deployments: DataFrame, strict: bool = False) -> DataFrame:
     """Deployment events of activation requests: an INACTIVE event for the current active deployment
     (step 1), then the new active one (step 2)."""
-    current = active_deployments(deployments, strict).select(
-        *MODEL_ENV, *[F.col(c).alias(f"old_{c}") for c in ("model_version", "artifact_path", "source_env", "run_id")]
-    )
-    retired = requests.join(current, list(MODEL_ENV), "inner").select(
+    carried = ("model_version", "artifact_path", "source_env", "run_id")
+    current = active_deployments(deployments, strict).select(*MODEL_ENV, *[F.col(c).alias(f"old_{c}") for c in carried])
+    joined = requests.join(current, list(MODEL_ENV), "left")
+    # Fixed value: note text.
+    retired_note = F.concat(F.lit("Desativado por nova ativacao da versao "), F.col("model_version"))
+    rows = F.stack(
+        F.lit(2),
+        F.lit(1), *[F.col(f"old_{c}") for c in carried], F.lit("INACTIVE"), F.lit(False), retired_note,
+        F.lit(2), *[F.col(c) for c in carried], F.col("deployment_status"), F.lit(True), F.col("notes"),
+    ).alias("step", *[f"new_{c}" for c in carried], "new_status", "is_active", "new_notes")
+    events = joined.select(*MODEL_ENV, F.col("old_model_version").isNotNull().alias("had_active"), rows)
+    return events.filter(F.col("had_active") | F.col("is_active")).select(
         "model_name",
-        F.col("old_model_version").alias("model_version"),
-        F.col("old_artifact_path").alias("artifact_path"),
-        F.col("old_source_env").alias("source_env"),
+        F.col("new_model_version").alias("model_version"),
+        F.col("new_artifact_path").alias("artifact_path"),
+        F.col("new_source_env").alias("source_env"),
         "target_env",
-        F.lit("INACTIVE").alias("deployment_status"),
-        F.lit(False).alias("is_active"),
-        F.col("old_run_id").alias("run_id"),
-        # Fixed value: note text.
-        F.concat(F.lit("Desativado por nova ativacao da versao "), F.col("model_version")).alias("notes"),
-        F.lit(1).alias("step"),
-    )
-    started = requests.select(
-        *[c for c in DEPLOYMENT_COLUMNS if c != "is_active"], F.lit(True).alias("is_active"), F.lit(2).alias("step")
+        F.col("new_status").alias("deployment_status"),
+        "is_active",
+        F.col("new_run_id").alias("run_id"),
+        F.col("new_notes").alias("notes"),
+        "step",
     )
-    return retired.unionByName(started)
 
 
 def rollback_candidates(requests: DataFrame, deployments: DataFrame) -> DataFrame:

@@ -59,72 +59,52 @@ def constant_accuracy(df: DataFrame, label: str = "label", constant: float | Non
     return df.agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("accuracy"))
 
 
-def _slots(column: str, data_type: T.DataType) -> tuple[Column, Column, Column]:
-    """A value as exactly one of (bigint, double, text), so distinct counting needs no formatting
-    of numbers and never confuses types."""
-    value = F.col(column)
-    integer, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
-    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
-        integer = value.cast("bigint")
-    elif isinstance(data_type, T.TimestampType):
-        integer = F.unix_micros(value)
-    elif isinstance(data_type, T.DateType):
-        integer = F.unix_date(value).cast("bigint")
-    elif isinstance(data_type, (T.FloatType, T.DoubleType)):
-        real = value.cast("double")
-    elif isinstance(data_type, T.BinaryType):
-        text = F.hex(value)
-    elif isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)):
-        text = F.to_json(F.struct(value))
-    else:
-        text = value.cast("string")
-    return integer, real, text
-
-
-def _distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """Distinct non-NULL values per column in long form: one shuffle on (feature, value) for all
-    columns. Several ``countDistinct`` in one aggregate would instead expand every row per column."""
-    arms = []
-    for position, field in enumerate(fields):
-        arms.append(F.lit(position))
-        arms.extend(_slots(field.name, field.dataType))
-    long = df.select(F.stack(F.lit(len(fields)), *arms).alias("feature", "i", "d", "t"))
-    present = long.filter(F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull())
-    values = present.groupBy("feature", "i", "d", "t").agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("feature").agg(F.count(F.lit(1)).alias("distinct_values"))
+def _value_profile(df: DataFrame, data_type: T.DataType, columns: Sequence[str]) -> DataFrame:
+    """Profile of equally typed columns: one count per (feature, value), then all figures from the
+    counted values. A value that fills a third of a column is one row per task before the shuffle."""
+    values = df.select(*columns).unpivot([], list(columns), "feature_name", "v")
+    counted = values.groupBy("feature_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    v, n = F.col("v"), F.col("n")
+    total = F.sum(F.when(v.isNotNull(), n))
+    mean = F.sum(v.cast("double") * n) / total if isinstance(data_type, T.NumericType) else F.lit(None)
+    return counted.groupBy("feature_name").agg(
+        F.sum(n).alias("row_count"),
+        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
+        F.count(v).alias("distinct_values"),
+        mean.cast("double").alias("mean_value"),
+        F.min(v).cast("string").alias("min_value"),
+        F.max(v).cast("string").alias("max_value"),
+    )
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Raw profile, one row per known column: counts, distinct non-NULL values, mean, min, max."""
+    """Raw profile, one row per known column: counts, distinct non-NULL values, mean, min, max.
+
+    Columns are grouped by data type. Each type is one scan of its own columns, one shuffle of its
+    distinct values and no formatting of numbers. Several ``countDistinct`` in one aggregate would
+    instead expand every row per column, and a job per column would scan once per column.
+    """
     wanted = set(columns)
     fields = [f for f in df.schema.fields if f.name in wanted]
     if not fields:
         raise ValueError("none of the feature columns exists in the input")
-    wide = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count(f.name).alias(f"n{i}") for i, f in enumerate(fields)],
-        *[F.avg(f.name).cast("double").alias(f"a{i}") for i, f in enumerate(fields) if isinstance(f.dataType, T.NumericType)],
-        *[F.min(f.name).cast("string").alias(f"l{i}") for i, f in enumerate(fields)],
-        *[F.max(f.name).cast("string").alias(f"h{i}") for i, f in enumerate(fields)],
-    )
-    no_mean = F.lit(None).cast("double")
+    by_type: dict[str, list[T.StructField]] = {}
+    for f in fields:
+        by_type.setdefault(f.dataType.simpleString(), []).append(f)
+    found = union_all([_value_profile(df, group[0].dataType, [f.name for f in group]) for group in by_type.values()])
     arms = []
-    for i, f in enumerate(fields):
-        numeric = isinstance(f.dataType, T.NumericType)
-        arms += [
-            F.lit(i), F.lit(f.name), F.lit(f.dataType.simpleString()), F.lit(numeric), F.col(f"n{i}"),
-            F.col(f"a{i}") if numeric else no_mean, F.col(f"l{i}"), F.col(f"h{i}"),
-        ]
-    names = ("feature", "feature_name", "data_type", "is_numeric", "filled", "mean_value", "min_value", "max_value")
-    rows = wide.select("row_count", F.stack(F.lit(len(fields)), *arms).alias(*names))
-    return rows.join(_distinct_counts(df, fields), "feature", "left").select(
+    for f in fields:
+        arms += [F.lit(f.name), F.lit(f.dataType.simpleString()), F.lit(isinstance(f.dataType, T.NumericType))]
+    names = df.sparkSession.range(1).select(
+        F.stack(F.lit(len(fields)), *arms).alias("feature_name", "data_type", "is_numeric")
+    )
+    zero = F.lit(0).cast("bigint")
+    return names.join(found, "feature_name", "left").select(
         "feature_name",
         "data_type",
         "is_numeric",
-        "row_count",
-        (F.col("row_count") - F.col("filled")).alias("null_count"),
-        F.coalesce((F.col("row_count") - F.col("filled")) / F.nullif("row_count", F.lit(0)), F.lit(0.0)).alias("null_rate"),
-        F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
+        *[F.coalesce(c, zero).alias(c) for c in ("row_count", "null_count", "distinct_values")],
+        F.coalesce(F.col("null_count") / F.col("row_count"), F.lit(0.0)).alias("null_rate"),
         "mean_value",
         "min_value",
         "max_value",

@@ -36,7 +36,7 @@ QUERY_COLUMNS = (
 )
 
 MAX_BROADCAST_QUESTIONS = 4096
-FRAGMENT_ROWS = 20_000
+FRAGMENT_ROWS, BLOCK_FACTOR = 20_000, 4
 RECIPROCAL_OFFSET = 60
 
 
@@ -194,7 +194,7 @@ def _search(questions: DataFrame, chunks: DataFrame, columns: Mapping[str, str],
         held = nearest.Questions.from_table(few)
         partial = c.mapInArrow(lambda batches: rank(held, batches), out)
     else:
-        blocks = -(-q.count() // limit)
+        blocks = -(-q.count() // (limit * BLOCK_FACTOR)) if limit > BLOCK_FACTOR else q.count()
         fragments = max(1, -(-c.count() // FRAGMENT_ROWS))
         left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
             "fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)).cast("array<bigint>"))

@@ -22,11 +22,18 @@ def scan(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A plain scan with fewer splits than cores, spread over the cores by its keys; a larger scan as
+    it is. For work that costs far more per row than moving the row (long texts)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_knowledge(
     spark: SparkSession, name: str, id_column: str, text_column: str, metadata_columns: Sequence[str] = ()
 ) -> DataFrame:
     """A document set mapped to ``document_id``, ``document_text`` and its metadata columns."""
-    return scan(spark, name).select(
+    return spread(scan(spark, name, [id_column, text_column, *metadata_columns]), id_column).select(
         F.col(id_column).alias("document_id"), F.col(text_column).alias("document_text"), *metadata_columns
     )
 

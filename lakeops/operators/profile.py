@@ -63,17 +63,20 @@ def _value_profile(df: DataFrame, data_type: T.DataType, columns: Sequence[str])
     """Profile of equally typed columns: one count per (feature, value), then all figures from the
     counted values. A value that fills a third of a column is one row per task before the shuffle."""
     values = df.select(*columns).unpivot([], list(columns), "feature_name", "v")
-    counted = values.groupBy("feature_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    v, n = F.col("v"), F.col("n")
-    total = F.sum(F.when(v.isNotNull(), n))
-    mean = F.sum(v.cast("double") * n) / total if isinstance(data_type, T.NumericType) else F.lit(None)
+    counted = values.groupBy("feature_name", "v").agg(F.expr("count(1) AS n"))
+    mean = "sum(CAST(v AS DOUBLE) * n) / sum(IF(v IS NULL, NULL, n))" if isinstance(data_type, T.NumericType) else "NULL"
     return counted.groupBy("feature_name").agg(
-        F.sum(n).alias("row_count"),
-        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
-        F.count(v).alias("distinct_values"),
-        mean.cast("double").alias("mean_value"),
-        F.min(v).cast("string").alias("min_value"),
-        F.max(v).cast("string").alias("max_value"),
+        *map(
+            F.expr,
+            (
+                "sum(n) AS row_count",
+                "coalesce(sum(IF(v IS NULL, n, NULL)), 0L) AS null_count",
+                "count(v) AS distinct_values",
+                f"CAST({mean} AS DOUBLE) AS mean_value",
+                "CAST(min(v) AS STRING) AS min_value",
+                "CAST(max(v) AS STRING) AS max_value",
+            ),
+        )
     )
 
 
@@ -92,19 +95,14 @@ def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for f in fields:
         by_type.setdefault(f.dataType.simpleString(), []).append(f)
     found = union_all([_value_profile(df, group[0].dataType, [f.name for f in group]) for group in by_type.values()])
-    arms = []
-    for f in fields:
-        arms += [F.lit(f.name), F.lit(f.dataType.simpleString()), F.lit(isinstance(f.dataType, T.NumericType))]
-    names = df.sparkSession.range(1).select(
-        F.stack(F.lit(len(fields)), *arms).alias("feature_name", "data_type", "is_numeric")
-    )
-    zero = F.lit(0).cast("bigint")
-    return names.join(found, "feature_name", "left").select(
+    facts = [(f.name, f.dataType.simpleString(), isinstance(f.dataType, T.NumericType)) for f in fields]
+    names = df.sparkSession.createDataFrame(facts, "feature_name STRING, data_type STRING, is_numeric BOOLEAN")
+    return names.join(found, "feature_name", "left").selectExpr(
         "feature_name",
         "data_type",
         "is_numeric",
-        *[F.coalesce(c, zero).alias(c) for c in ("row_count", "null_count", "distinct_values")],
-        F.coalesce(F.col("null_count") / F.col("row_count"), F.lit(0.0)).alias("null_rate"),
+        *[f"coalesce({c}, 0L) AS {c}" for c in ("row_count", "null_count", "distinct_values")],
+        "coalesce(null_count / row_count, 0D) AS null_rate",
         "mean_value",
         "min_value",
         "max_value",

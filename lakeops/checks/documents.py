@@ -119,14 +119,15 @@ def k7(t: Tables) -> DataFrame:
     return rows.select("chunk_id", "embedding_model", text_of("embedding").alias("vector_text"))
 
 
-@query("k7_embedding_provider")
+@query("k7_embedding_provider", f"WITH {WINDOWS_SQL}, {IDENTITY_SQL} SELECT chunk_id, 'length' AS embedding_model, CAST(length(chunk_text) AS BIGINT) AS size FROM identified")
 def k7_provider(t: Tables) -> DataFrame:
     def lengths(batches):
         for frame in batches:
             size = frame["chunk_text"].str.len().astype("float64")
             yield frame[["chunk_id"]].assign(embedding=[[s, 1.0] for s in size])
 
-    return rt.embedding_rows(chunks(t), "length", lengths)
+    rows = rt.embedding_rows(chunks(t), "length", lengths)
+    return rows.select("chunk_id", "embedding_model", F.element_at("embedding", 1).cast("bigint").alias("size"))
 
 
 @query("k18_index_rows", f"""WITH {WINDOWS_SQL}, {IDENTITY_SQL}, e AS (SELECT chunk_id, {_hash_vector_sql('chunk_text')} AS v FROM identified),
@@ -137,7 +138,13 @@ def k18(t: Tables) -> DataFrame:
     return rows.select("chunk_id", text_of("vector").alias("vector_text"))
 
 
-@query("k18_index_buckets")
+PLANES_SQL = " + ".join(
+    f"CASE WHEN list_dot_product(embedding::DOUBLE[], {[float(x) for x in plane]}::DOUBLE[]) > 0 THEN {1 << bit} ELSE 0 END"
+    for bit, plane in enumerate(rt.hyperplanes(64, 8))
+)
+
+
+@query("k18_index_buckets", f"SELECT vec_id, {PLANES_SQL} AS bucket FROM embeddings")
 def k18_buckets(t: Tables) -> DataFrame:
     return rt.index_rows(t.embeddings.select("vec_id", "embedding"), 64, 8).select("vec_id", "bucket")
 
@@ -278,17 +285,20 @@ def prompts(t: Tables) -> DataFrame:
     return rt.answer_prompts(asked, index, parts, asked_vectors)
 
 
-@query("k12_prompts", f"""WITH {WINDOWS_SQL}, {IDENTITY_SQL}, {REQUESTS_SQL}, q AS (SELECT *, {_hash_vector_sql('question')} AS qv FROM requests), c AS (SELECT *, {_hash_vector_sql('chunk_text')} AS cv FROM identified),
+PROMPTS_SQL = f"""WITH {WINDOWS_SQL}, {IDENTITY_SQL}, {REQUESTS_SQL}, q AS (SELECT *, {_hash_vector_sql('question')} AS qv FROM requests), c AS (SELECT *, {_hash_vector_sql('chunk_text')} AS cv FROM identified),
   pairs AS (SELECT query_id, num_results, cap, chunk_id, doc_id, source, chunk_text, round(list_cosine_similarity(qv, cv), 12) AS s FROM q, c),
   ranked AS (SELECT query_id, cap, chunk_text, doc_id AS page_number, upper(source) AS name, num_results, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS pos FROM pairs QUALIFY pos <= num_results),
   {_context_sql('cap')}
   SELECT query_id, retrieved_chunks, 'Pergunta:' || chr(10) || question || chr(10) || chr(10) || 'Contexto recuperado:' || chr(10) || context_text || chr(10) || chr(10) || 'Responda em português brasileiro com base apenas no contexto acima.' AS rag_prompt,
-  CAST(NULL AS VARCHAR) AS response, 800 AS max_tokens, 0.1::DOUBLE AS temperature FROM requests JOIN contexts USING (query_id)""")
+  CAST(NULL AS VARCHAR) AS response, 800 AS max_tokens, 0.1::DOUBLE AS temperature FROM requests JOIN contexts USING (query_id)"""
+
+
+@query("k12_prompts", PROMPTS_SQL)
 def k12(t: Tables) -> DataFrame:
     return prompts(t).select("query_id", "retrieved_chunks", "rag_prompt", "response", "max_tokens", "temperature")
 
 
-@query("k12_model_hook")
+@query("k12_model_hook", f"SELECT query_id, CAST(length(rag_prompt) AS VARCHAR) AS response FROM ({PROMPTS_SQL})")
 def k12_model(t: Tables) -> DataFrame:
     def shout(batches):
         for frame in batches:

@@ -119,6 +119,7 @@ def e8(t: Tables) -> DataFrame:
     predictions(t).createOrReplaceTempView("lakeops_predictions")
     labels(t).createOrReplaceTempView("lakeops_labels")
     rows = evaluate_tables(
-        t.spark, "lakeops_predictions", "lakeops_labels", metric_names=[*metrics.METRICS, "auc"], score="score", **WINDOWS
-    )
+        t.spark, "lakeops_predictions", "lakeops_labels", metric_names=[*metrics.METRICS, "auc"], score="score",
+        unique_predictions=True, **WINDOWS,
+    )
     return rows.select("metric_name", r6("metric_value"), "window_start", "window_end")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.checks.base import Tables, query, scratch_folder, scratch_schema, ts
 from lakeops.operators import clean, datasets
 from lakeops.operators.events import newest
+from lakeops.operators.profile import union_all
 from lakeops.plans.training import train_and_score
 
 RECORDS_SQL = """records AS (SELECT o_custkey AS id_cliente, o_orderpriority AS segmento, CASE o_orderkey % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'file' ELSE 'api' END AS source_type,
@@ -84,10 +87,31 @@ def f7(t: Tables) -> DataFrame:
     return datasets.score_rows(model, rows, keep)
 
 
-@query("f8_train_and_score")
+@query("f8_train_and_score", f"""WITH {RECORDS_SQL}, {CONSOLIDATED_SQL}, {LABELLED_SQL}, tables AS (
+  SELECT 'training' AS table_name, CASE WHEN id_cliente % 3 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS row_count FROM labelled GROUP BY 2
+  UNION ALL SELECT 'predictions', CASE WHEN id_cliente % 3 = 0 THEN 'test' ELSE 'train' END, count(*) FROM consolidated GROUP BY 2
+  UNION ALL SELECT 'metrics', m, 1 FROM (VALUES ('accuracy'), ('f1'), ('precision'), ('recall'), ('auc')) v(m)
+  UNION ALL SELECT 'confusion', 'test', count(*) FROM labelled WHERE id_cliente % 3 = 0
+  UNION ALL SELECT 'smoke', s, 1 FROM (VALUES ('STARTED'), ('SUCCESS')) v(s)) SELECT * FROM tables""")
 def f8(t: Tables) -> DataFrame:
+    """Rows per stored table of a whole run; the fitted predictions themselves have no SQL form."""
     schema, base = scratch_schema(t.spark), scratch_folder(t.spark)
-    result = train_and_score(
-        t.spark, records(t), schema, "clf", "v1", "r1", ts("2024-02-01"), "dev", "demo", base_path=f"{base}/models"
+    run = f"r{uuid.uuid4().hex[:8]}"
+    train_and_score(t.spark, records(t), schema, "clf", run, run, ts("2024-02-01"), "dev", "demo", base_path=f"{base}/models")
+
+    def counted(table: str, name: str, part: str, count: str = "count(1)", logged: bool = True) -> DataFrame:
+        rows = t.spark.table(f"{schema}.{table}")
+        rows = rows.filter(F.col("run_id") == run) if logged else rows
+        return rows.groupBy(F.expr(part).alias("part")).agg(F.expr(count).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "part", "row_count"
+        )
+
+    return union_all(
+        [
+            counted("tb_clientes_training_dataset_v2", "training", "dataset_split", logged=False),
+            counted("tb_model_predictions", "predictions", "dataset_split"),
+            counted("tb_model_evaluation", "metrics", "metric_name"),
+            counted("tb_model_confusion_matrix", "confusion", "'test'", "sum(record_count)"),
+            counted("tb_ml_smoke_runs", "smoke", "status"),
+        ]
     )
-    return result.predictions

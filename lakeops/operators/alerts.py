@@ -146,16 +146,16 @@ def delivery_outcomes(alerts: DataFrame, deliveries: DataFrame, keys: Sequence[s
     """Fold per-channel delivery results into the events.
 
     A PLANNED event becomes FAILED if any channel failed, SENT otherwise, NO_CHANNEL without any
-    delivery; other events pass through. Each channel counts once (its newest attempt), so the error
-    text is built from at most one entry per channel and needs no collected list.
+    delivery; other events pass through. Each of the three channels counts with its newest attempt, so
+    one aggregation with at most three errors per event replaces a collected list.
     """
-    last = latest_by(deliveries, [*keys, "channel"], newest("delivered_at", "delivery_status", "delivery_error"))
-    errors = [
-        F.max(F.when((F.col("channel") == c) & (F.coalesce("delivery_error", F.lit("")) != ""), F.col("delivery_error")))
-        for c in CHANNELS
-    ]
-    folded = last.groupBy(*keys).agg(
-        F.max(F.col("delivery_status") == "FAILED").alias("__failed"), F.concat_ws(" | ", *errors).alias("__errors")
+    attempt = F.struct("delivered_at", "delivery_status", "delivery_error")
+    newest_attempts = [F.max(F.when(F.col("channel") == c, attempt)).alias(c) for c in CHANNELS]
+    per_channel = deliveries.filter(F.col("channel").isin(*CHANNELS)).groupBy(*keys).agg(*newest_attempts)
+    failed = [F.coalesce(F.col(f"{c}.delivery_status") == "FAILED", F.lit(False)) for c in CHANNELS]
+    errors = [F.nullif(F.col(f"{c}.delivery_error"), F.lit("")) for c in CHANNELS]
+    folded = per_channel.select(
+        *keys, (failed[0] | failed[1] | failed[2]).alias("__failed"), F.concat_ws(" | ", *errors).alias("__errors")
     )
     planned = F.col("notification_status") == "PLANNED"
     outcome = F.when(F.col("__failed").isNull(), "NO_CHANNEL").when(F.col("__failed"), "FAILED").otherwise("SENT")

@@ -73,14 +73,16 @@ def new_events(
     keys: Sequence[str],
     order: Sequence[Column],
     done: Column | None = None,
+    unique_existing: bool = False,
 ) -> DataFrame:
     """Incoming events, one per key, whose key is not yet present among ``existing`` rows.
 
     ``done`` narrows the existing rows (for example to a SUCCESS status). Keys compare null-safe.
-    Existing keys are made distinct first, so a hot key adds one row to the anti join.
+    Existing keys are made distinct first, so a hot key adds one row to the anti join;
+    ``unique_existing`` saves that shuffle where the stored keys are known to be distinct.
     """
     seen = existing if done is None else existing.filter(done)
-    seen = seen.select(*keys).distinct()
+    seen = seen.select(*keys) if unique_existing else seen.select(*keys).distinct()
     fresh = latest_by(incoming, keys, order)
     return fresh.join(seen, null_safe(fresh, seen, keys), "left_anti")
 

@@ -62,32 +62,33 @@ def reconciled_counts(
     start=None,
     end=None,
     score: str | None = None,
+    unique_predictions: bool = False,
+    unique_labels: bool = False,
 ) -> DataFrame:
     """(prediction, label[, score], record_count) of the reconciled pairs without building the pairs.
 
     Both sides are counted per key before the join and the counts multiplied after it, so a key that
-    repeats on both sides contributes one joined row per value pair instead of its whole product.
+    repeats on both sides contributes one joined row per value pair instead of its whole product. A
+    side whose keys are known to be unique can skip its count, and with it one shuffle.
     """
     if not keys:
         raise ValueError("at least one join key is required")
     extra = [F.col(score).cast("double").alias("score")] if score else []
     values = ["prediction", *(["score"] if score else [])]
-    left = (
-        _windowed(predictions, prediction_timestamp, start, end)
-        .select(*keys, F.col(prediction).cast("double").alias("prediction"), *extra)
-        .groupBy(*keys, *values)
-        .agg(F.count(F.lit(1)).alias("n_predictions"))
-    )
-    right = (
-        _windowed(labels, label_timestamp, start, end)
-        .select(*keys, F.col(label).cast("double").alias("label"))
-        .groupBy(*keys, "label")
-        .agg(F.count(F.lit(1)).alias("n_labels"))
+
+    def counted(df: DataFrame, columns: Sequence[str], name: str, unique: bool) -> DataFrame:
+        if unique:
+            return df.withColumn(name, F.lit(1).cast("bigint"))
+        return df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias(name))
+
+    left = _windowed(predictions, prediction_timestamp, start, end).select(
+        *keys, F.col(prediction).cast("double").alias("prediction"), *extra
     )
-    joined = left.join(right, list(keys), "inner")
-    return joined.groupBy(*values, "label").agg(
-        F.sum(F.col("n_predictions") * F.col("n_labels")).alias("record_count")
+    right = _windowed(labels, label_timestamp, start, end).select(*keys, F.col(label).cast("double").alias("label"))
+    joined = counted(left, values, "n_predictions", unique_predictions).join(
+        counted(right, ["label"], "n_labels", unique_labels), list(keys), "inner"
     )
+    return joined.groupBy(*values, "label").agg(F.expr("sum(n_predictions * n_labels) AS record_count"))
 
 
 def with_baseline(current: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:

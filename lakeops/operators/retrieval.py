@@ -141,11 +141,16 @@ def embedding_rows(
     return rows.withColumn("embedding_model", F.lit(model))
 
 
+def hyperplanes(dimensions: int, bits: int) -> np.ndarray:
+    """Fixed pseudo-random directions, one row per bit."""
+    return np.random.default_rng(0).standard_normal((bits, dimensions))
+
+
 def hyperplane_bucket(vector, dimensions: int, bits: int) -> Column:
     """Bucket number from the signs of ``bits`` fixed pseudo-random projections."""
     v = as_column(vector)
     bucket = F.lit(0)
-    for bit, plane in enumerate(np.random.default_rng(0).standard_normal((bits, dimensions))):
+    for bit, plane in enumerate(hyperplanes(dimensions, bits)):
         weights = F.array(*[F.lit(float(x)) for x in plane])
         products = F.zip_with(v, weights, lambda a, b: a * b)
         dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeops.operators import retrieval as rt
 from lakeops.operators.profile import union_all
 from lakeops.operators.runs import STAGES, smoke_report
+from lakeops.sources.tables import overwrite_table
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,17 @@ class DocumentRun:
         return smoke_report(union_all(parts), [group])
 
 
+def table_writer(schema: str, project: str) -> Callable[[str, DataFrame], DataFrame]:
+    """Stage hand-over through tables ``tb_<project>_ai_<stage>``: write, then read back."""
+
+    def write(stage: str, rows: DataFrame) -> DataFrame:
+        name = f"{schema}.tb_{project}_ai_{stage}"
+        overwrite_table(rows, name)
+        return rows.sparkSession.table(name)
+
+    return write
+
+
 def run_documents(
     knowledge: DataFrame,
     stages: Stages,
@@ -53,25 +65,28 @@ def run_documents(
     overlap: int = 120,
     questions: DataFrame | None = None,
     k: int = 5,
+    write: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> DocumentRun:
     """``knowledge`` has document_id, document_text and metadata columns, which all stages carry.
 
-    A stage needs the one before it. ``questions`` (query_id, vector, document_id of the relevant
+    A stage needs the one before it. ``write`` (see :func:`table_writer`) stores each stage, so that the
+    next one reads it instead of computing it again; without it the stages stay lazy. ``questions`` (query_id, vector, document_id of the relevant
     document) feed the evaluation stage.
     """
     metadata = [c for c in knowledge.columns if c not in ("document_id", "document_text")]
     keep = ["document_id", *metadata]
+    write = write or (lambda stage, rows: rows)
     chunks = embeddings = index = scores = None
     if stages.chunking:
         rows = rt.chunk_rows(knowledge, "document_text", size, overlap, keep)
-        chunks = rt.chunk_identity(rows, ["document_id"])
+        chunks = write("chunks", rt.chunk_identity(rows, ["document_id"]))
     if stages.embeddings and chunks is not None:
-        embeddings = rt.embedding_rows(chunks, model, provider, keep=["chunk_id", *keep])
+        embeddings = write("embeddings", rt.embedding_rows(chunks, model, provider, keep=["chunk_id", *keep]))
     if stages.index and embeddings is not None:
-        index = rt.index_rows(embeddings)
+        index = write("index", rt.index_rows(embeddings))
     if stages.evaluation and index is not None and questions is not None:
         found = rt.similar_chunks(questions, index, k)
         relevant = questions.select("query_id", F.col("document_id").alias("wanted"))
         judged = found.join(index.select("chunk_id", "document_id"), "chunk_id").join(relevant, "query_id")
-        scores = rt.retrieval_scores(judged, questions, F.col("document_id") == F.col("wanted"))
+        scores = write("rag_eval", rt.retrieval_scores(judged, questions, F.col("document_id") == F.col("wanted")))
     return DocumentRun(knowledge, chunks, embeddings, index, scores)

@@ -28,7 +28,7 @@ def append_new_chunks(chunks: DataFrame, path: str, batch: int) -> None:
         stored = spark.read.parquet(path).filter(F.col("batch") != batch).select("chunk_hash")
     except AnalysisException:
         stored = chunks.select("chunk_hash").filter(F.lit(False))
-    fresh = new_events(chunks, stored, ["chunk_hash"], newest("chunk_id"))
+    fresh = new_events(chunks, stored, ["chunk_hash"], newest("chunk_id"), unique_existing=True)
     fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 

@@ -14,7 +14,7 @@ from lakeops.operators.drift import prediction_drift
 from lakeops.operators.events import event_rows, newest
 from lakeops.operators.retrieval import QUERY_COLUMNS
 from lakeops.operators.runs import catalog_inventory, readiness_report, run_summary
-from lakeops.plans.documents import Stages, run_documents
+from lakeops.plans.documents import Stages, run_documents, table_writer
 from lakeops.plans.medallion import run_layers
 from lakeops.plans.monitoring import prediction_drift_alerts, store_drift
 from lakeops.plans.training import train_and_score
@@ -113,14 +113,16 @@ def knowledge(spark):
     return spark.createDataFrame(rows, "document_id string, lang string, document_text string")
 
 
-def test_document_stages(spark):
+def test_document_stages(spark, schema):
     none = run_documents(knowledge(spark), Stages(), "m")
     assert none.chunks is None and none.report("lang").first().status == "FAILED"
     assert run_documents(knowledge(spark), Stages(embeddings=True), "m").embeddings is None
     chunked = run_documents(knowledge(spark), Stages(True, True, True), "m", size=120, overlap=20)
     questions = chunked.index.filter("position = 0") if "position" in chunked.index.columns else chunked.index
     questions = questions.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"), "document_id")
-    full = run_documents(knowledge(spark), Stages(True, True, True, True), "m", size=120, overlap=20, questions=questions)
+    write = table_writer(schema, "demo")
+    full = run_documents(knowledge(spark), Stages(True, True, True, True), "m", size=120, overlap=20, questions=questions, write=write)
+    assert spark.table(f"{schema}.tb_demo_ai_index").count() == full.index.count()
     assert full.rag_eval.filter("hit = 0").count() == 0
     report = full.report("lang").collect()
     assert all(r.chunks_count == r.embeddings_count == r.index_count > 0 for r in report)

@@ -70,11 +70,12 @@ def area_under_roc(
     spark = df.sparkSession
     parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = F.lit(1) if weight is None else F.col(weight)
-    complete = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    positive = F.col(label) > 0.5
-    counts = complete.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.sum(F.when(positive, n).otherwise(0)).cast("double").alias("p"),
-        F.sum(F.when(positive, 0).otherwise(n)).cast("double").alias("q"),
+    known = F.col(score).isNotNull()
+    # Conditional sums instead of a filter: the filter would reach the inputs and make this branch
+    # differ from other uses of the same counted rows, which then could not share their shuffles.
+    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.sum(F.when(known & (F.col(label) > 0.5), n).otherwise(0)).cast("double").alias("p"),
+        F.sum(F.when(known & (F.col(label) <= 0.5), n).otherwise(0)).cast("double").alias("q"),
     )
     ranged = counts.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id())
     below = F.sum("q").over(

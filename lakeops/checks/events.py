@@ -135,11 +135,11 @@ def a10_checks(t: Tables) -> DataFrame:
 @query("a11_run_summary", f"""WITH {RUNS_SQL} SELECT component, run_id, min(event_timestamp) FILTER (status = 'STARTED') AS started_at,
   max(event_timestamp) FILTER (status <> 'STARTED') AS finished_at, coalesce(arg_max(status, event_timestamp) FILTER (status <> 'STARTED'), 'STARTED') AS status,
   arg_max(message, event_timestamp) FILTER (status <> 'STARTED') AS message,
-  round(epoch_us(max(event_timestamp) FILTER (status <> 'STARTED')) / 1e6 - epoch_us(min(event_timestamp) FILTER (status = 'STARTED')) / 1e6, 3) AS duration_seconds
+  round((epoch_us(max(event_timestamp) FILTER (status <> 'STARTED')) - epoch_us(min(event_timestamp) FILTER (status = 'STARTED'))) / 1e6, 6) AS duration_seconds
   FROM runs GROUP BY 1, 2""")
 def a11(t: Tables) -> DataFrame:
     rows = runs.run_summary(run_events(t))
-    return rows.withColumn("duration_seconds", F.round("duration_seconds", 3) + 0.0)
+    return rows.withColumn("duration_seconds", F.round("duration_seconds", 6) + 0.0)
 
 
 @query("a12_lineage", "SELECT event_type AS parent_component, 'r' || user_id AS parent_run_id, 'child' AS child_component, 'c' || event_id AS child_run_id "

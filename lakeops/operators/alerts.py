@@ -15,6 +15,10 @@ CHANNELS = ("email", "slack", "teams")
 PLAN_TYPE = (
     "struct<channel:string,recipients:array<string>,subject:string,body:string,message:string,webhook_key:string>"
 )
+# How far each status is along the queue, for events of the same time.
+STATUS_STEPS = {
+    "PENDING": 0, "PLANNED": 1, "SKIPPED": 2, "NO_CHANNEL": 2, "NO_RECIPIENTS": 2, "FAILED": 2, "SENT": 2,
+}
 ALERT_KEY = ("model_name", "model_version", "run_id", "source_component", "metric_name", "entity_name")
 
 
@@ -138,7 +142,11 @@ def alerts_with_status(alerts: DataFrame, status: str, keys: Sequence[str] | Non
     """
     rows = alerts
     if keys:
-        rows = latest_by(alerts, keys, newest("event_timestamp", "notification_status"))
+        step = F.lit(-1)
+        for status_name, number in STATUS_STEPS.items():
+            step = F.when(F.col("notification_status") == status_name, number).otherwise(step)
+        order = [*newest("event_timestamp"), step.desc(), F.col("notification_status").desc()]
+        rows = latest_by(alerts, keys, order)
     return rows.filter(F.col("notification_status") == status).orderBy(F.col("event_timestamp").asc())
 
 

@@ -62,7 +62,8 @@ def constant_accuracy(df: DataFrame, label: str = "label", constant: float | Non
 def _value_profile(df: DataFrame, data_type: T.DataType, columns: Sequence[str]) -> DataFrame:
     """Profile of equally typed columns: one count per (feature, value), then all figures from the
     counted values. A value that fills a third of a column is one row per task before the shuffle."""
-    values = df.select(*columns).unpivot([], list(columns), "feature_name", "v")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
+    values = df.select(*quoted).unpivot([], quoted, "feature_name", "v")
     counted = values.groupBy("feature_name", "v").agg(F.expr("count(1) AS n"))
     mean = "sum(CAST(v AS DOUBLE) * n) / sum(IF(v IS NULL, NULL, n))" if isinstance(data_type, T.NumericType) else "NULL"
     return counted.groupBy("feature_name").agg(

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeops.operators.events import event_rows
 from lakeops.operators.metrics import METRICS, evaluate_pairs
+from lakeops.operators.policy import Policy, requests_from_metrics
 from lakeops.operators.reconcile import reconciled_counts
+from lakeops.sources.tables import append_events
 
 
 def evaluate_tables(
@@ -31,3 +34,30 @@ def evaluate_tables(
     )
     bounds = {"window_start": F.lit(start).cast("string"), "window_end": F.lit(end).cast("string")}
     return evaluate_pairs(counts, metric_names).withColumns(bounds)
+
+
+def store_evaluation(
+    metrics: DataFrame,
+    policy: Policy,
+    as_of,
+    env: str,
+    project: str,
+    model_name: str,
+    model_version: str | None,
+    run_id: str,
+    requested_by: str | None = None,
+    metrics_table: str = "tb_model_postprod_metrics",
+    requests_table: str = "tb_model_retraining_requests",
+) -> None:
+    """Append the metric rows of one run, then the retraining requests their values call for.
+
+    The requests come from the written rows, so the evaluation runs once.
+    """
+    version = F.lit(model_version).cast("string")
+    rows = event_rows(metrics, as_of, env, project, model_name=model_name, model_version=version, run_id=run_id)
+    append_events(rows, "tb_model_postprod_metrics", metrics_table)
+    at = F.col("event_timestamp") == F.lit(as_of).cast("timestamp")
+    mine = (F.col("run_id") == run_id) & (F.col("model_name") == model_name)
+    stored = metrics.sparkSession.table(metrics_table).filter(mine & at)
+    opened = event_rows(requests_from_metrics(stored, policy, requested_by), as_of, env, project)
+    append_events(opened, "tb_model_retraining_requests", requests_table)

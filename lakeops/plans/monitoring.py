@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakeops.operators.alerts import alerts_from_drift
 from lakeops.operators.drift import feature_drift, prediction_drift
@@ -58,26 +59,24 @@ def _events(rows, as_of, env, project, model_name, model_version, target_env, ru
 
 def store_drift(
     drift: DataFrame,
+    as_of,
+    env: str,
+    project: str,
+    model_name: str,
+    run_id: str,
     minimum: str = "WARNING",
     drift_table: str = "tb_model_drift_monitoring",
     alert_table: str = "tb_ml_alert_events",
     emit_alerts: bool = True,
 ) -> None:
-    """Append drift events, then the alerts raised from the stored batch.
+    """Append the drift events of one run, then the alerts raised from them.
 
-    The alerts are read back from the written rows of this run, so the drift plan runs once.
+    The alerts come from the written rows of the run, so the drift plan runs once.
     """
     append_events(drift, "tb_model_drift_monitoring", drift_table)
-    if not emit_alerts:
-        return
-    batch = drift.select("run_id", "model_name", "event_timestamp").limit(1).first()
-    if batch is None:
-        return
-    stored = drift.sparkSession.table(drift_table).filter(
-        f"run_id = '{batch.run_id}' AND model_name = '{batch.model_name}'"
-    )
-    newest = stored.filter(stored.event_timestamp == batch.event_timestamp)
-    raised = alerts_from_drift(newest, minimum).join(
-        newest.select("run_id", "model_name", "event_timestamp", "env", "project").distinct(), ["run_id", "model_name"]
-    )
-    append_events(raised, "tb_ml_alert_events", alert_table)
+    if emit_alerts:
+        mine = (F.col("run_id") == run_id) & (F.col("model_name") == model_name)
+        at = F.col("event_timestamp") == F.lit(as_of).cast("timestamp")
+        stored = drift.sparkSession.table(drift_table).filter(mine & at)
+        raised = event_rows(alerts_from_drift(stored, minimum), as_of, env, project)
+        append_events(raised, "tb_ml_alert_events", alert_table)

@@ -10,15 +10,20 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from lakeops.operators import clean, datasets, governance
+from lakeops.operators.alerts import AlertingConfig, alerts_with_status
 from lakeops.operators.drift import prediction_drift
 from lakeops.operators.events import event_rows, newest
+from lakeops.operators.policy import Policy
 from lakeops.operators.retrieval import QUERY_COLUMNS
 from lakeops.operators.runs import catalog_inventory, readiness_report, run_summary
+from lakeops.plans.evaluation import store_evaluation
+from lakeops.plans.notifications import plan_pending, record_outcomes
 from lakeops.plans.documents import Stages, run_documents, table_writer
 from lakeops.plans.medallion import run_layers
 from lakeops.plans.monitoring import prediction_drift_alerts, store_drift
 from lakeops.plans.training import train_and_score
 from lakeops.session import checkpoint_root
+from lakeops.sources.tables import append_events
 from lakeops.streaming.ingest import stream_new_chunks
 
 NOW = datetime(2024, 2, 1)
@@ -66,9 +71,9 @@ def test_store_drift(spark, schema):
     current = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (2.0,)], "prediction double")
     drift, alerts = prediction_drift_alerts(current, base, NOW, "dev", "demo", "m", "v", "prd", "r1")
     assert alerts.count() == 1
-    for _ in range(2):
-        store_drift(drift, drift_table=f"{schema}.drift", alert_table=f"{schema}.alerts")
-        drift = drift.withColumns({"run_id": F.lit("r2"), "event_timestamp": F.lit(datetime(2024, 2, 2))})
+    for run, at in (("r1", NOW), ("r2", datetime(2024, 2, 2))):
+        rows = drift.withColumns({"run_id": F.lit(run), "event_timestamp": F.lit(at)})
+        store_drift(rows, at, "dev", "demo", "m", run, drift_table=f"{schema}.drift", alert_table=f"{schema}.alerts")
     assert spark.table(f"{schema}.drift").groupBy("run_id").count().count() == 2
     rows = spark.table(f"{schema}.alerts").collect()
     assert sorted((r.run_id, r.severity, r.entity_name) for r in rows) == [("r1", "CRITICAL", "1.0"), ("r2", "CRITICAL", "1.0")]
@@ -192,3 +197,31 @@ def test_run_summary(spark):
 def test_checkpoint_root(spark):
     assert checkpoint_root(spark).endswith("checkpoint")
     assert checkpoint_root(spark, "/elsewhere").endswith("checkpoint")
+
+
+def test_alert_queue(spark, schema):
+    table = f"{schema}.alerts"
+    kind = "model_name string, model_version string, run_id string, source_component string, metric_name string, entity_name string, severity string, message string, notification_status string"
+    rows = [("m", None, f"r{i}", "drift_monitoring", "f1", None, "CRITICAL", "text", "PENDING") for i in range(3)]
+    append_events(event_rows(spark.createDataFrame(rows, kind), datetime(2024, 1, 1), "dev", "demo"), "tb_ml_alert_events", table)
+    config = AlertingConfig(email_enabled=True, slack_enabled=True, recipients="a@b.c")
+    planned = plan_pending(spark, table, config, NOW, f"{schema}.plan")
+    assert {(r.run_id, len(r.notification_plan)) for r in planned.collect()} == {("r0", 2), ("r1", 2), ("r2", 2)}
+    assert alerts_with_status(spark.table(table), "PENDING").count() == 0
+    sent = [("r0", "email", 1, "DELIVERED", None), ("r0", "slack", 1, "FAILED", "timeout"), ("r0", "slack", 2, "FAILED", "refused"), ("r1", "email", 1, "FAILED", "x"), ("r1", "email", 2, "DELIVERED", None)]
+    deliveries = spark.createDataFrame(sent, "run_id string, channel string, delivered_at int, delivery_status string, delivery_error string")
+    keys = {"model_name": F.lit("m"), "model_version": F.lit(None).cast("string"), "source_component": F.lit("drift_monitoring"), "metric_name": F.lit("f1"), "entity_name": F.lit(None).cast("string")}
+    record_outcomes(spark, table, deliveries.withColumns(keys), NOW)
+    newest_rows = {s: [r.run_id for r in alerts_with_status(spark.table(table), s).collect()] for s in ("PLANNED", "FAILED", "SENT", "NO_CHANNEL")}
+    assert newest_rows == {"PLANNED": [], "FAILED": ["r0"], "SENT": ["r1"], "NO_CHANNEL": ["r2"]}
+    assert spark.table(table).filter("notification_status = 'FAILED'").first().notification_error == "refused"
+
+
+def test_store_evaluation(spark, schema):
+    metrics = spark.createDataFrame([("f1", 0.61, "a", "b"), ("accuracy", 0.9, "a", "b"), ("support", 10.0, "a", "b")], "metric_name string, metric_value double, window_start string, window_end string")
+    policy = Policy({"f1": 0.7, "accuracy": 0.7}, open_on_postprod=True)
+    names = {"metrics_table": f"{schema}.metrics", "requests_table": f"{schema}.requests"}
+    store_evaluation(metrics, policy, NOW, "dev", "demo", "m", "v1", "r1", **names)
+    assert spark.table(f"{schema}.metrics").count() == 3
+    row = spark.table(f"{schema}.requests").collect()
+    assert [(r.request_status, r.trigger_type, r.run_id) for r in row] == [("OPEN", "POSTPROD_DEGRADATION", "r1")]

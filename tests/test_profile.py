@@ -76,3 +76,8 @@ def test_hot_value(spark):
     df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("v"))
     row = profile.feature_baseline(df, ["v"]).first()
     assert (row.row_count, row.distinct_count, row.min_value) == (60_000, 40_001, "-1")
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "x")], "`a.b` int, `c d` string")
+    assert {r.feature_name for r in profile.feature_baseline(df, ["a.b", "c d"]).collect()} == {"a.b", "c d"}

@@ -76,7 +76,7 @@ TAG_MISSING_SQL = "concat_ws(',', CASE WHEN NOT has_class THEN 'classificacao' E
   UNION ALL SELECT spec_id, 'missing_description_tag', '' FROM tables WHERE NOT has_tag UNION ALL SELECT spec_id, 'description_differs', '' FROM tables WHERE has_tag AND tag IS DISTINCT FROM table_description
   UNION ALL {COLUMN_RULES_SQL} UNION ALL SELECT spec_id, 'duplicate_column', column_name FROM names WHERE n > 1
   UNION ALL SELECT spec_id, 'column_without_tags', column_name FROM names ANTI JOIN low USING (spec_id, column_name)
-  UNION ALL SELECT spec_id, 'tags_of_unknown_column', column_name FROM low ANTI JOIN names USING (spec_id, column_name)
+  UNION ALL SELECT DISTINCT spec_id, 'tags_of_unknown_column', column_name FROM low ANTI JOIN names USING (spec_id, column_name)
   UNION ALL SELECT spec_id, 'missing_column_tags', column_name || ':' || {TAG_MISSING_SQL} FROM low WHERE NOT (has_pii AND has_class)""")
 def g1(t: Tables) -> DataFrame:
     return gov.audit_specs(tables(t), columns(t), column_tags(t))

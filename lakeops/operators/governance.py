@@ -67,9 +67,12 @@ def audit_specs(tables: DataFrame, columns: DataFrame, column_tags: DataFrame, k
     lower = columns.withColumn("column_name", F.lower("name"))
     tags = column_tags.withColumn("column_name", F.lower("column_name"))
     names = lower.groupBy(key, "column_name").agg(F.count(F.lit(1)).alias("n"))
-    tagged = tags.select(key, "column_name").distinct()
-    untagged = names.join(tagged, null_safe(names, tagged, (key, "column_name")), "left_anti")
-    unknown = tags.join(names, null_safe(tags, names, (key, "column_name")), "left_anti")
+    tagged = tags.groupBy(F.col(key).alias("__key"), F.col("column_name").alias("__name")).agg(F.count(F.lit(1)).alias("m"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("column_name").eqNullSafe(F.col("__name"))
+    # One full join answers all three questions about columns and their tags.
+    both = names.join(tagged, same, "full_outer").select(
+        F.coalesce(key, "__key").alias(key), F.coalesce("column_name", "__name").alias("column_name"), "n", "m"
+    )
     no_tags = F.array_except(_words(REQUIRED_COLUMN_TAGS), F.map_keys(F.coalesce("tags", F.create_map())))
     with_columns = columns.select(key).distinct()
     empty = tables.join(with_columns, null_safe(tables, with_columns, (key,)), "left_anti")
@@ -90,9 +93,15 @@ def audit_specs(tables: DataFrame, columns: DataFrame, column_tags: DataFrame, k
             ),
             _violations(empty, key, [("no_columns", F.lit(True), None)]),
             _violations(columns, key, _column_checks()),
-            _violations(names, key, [("duplicate_column", F.col("n") > 1, F.col("column_name"))]),
-            _violations(untagged, key, [("column_without_tags", F.lit(True), F.col("column_name"))]),
-            _violations(unknown, key, [("tags_of_unknown_column", F.lit(True), F.col("column_name"))]),
+            _violations(
+                both,
+                key,
+                [
+                    ("duplicate_column", F.col("n") > 1, F.col("column_name")),
+                    ("column_without_tags", F.col("m").isNull(), F.col("column_name")),
+                    ("tags_of_unknown_column", F.col("n").isNull(), F.col("column_name")),
+                ],
+            ),
             _violations(
                 tags,
                 key,

@@ -46,6 +46,8 @@ class Questions:
 
 
 def to_matrix(lists: pa.Array) -> np.ndarray:
+    if len(pc.unique(pc.list_value_length(lists))) > 1:
+        raise ValueError("vectors of different lengths cannot be compared")
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 

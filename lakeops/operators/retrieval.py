@@ -179,8 +179,9 @@ def _search(questions: DataFrame, chunks: DataFrame, columns: Mapping[str, str],
     fragments of chunks in a shuffle, so neither side has to fit anywhere whole.
     """
     names = list(columns)
-    q = questions.select("query_id", *names)
-    c = chunks.select("chunk_id", *names)
+    complete = " AND ".join(f"{name} IS NOT NULL" for name in names)
+    q = questions.select("query_id", *names).filter(complete)
+    c = chunks.select("chunk_id", *names).filter(complete)
     out = T.StructType(
         [q.schema["query_id"], T.StructField("ranker", T.StringType()), c.schema["chunk_id"], T.StructField("score", T.DoubleType())]
     )
@@ -230,7 +231,7 @@ def similar_chunks(
     """Exact top-k by cosine: ``query_id``, ``chunk_id``, ``score`` (12 digits), ``rank``.
 
     ``questions`` has ``query_id`` and ``vector``, ``chunks`` has a unique ``chunk_id`` and ``vector``.
-    Equal scores rank by chunk id.
+    Equal scores rank by chunk id. Rows without a vector are left out; vectors of different lengths fail.
     """
     found = _search(questions, chunks, {"vector": "vector"}, k, max_broadcast)
     return _ranked(found).drop("ranker")

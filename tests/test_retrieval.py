@@ -81,6 +81,16 @@ def test_similar_chunks_brute_force(spark, limit, kind):
         assert [got[i][k] for k in range(1, 13)] == [name(j) for j in order]
 
 
+def test_missing_and_uneven_vectors(spark):
+    kind = "vector array<double>"
+    c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0])], f"chunk_id string, {kind}")
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], f"query_id int, {kind}")
+    assert [(r.query_id, r.chunk_id) for r in rt.similar_chunks(q, c, 5).orderBy("rank").collect()] == [(1, "a"), (1, "c")]
+    uneven = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0, 1.0])], f"chunk_id string, {kind}").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        rt.similar_chunks(q, uneven, 5).collect()
+
+
 def test_no_questions(spark):
     c = spark.createDataFrame([("a", [1.0])], "chunk_id string, vector array<double>")
     q = spark.createDataFrame([], "query_id string, vector array<double>")

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.checks.base import Tables, query, r6, scratch_schema, ts
+from lakeops.checks.base import Tables, query, scratch_schema, ts
 from lakeops.operators import runs
-from lakeops.operators.events import event_rows, newest, upsert
+from lakeops.operators.events import event_rows, new_events, newest, upsert
 from lakeops.sources import tables as tb
 
 RUNS_SQL = """runs AS (SELECT event_type AS component, 'r' || user_id AS run_id, ts AS event_timestamp, event_id,
@@ -47,8 +47,6 @@ def s5(t: Tables) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY component, run_id ORDER BY event_timestamp DESC, event_id DESC) = 1)
   SELECT component, run_id, status, event_id FROM incoming ANTI JOIN seen USING (component, run_id)""")
 def s6(t: Tables) -> DataFrame:
-    from lakeops.operators.events import new_events
-
     rows = run_events(t)
     cut = F.col("event_timestamp") < ts("2024-01-10")
     fresh = new_events(

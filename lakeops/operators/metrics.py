@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 METRICS = ("accuracy", "f1", "precision", "recall")
 
 
-def complete_pairs(df: DataFrame) -> DataFrame:
-    """Rows with both prediction and label."""
-    return df.filter(F.col("prediction").isNotNull() & F.col("label").isNotNull())
-
-
 def classification_metrics(matrix: DataFrame) -> DataFrame:
     """One row: accuracy, support-weighted f1, precision and recall, support and NULL pairs.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeops.operators.events import conform, event_rows, latest_by, new_events, newest, upsert
+from lakeops.operators.policy import with_cycle_key
 from lakeops.sources import tables as tb
 from lakeops.sources.schemas import EVENT_FIELDS, alert_rules_schema, event_schema
 
@@ -113,3 +114,11 @@ def test_dataset_versions():
     for purpose, version in (("training", "v9"), ("scoring", "v1")):
         with pytest.raises(ValueError):
             tb.dataset_table(purpose, version)
+
+
+def test_repeated_cycle_is_dropped(spark):
+    kind = "cycle_name string, model_name string, model_version string, window_start string, window_end string, severity string, at int"
+    done = with_cycle_key(spark.createDataFrame([("drift_cycle", "m", None, "a", "b", None, 1)], kind))
+    asked = with_cycle_key(spark.createDataFrame([("drift_cycle", "m", None, "a", "b", None, 2), ("drift_cycle", "m", "v1", "a", "b", None, 2)], kind))
+    fresh = new_events(asked, done, ["execution_key"], newest("at")).collect()
+    assert [r.execution_key for r in fresh] == ["drift_cycle|m|v1|a|b|"]

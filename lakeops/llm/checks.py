@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bpe, decontaminate, language, preference, quality_rules, secrets, simhash, toxicity
+from lakeops.llm import bilinear, bpe, decontaminate, language, preference, quality_rules, secrets, simhash, substrings, toxicity
 from lakeops.llm.shared import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,44 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH docs AS (
+    SELECT doc_id, row_number() OVER () AS row_no,
+           coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
+    FROM documents
+), windows AS (
+    SELECT doc_id, row_no, s, md5(array_to_string(words[s : s + 49], ' ')) AS h
+    FROM (SELECT doc_id, row_no, words, unnest(range(1, len(words) - 48)) AS s FROM docs WHERE len(words) >= 50)
+), firsts AS (
+    SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), gone AS (
+    SELECT DISTINCT row_no, unnest(range(s, s + 50)) AS p
+    FROM windows JOIN firsts USING (h) WHERE doc_id > first_id
+), lists AS (
+    SELECT row_no, count(*) AS n_removed, list(p) AS places FROM gone GROUP BY row_no
+), spread AS (
+    SELECT row_no, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM docs JOIN lists USING (row_no)
+), kept AS (
+    SELECT s.row_no, string_agg(s.word, ' ' ORDER BY s.p) AS text
+    FROM spread s ANTI JOIN gone g ON s.row_no = g.row_no AND s.p = g.p GROUP BY s.row_no
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN n_removed IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
+FROM docs LEFT JOIN lists USING (row_no) LEFT JOIN kept USING (row_no)
+"""
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = bilinear.fit_bilinear(docs, fold(F.col("doc_id"), 7) != 2)
+    found = bilinear.score_documents(docs, model)
+    return found.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -46,13 +46,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a placeholder; ``n_chars`` follows the new text."""
-    found = secrets.find_secrets(docs.select("doc_id", "text")).filter(F.size("spans") > 0)
-    marked = handover(found.groupBy("doc_id").agg(F.first("spans").alias("__spans")), "spans")
-    joined = docs.join(marked, "doc_id", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("__spans")))
-    changed = joined.withColumns({"text": text, "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))})
-    return changed.select(*_columns(docs, "__spans"))
+    """Every document, its secrets replaced by a placeholder; ``n_chars`` follows the new text. Spans belong
+    to a content, so repeated rows and rows without an id are cleaned like any other."""
+    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = secrets.find_secrets(keyed, "__key").filter(F.size("spans") > 0)
+    marked = handover(found.groupBy("__key").agg(F.first("spans").alias("__spans")), "spans")
+    joined = keyed.join(marked, "__key", "left")
+    hit = F.col("__spans").isNotNull()
+    cleaned = joined.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    cleaned = cleaned.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cleaned.select(*_columns(docs, ""))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

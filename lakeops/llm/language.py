@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeops.llm.shared import fold
+from lakeops.llm.shared import fold, handover
 from lakeops.llm.words import LOWER, Piece, pieces
 
 BITS = 12
@@ -29,6 +29,7 @@ UNKNOWN = "und"
 LETTERS = np.full(256, 0x20, dtype=np.uint8)
 LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 LETTERS[0x80:] = np.arange(0x80, 0x100)
+MAX_SAMPLE_ROWS = 1 << 20
 MAX_MODEL_BYTES = 512 << 20  # refuse a model beyond this rather than ship it
 
 
@@ -131,8 +132,13 @@ def fit_languages(
     frequency, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + np.float32(0.1)
     keys = rows.select("id", "lang", F.xxhash64(F.col("id").cast("string"), "lang").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    drawn = keys.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("id", "lang").distinct()
+    drawn = keys.withColumn("part", F.pmod("h", F.lit(64)))  # a language's texts meet in two steps
+    for level in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*level).orderBy("h", "id"))
+        drawn = drawn.withColumn("rank", rank).filter(F.col("rank") <= per_language)
+    drawn = handover(drawn.select("id", "lang").distinct(), "drawn")
+    if drawn.count() > MAX_SAMPLE_ROWS:
+        raise ValueError(f"more than {MAX_SAMPLE_ROWS} sample rows: fewer per language are needed for so many languages")
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         texts = pa.array(group["text"].sort_values(kind="stable"), type=pa.string())
@@ -145,7 +151,7 @@ def fit_languages(
         ]
         return pd.DataFrame({"lang": group["lang"].iloc[0], "c": range(len(centroids)), "radius": radii, "centroid": list(centroids)})
 
-    sample = rows.join(drawn, ["id", "lang"]).select("lang", "text")  # bounded by the languages
+    sample = rows.join(F.broadcast(drawn), ["id", "lang"]).select("lang", "text")  # at most MAX_SAMPLE_ROWS keys
     found = sample.groupBy("lang").applyInPandas(cluster, "lang string, c int, radius double, centroid array<float>")
     parts = found.collect()
     if len(parts) * SIZE * 4 > MAX_MODEL_BYTES:

@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     document; rows without an id stay, as they name no document that could stand for them."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # one plan at every size
     repeated = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return repeated.unionByName(kept.filter("doc_id is null")).select(*_columns(docs, ""))
 
@@ -51,7 +51,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
     found = secrets.find_secrets(keyed, "__key").filter(F.size("spans") > 0)
     marked = handover(found.groupBy("__key").agg(F.first("spans").alias("__spans")), "spans")
-    joined = keyed.join(marked, "__key", "left")
+    joined = keyed.join(marked.hint("merge"), "__key", "left")  # one plan at every size
     hit = F.col("__spans").isNotNull()
     cleaned = joined.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
     cleaned = cleaned.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -57,11 +56,12 @@ _scratch: dict[str, str] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder, one per application."""
+    """A fresh folder below the shared checkpoint folder, or below the warehouse, shared as well, where
+    that is unset; one per application."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeops-")
-        _scratch[app] = f"{checkpoint_root(spark, root).rstrip('/')}/lakeops-{uuid.uuid4().hex}"
+        root = checkpoint_root(spark, spark.conf.get("spark.sql.warehouse.dir"))
+        _scratch[app] = f"{root.rstrip('/')}/lakeops-{uuid.uuid4().hex}"
     return _scratch[app]
 
 

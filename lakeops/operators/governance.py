@@ -200,12 +200,15 @@ def mask_by_control(
     style: str = "full",
 ) -> DataFrame:
     """Mask values of rows whose control row (joined on ``row_columns``) asks for it and grants none
-    of the caller's groups. The masking decision is data, so one call serves many tables."""
+    of the caller's groups. The masking decision is data, so one call serves many tables.
+
+    Closed by default: missing grants grant nobody, missing flags ask for masking, and of repeated control
+    rows one that masks is enough. Rows without a control row stay open.
+    """
     callers = F.array(*[F.lit(g) for g in caller_groups]) if caller_groups else F.array().cast("array<string>")
-    rule = control.select(
-        *row_columns,
-        (F.col("anonimizar") & F.col("pass_masking") & ~F.arrays_overlap("grant_view_dados", callers)).alias("__mask"),
-    )
+    asked = F.coalesce("anonimizar", F.lit(True)) & F.coalesce("pass_masking", F.lit(True))
+    granted = F.coalesce(F.arrays_overlap("grant_view_dados", callers), F.lit(False))
+    rule = control.groupBy(*row_columns).agg(F.bool_or(asked & ~granted).alias("__mask"))
     joined = df.join(rule, list(row_columns), "left")
     hide = F.coalesce("__mask", F.lit(False))
     return joined.select(

@@ -78,7 +78,9 @@ def append_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) ->
     spark = df.sparkSession
     ensure_schema(spark, table)
     if spark.catalog.tableExists(table):
-        df.write.mode("append").insertInto(table) if partition_by else df.write.mode("append").saveAsTable(table)
+        # insertInto goes by position, and stored partition columns come last
+        ordered = df.select(*spark.table(table).columns)
+        ordered.write.mode("append").insertInto(table) if partition_by else df.write.mode("append").saveAsTable(table)
     else:
         df.write.mode("overwrite").partitionBy(*partition_by).saveAsTable(table)
 
@@ -112,8 +114,11 @@ def upsert_table(
 ) -> None:
     """Keyed merge into a plain table: the result goes to a new table, then the names swap.
 
-    The old table is dropped only after the new one carries its name.
+    The old table is dropped only after the new one carries its name. A call that was stopped between the
+    two renames is mended first: the previous table gets its name back.
     """
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(f"{table}__previous"):
+        spark.sql(f"ALTER TABLE {table}__previous RENAME TO {table}")
     if not spark.catalog.tableExists(table):
         overwrite_table(source, table)
         return

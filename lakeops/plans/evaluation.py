@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.operators.events import event_rows
+from lakeops.operators.events import event_rows, newest
 from lakeops.operators.metrics import METRICS, evaluate_pairs
 from lakeops.operators.policy import Policy, requests_from_metrics
 from lakeops.operators.reconcile import reconciled_counts
-from lakeops.sources.tables import append_events
+from lakeops.sources.tables import append_new_events
+
+METRIC_KEY = ("model_name", "model_version", "metric_name", "window_start", "window_end", "run_id")
+REQUEST_KEY = ("model_name", "model_version", "trigger_type", "trigger_source", "reason", "run_id")
 
 
 def evaluate_tables(
@@ -51,13 +54,13 @@ def store_evaluation(
 ) -> None:
     """Append the metric rows of one run, then the retraining requests their values call for.
 
-    The requests come from the written rows, so the evaluation runs once.
+    The requests come from the written rows, so the evaluation runs once. Rows whose key is stored
+    already are left out: a run that is stored again after a failure ends with the same rows.
     """
     version = F.lit(model_version).cast("string")
     rows = event_rows(metrics, as_of, env, project, model_name=model_name, model_version=version, run_id=run_id)
-    append_events(rows, "tb_model_postprod_metrics", metrics_table)
-    at = F.col("event_timestamp") == F.lit(as_of).cast("timestamp")
+    append_new_events(rows, "tb_model_postprod_metrics", METRIC_KEY, newest("event_timestamp"), metrics_table)
     mine = (F.col("run_id") == run_id) & (F.col("model_name") == model_name)
-    stored = metrics.sparkSession.table(metrics_table).filter(mine & at)
+    stored = metrics.sparkSession.table(metrics_table).filter(mine)
     opened = event_rows(requests_from_metrics(stored, policy, requested_by), as_of, env, project)
-    append_events(opened, "tb_model_retraining_requests", requests_table)
+    append_new_events(opened, "tb_model_retraining_requests", REQUEST_KEY, newest("event_timestamp"), requests_table)

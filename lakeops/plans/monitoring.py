@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.operators.alerts import alerts_from_drift
+from lakeops.operators.alerts import ALERT_KEY, alerts_from_drift
 from lakeops.operators.drift import feature_drift, prediction_drift
-from lakeops.operators.events import event_rows
-from lakeops.sources.tables import append_events
+from lakeops.operators.events import event_rows, newest
+from lakeops.sources.tables import append_new_events
+
+DRIFT_KEY = ("model_name", "model_version", "target_env", "run_id", "monitoring_type", "entity_name", "metric_name")
 
 
 def prediction_drift_alerts(
@@ -71,12 +73,12 @@ def store_drift(
 ) -> None:
     """Append the drift events of one run, then the alerts raised from them.
 
-    The alerts come from the written rows of the run, so the drift plan runs once.
+    The alerts come from the written rows of the run, so the drift plan runs once. Rows whose key is
+    stored already are left out: a run that is stored again after a failure ends with the same rows.
     """
-    append_events(drift, "tb_model_drift_monitoring", drift_table)
+    append_new_events(drift, "tb_model_drift_monitoring", DRIFT_KEY, newest("event_timestamp"), drift_table)
     if emit_alerts:
         mine = (F.col("run_id") == run_id) & (F.col("model_name") == model_name)
-        at = F.col("event_timestamp") == F.lit(as_of).cast("timestamp")
-        stored = drift.sparkSession.table(drift_table).filter(mine & at)
+        stored = drift.sparkSession.table(drift_table).filter(mine)
         raised = event_rows(alerts_from_drift(stored, minimum), as_of, env, project)
-        append_events(raised, "tb_ml_alert_events", alert_table)
+        append_new_events(raised, "tb_ml_alert_events", ALERT_KEY, newest("event_timestamp"), alert_table)

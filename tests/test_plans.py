@@ -71,10 +71,11 @@ def test_store_drift(spark, schema):
     current = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (2.0,)], "prediction double")
     drift, alerts = prediction_drift_alerts(current, base, NOW, "dev", "demo", "m", "v", "prd", "r1")
     assert alerts.count() == 1
-    for run, at in (("r1", NOW), ("r2", datetime(2024, 2, 2))):
+    for run, at in (("r1", NOW), ("r2", datetime(2024, 2, 2)), ("r1", NOW), ("r2", datetime(2024, 2, 3))):
         rows = drift.withColumns({"run_id": F.lit(run), "event_timestamp": F.lit(at)})
         store_drift(rows, at, "dev", "demo", "m", run, drift_table=f"{schema}.drift", alert_table=f"{schema}.alerts")
-    assert spark.table(f"{schema}.drift").groupBy("run_id").count().count() == 2
+    stored = spark.table(f"{schema}.drift").groupBy("run_id").count().collect()
+    assert {r.run_id: r["count"] for r in stored} == {"r1": drift.count(), "r2": drift.count()}
     rows = spark.table(f"{schema}.alerts").collect()
     assert sorted((r.run_id, r.severity, r.entity_name) for r in rows) == [("r1", "CRITICAL", "1.0"), ("r2", "CRITICAL", "1.0")]
     assert prediction_drift(current, base, "m", "v").count() == 2
@@ -221,7 +222,8 @@ def test_store_evaluation(spark, schema):
     metrics = spark.createDataFrame([("f1", 0.61, "a", "b"), ("accuracy", 0.9, "a", "b"), ("support", 10.0, "a", "b")], "metric_name string, metric_value double, window_start string, window_end string")
     policy = Policy({"f1": 0.7, "accuracy": 0.7}, open_on_postprod=True)
     names = {"metrics_table": f"{schema}.metrics", "requests_table": f"{schema}.requests"}
-    store_evaluation(metrics, policy, NOW, "dev", "demo", "m", "v1", "r1", **names)
+    for _ in range(2):
+        store_evaluation(metrics, policy, NOW, "dev", "demo", "m", "v1", "r1", **names)
     assert spark.table(f"{schema}.metrics").count() == 3
     row = spark.table(f"{schema}.requests").collect()
     assert [(r.request_status, r.trigger_type, r.run_id) for r in row] == [("OPEN", "POSTPROD_DEGRADATION", "r1")]

@@ -239,7 +239,7 @@ def d8(t: Tables) -> DataFrame:
 @query(
     "j3_metrics_with_baseline",
     f"WITH {HISTORY_SQL}, {LATEST_SQL}, {CURRENT_SQL} SELECT c.prediction_value, c.n AS prediction_count, "
-    "round(l.prediction_rate, 6) AS baseline_rate FROM current c LEFT JOIN latest l USING (prediction_value)",
+    "round(l.prediction_rate, 6) AS baseline_rate FROM current c LEFT JOIN latest l ON c.prediction_value IS NOT DISTINCT FROM l.prediction_value",
 )
 def j3(t: Tables) -> DataFrame:
     base = drift.latest_prediction_baseline(prediction_history(t)).select(
@@ -349,7 +349,7 @@ def l7_stored(t: Tables) -> DataFrame:
   last AS (SELECT * FROM deliveries QUALIFY row_number() OVER (PARTITION BY alert_id, channel
     ORDER BY delivered_at DESC, delivery_status DESC, delivery_error DESC NULLS LAST) = 1),
   folded AS (SELECT alert_id, max(delivery_status = 'FAILED') AS failed, string_agg(delivery_error, ' | ' ORDER BY channel) AS errors FROM last GROUP BY 1)
-  SELECT a.alert_id, CASE WHEN notification_status <> 'PLANNED' THEN notification_status WHEN failed IS NULL THEN 'NO_CHANNEL' WHEN failed THEN 'FAILED' ELSE 'SENT' END AS notification_status,
+  SELECT a.alert_id, CASE WHEN notification_status <> 'PLANNED' THEN notification_status WHEN failed IS NULL THEN 'PLANNED' WHEN failed THEN 'FAILED' ELSE 'SENT' END AS notification_status,
   CASE WHEN notification_status = 'PLANNED' THEN errors END AS notification_error FROM alerts a LEFT JOIN folded f USING (alert_id)""")
 def l8(t: Tables) -> DataFrame:
     channel = F.col("l_linenumber") % 3

@@ -134,6 +134,31 @@ def r6_activation(t: Tables) -> DataFrame:
     return lc.activation_events(requests, deployments(t))
 
 
+@query("r6_activation_sequence", f"""WITH {DEPLOYMENTS_SQL}, {ACTIVE_SQL}, requests AS (SELECT 'm' || o_custkey AS model_name, 'n' || o_orderkey AS model_version,
+  'new/' || o_orderkey AS artifact_path, 'dev' AS source_env, 'hml' AS target_env, 'DEPLOYED_HML' AS deployment_status, 'q' || lpad(o_orderkey::VARCHAR, 12, '0') AS run_id,
+  'go' AS notes, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders),
+  retired AS (SELECT n.model_name, n.target_env, n.model_version AS next_version, n.turn, o.model_version, o.artifact_path, o.source_env, o.run_id
+    FROM requests n JOIN requests o ON n.model_name = o.model_name AND n.turn = o.turn + 1
+    UNION ALL SELECT n.model_name, n.target_env, n.model_version, n.turn, a.model_version, a.artifact_path, a.source_env, a.run_id
+    FROM requests n JOIN active a USING (model_name, target_env) WHERE n.turn = 1)
+  SELECT model_name, model_version, artifact_path, source_env, target_env, 'INACTIVE' AS deployment_status, false AS is_active, run_id,
+    'Desativado por nova ativacao da versao ' || next_version AS notes, (2 * turn - 1)::INTEGER AS step FROM retired
+  UNION ALL SELECT model_name, model_version, artifact_path, source_env, target_env, deployment_status, true, run_id, notes, (2 * turn)::INTEGER FROM requests""")
+def r6_activation_sequence(t: Tables) -> DataFrame:
+    """One request per order: the requests of one customer's model follow each other."""
+    requests = t.orders.select(
+        F.concat(F.lit("m"), "o_custkey").alias("model_name"),
+        F.concat(F.lit("n"), "o_orderkey").alias("model_version"),
+        F.concat(F.lit("new/"), "o_orderkey").alias("artifact_path"),
+        F.lit("dev").alias("source_env"),
+        F.lit("hml").alias("target_env"),
+        F.lit("DEPLOYED_HML").alias("deployment_status"),
+        F.concat(F.lit("q"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("run_id"),
+        F.lit("go").alias("notes"),
+    )
+    return lc.activation_events(requests, deployments(t))
+
+
 CANDIDATES_SQL = """per_version AS (SELECT d.*, a.model_version AS current_version FROM deployments d JOIN active a USING (model_name, target_env)
     WHERE d.model_version <> a.model_version QUALIFY row_number() OVER (PARTITION BY d.model_name, d.target_env, d.model_version ORDER BY d.event_timestamp DESC, d.event_id DESC) = 1),
   candidates AS (SELECT * FROM per_version WHERE deployment_status = 'INACTIVE'

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lakeops.functions import rules
 from lakeops.operators.events import latest_by, newest, null_safe
 
-CHANNELS = ("email", "slack", "teams")
 PLAN_TYPE = (
     "struct<channel:string,recipients:array<string>,subject:string,body:string,message:string,webhook_key:string>"
 )
@@ -153,35 +152,48 @@ def alerts_with_status(alerts: DataFrame, status: str, keys: Sequence[str] | Non
 def delivery_outcomes(alerts: DataFrame, deliveries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fold per-channel delivery results into the events.
 
-    A PLANNED event becomes FAILED if any channel failed, SENT otherwise, NO_CHANNEL without any
-    delivery; other events pass through. Each of the three channels counts with its newest attempt, so
-    one aggregation with at most three errors per event replaces a collected list.
+    A PLANNED event waits until every channel of its ``planned_channels`` (an array column; where it is
+    missing or NULL, any one channel) has a result. It then becomes FAILED if any of them failed, SENT
+    otherwise, NO_CHANNEL if no channel was planned; other events pass through. Each channel counts with
+    its newest attempt.
     """
     attempt = F.struct("delivered_at", "delivery_status", "delivery_error")
-    newest_attempts = [F.max(F.when(F.col("channel") == c, attempt)).alias(c) for c in CHANNELS]
-    per_channel = deliveries.filter(F.col("channel").isin(*CHANNELS)).groupBy(*keys).agg(*newest_attempts)
-    failed = [F.coalesce(F.col(f"{c}.delivery_status") == "FAILED", F.lit(False)) for c in CHANNELS]
-    errors = [F.nullif(F.col(f"{c}.delivery_error"), F.lit("")) for c in CHANNELS]
-    folded = per_channel.select(
-        *keys, (failed[0] | failed[1] | failed[2]).alias("__failed"), F.concat_ws(" | ", *errors).alias("__errors")
+    per_channel = deliveries.groupBy(*keys, "channel").agg(F.max(attempt).alias("last"))
+    error = F.nullif(F.col("last.delivery_error"), F.lit(""))
+    folded = per_channel.groupBy(*keys).agg(
+        F.max(F.coalesce(F.col("last.delivery_status") == "FAILED", F.lit(False))).alias("__failed"),
+        F.collect_set("channel").alias("__delivered"),
+        F.sort_array(F.collect_list(F.when(error.isNotNull(), F.struct("channel", error.alias("e"))))).alias("__list"),
     )
+    folded = folded.withColumn("__errors", F.array_join(F.transform("__list", lambda x: x["e"]), " | ")).drop("__list")
     planned = F.col("notification_status") == "PLANNED"
-    outcome = F.when(F.col("__failed").isNull(), "NO_CHANNEL").when(F.col("__failed"), "FAILED").otherwise("SENT")
+    wanted = F.col("planned_channels") if "planned_channels" in alerts.columns else F.lit(None).cast("array<string>")
+    missing = F.size(F.array_except(wanted, F.coalesce("__delivered", F.array().cast("array<string>")))) > 0
+    outcome = (
+        F.when(F.size(wanted) == 0, "NO_CHANNEL")
+        .when(F.coalesce(missing, F.lit(False)) | F.col("__failed").isNull(), "PLANNED")
+        .when(F.col("__failed"), "FAILED")
+        .otherwise("SENT")
+    )
+    done = planned & (outcome != "PLANNED")
     previous = F.col("notification_error") if "notification_error" in alerts.columns else F.lit(None).cast("string")
     events = alerts.withColumn("__previous_error", previous)
     joined = events.join(folded, null_safe(events, folded, keys), "left")
     return joined.select(
         *[events[c] for c in alerts.columns if c not in ("notification_status", "notification_error")],
         F.when(planned, outcome).otherwise(F.col("notification_status")).alias("notification_status"),
-        F.when(planned, F.nullif("__errors", F.lit(""))).otherwise(F.col("__previous_error")).alias("notification_error"),
+        F.when(done, F.nullif("__errors", F.lit(""))).otherwise(F.col("__previous_error")).alias("notification_error"),
     )
 
 
-def apply_alert_rules(drift: DataFrame, alert_rules: DataFrame) -> DataFrame:
+def apply_alert_rules(drift: DataFrame, alert_rules: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
     """Drift rows under their (model, metric) rule: rule thresholds replace the defaults, disabled
     rules and severities below the rule's minimum drop the row. Rows without a rule keep the defaults.
+    Of repeated rules the first in ``order`` holds (default: largest values, column by column).
     """
-    joined = drift.drop("drift_status").join(alert_rules, ["model_name", "metric_name"], "left")
+    keys = ["model_name", "metric_name"]
+    order = list(order) or newest(*[c for c in alert_rules.columns if c not in keys])
+    joined = drift.drop("drift_status").join(latest_by(alert_rules, keys, order), keys, "left")
     status = rules.drift_status(
         "baseline_value",
         "relative_diff",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.functions.rules import blank, printed
@@ -84,12 +84,19 @@ def active_deployments(deployments: DataFrame, strict: bool = False) -> DataFram
     return latest_by(deployments.filter("is_active"), MODEL_ENV, _order(deployments))
 
 
-def activation_events(requests: DataFrame, deployments: DataFrame, strict: bool = False) -> DataFrame:
+def activation_events(
+    requests: DataFrame, deployments: DataFrame, strict: bool = False, order: Sequence[str] = ("run_id", "model_version", "artifact_path")
+) -> DataFrame:
     """Deployment events of activation requests: an INACTIVE event for the current active deployment
-    (step 1), then the new active one (step 2)."""
+    (step 1), then the new active one (step 2). Several requests for one (model, environment) follow each
+    other in ``order``: each retires the one before it (steps 3 and 4, and so on), so the last stays active."""
     carried = ("model_version", "artifact_path", "source_env", "run_id")
     current = active_deployments(deployments, strict).select(*MODEL_ENV, *[F.col(c).alias(f"old_{c}") for c in carried])
-    joined = requests.join(current, list(MODEL_ENV), "left")
+    queue = Window.partitionBy(*MODEL_ENV).orderBy(*order)
+    lined_up = requests.withColumns({"__before": F.lag(F.struct(*carried)).over(queue), "__turn": F.row_number().over(queue)})
+    joined = lined_up.join(current, list(MODEL_ENV), "left").withColumns(
+        {f"old_{c}": F.when(F.col("__turn") == 1, F.col(f"old_{c}")).otherwise(F.col(f"__before.{c}")) for c in carried}
+    )
     # Fixed value: note text.
     retired_note = F.concat(F.lit("Desativado por nova ativacao da versao "), F.col("model_version"))
     rows = F.stack(
@@ -97,7 +104,7 @@ def activation_events(requests: DataFrame, deployments: DataFrame, strict: bool
         F.lit(1), *[F.col(f"old_{c}") for c in carried], F.lit("INACTIVE"), F.lit(False), retired_note,
         F.lit(2), *[F.col(c) for c in carried], F.col("deployment_status"), F.lit(True), F.col("notes"),
     ).alias("step", *[f"new_{c}" for c in carried], "new_status", "is_active", "new_notes")
-    events = joined.select(*MODEL_ENV, F.col("old_model_version").isNotNull().alias("had_active"), rows)
+    events = joined.select(*MODEL_ENV, "__turn", F.col("old_model_version").isNotNull().alias("had_active"), rows)
     return events.filter(F.col("had_active") | F.col("is_active")).select(
         "model_name",
         F.col("new_model_version").alias("model_version"),
@@ -108,7 +115,7 @@ def activation_events(requests: DataFrame, deployments: DataFrame, strict: bool
         "is_active",
         F.col("new_run_id").alias("run_id"),
         F.col("new_notes").alias("notes"),
-        "step",
+        (F.col("step") + 2 * (F.col("__turn") - 1)).alias("step"),
     )
 
 

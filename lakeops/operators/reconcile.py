@@ -92,12 +92,18 @@ def reconciled_counts(
 
 
 def with_baseline(current: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Current metrics with their baseline columns; metrics without a baseline are kept.
+    """Current metrics with their baseline columns; metrics without a baseline are kept, and NULL keys
+    meet NULL keys.
 
     No broadcast hint: the baseline has one row per key, and Spark broadcasts it only if its measured
     size allows.
     """
-    return current.join(baseline, list(keys), "left")
+    left, right = current.alias("current"), baseline.alias("baseline")
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"current.{key}").eqNullSafe(F.col(f"baseline.{key}"))
+    extra = [F.col(f"baseline.{c}") for c in baseline.columns if c not in keys]
+    return left.join(right, same, "left").select("current.*", *extra)
 
 
 def with_rule(df: DataFrame, rules: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

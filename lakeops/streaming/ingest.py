@@ -13,6 +13,10 @@ from lakeops.operators.events import new_events, newest
 from lakeops.operators.retrieval import chunk_identity, chunk_rows
 
 
+# no folder yet, or one without a finished file
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def document_chunks(documents: DataFrame, text: str, keys: Sequence[str], size: int, overlap: int) -> DataFrame:
     return chunk_identity(chunk_rows(documents, text, size, overlap, keys), keys)
 
@@ -26,7 +30,9 @@ def append_new_chunks(chunks: DataFrame, path: str, batch: int) -> None:
     spark = chunks.sparkSession
     try:
         stored = spark.read.parquet(path).filter(F.col("batch") != batch).select("chunk_hash")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() not in NOTHING_STORED:
+            raise
         stored = chunks.select("chunk_hash").filter(F.lit(False))
     fresh = new_events(chunks, stored, ["chunk_hash"], newest("chunk_id"), unique_existing=True)
     fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -6,15 +6,17 @@ import uuid
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from lakeops.operators import clean, datasets, governance
-from lakeops.operators.alerts import AlertingConfig, alerts_with_status
+from lakeops.operators.alerts import AlertingConfig, alerts_with_status, apply_alert_rules
 from lakeops.operators.drift import prediction_drift
 from lakeops.operators.events import event_rows, newest
 from lakeops.operators.policy import Policy
 from lakeops.operators.retrieval import QUERY_COLUMNS
+from lakeops.operators.reconcile import with_baseline
 from lakeops.operators.runs import catalog_inventory, readiness_report, run_summary
 from lakeops.plans.evaluation import store_evaluation
 from lakeops.plans.notifications import plan_pending, record_outcomes
@@ -24,7 +26,7 @@ from lakeops.plans.monitoring import prediction_drift_alerts, store_drift
 from lakeops.plans.training import train_and_score
 from lakeops.session import checkpoint_root
 from lakeops.sources.tables import append_events
-from lakeops.streaming.ingest import stream_new_chunks
+from lakeops.streaming.ingest import append_new_chunks, document_chunks, stream_new_chunks
 
 NOW = datetime(2024, 2, 1)
 
@@ -135,6 +137,29 @@ def test_document_stages(spark, schema):
     assert len(QUERY_COLUMNS) == 8
 
 
+def test_store_of_another_shape_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.range(3).withColumn("batch", F.lit(0)).write.parquet(path)
+    chunks = document_chunks(knowledge(spark), "document_text", ["document_id"], 120, 20)
+    with pytest.raises(AnalysisException):
+        append_new_chunks(chunks, path, 1)
+
+
+def test_null_meets_its_baseline(spark):
+    current = spark.createDataFrame([(1.0, 5), (None, 2), (3.0, 1)], "v double, n int")
+    base = spark.createDataFrame([(None, 0.4), (1.0, 0.6)], "v double, rate double")
+    rows = with_baseline(current, base, ["v"])
+    assert rows.columns == ["v", "n", "rate"]
+    assert {tuple(r) for r in rows.collect()} == {(1.0, 5, 0.6), (None, 2, 0.4), (3.0, 1, None)}
+
+
+def test_repeated_rules_judge_once(spark):
+    drift = spark.createDataFrame([("m", "f", 1.0, 0.2)], "model_name string, metric_name string, baseline_value double, relative_diff double").withColumn("drift_status", F.lit("OK"))
+    kind = "model_name string, metric_name string, is_enabled boolean, severity_min string, threshold_warning double, threshold_critical double"
+    rules = spark.createDataFrame([("m", "f", True, "WARNING", 0.1, 0.5), ("m", "f", True, "WARNING", 0.1, 0.15)], kind)
+    assert [r.drift_status for r in apply_alert_rules(drift, rules).collect()] == ["WARNING"]
+
+
 def test_stream_is_incremental(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = knowledge(spark).schema
@@ -207,14 +232,22 @@ def test_alert_queue(spark, schema):
     append_events(event_rows(spark.createDataFrame(rows, kind), datetime(2024, 1, 1), "dev", "demo"), "tb_ml_alert_events", table)
     config = AlertingConfig(email_enabled=True, slack_enabled=True, recipients="a@b.c")
     planned = plan_pending(spark, table, config, NOW, f"{schema}.plan")
-    assert {(r.run_id, len(r.notification_plan)) for r in planned.collect()} == {("r0", 2), ("r1", 2), ("r2", 2)}
+    entries = [(f"r{i}", channel) for i in range(3) for channel in ("email", "slack")]
+    assert sorted((r.run_id, r.channel) for r in planned.collect()) == sorted(entries)
+    assert plan_pending(spark, table, config, NOW, f"{schema}.plan").count() == 6
     assert alerts_with_status(spark.table(table), "PENDING").count() == 0
-    sent = [("r0", "email", 1, "DELIVERED", None), ("r0", "slack", 1, "FAILED", "timeout"), ("r0", "slack", 2, "FAILED", "refused"), ("r1", "email", 1, "FAILED", "x"), ("r1", "email", 2, "DELIVERED", None)]
+    sent = [("r0", "email", 1, "DELIVERED", None), ("r0", "slack", 1, "FAILED", "timeout"), ("r0", "slack", 2, "FAILED", "refused"), ("r1", "email", 1, "FAILED", "x"), ("r1", "email", 2, "DELIVERED", None), ("r2", "email", 1, "DELIVERED", None)]
+    later = [("r1", "slack", 3, "DELIVERED", None)]
     deliveries = spark.createDataFrame(sent, "run_id string, channel string, delivered_at int, delivery_status string, delivery_error string")
     keys = {"model_name": F.lit("m"), "model_version": F.lit(None).cast("string"), "source_component": F.lit("drift_monitoring"), "metric_name": F.lit("f1"), "entity_name": F.lit(None).cast("string")}
-    record_outcomes(spark, table, deliveries.withColumns(keys), NOW)
+    record_outcomes(spark, table, deliveries.withColumns(keys), NOW, f"{schema}.plan")
+    assert sorted(r.run_id for r in alerts_with_status(spark.table(table), "PLANNED").collect()) == ["r1", "r2"]
+    both = deliveries.union(spark.createDataFrame(later, deliveries.schema)).withColumns(keys)
+    for _ in range(2):
+        record_outcomes(spark, table, both, NOW, f"{schema}.plan")
+    assert spark.table(table).count() == 3 + 3 + 2
     newest_rows = {s: [r.run_id for r in alerts_with_status(spark.table(table), s).collect()] for s in ("PLANNED", "FAILED", "SENT", "NO_CHANNEL")}
-    assert newest_rows == {"PLANNED": [], "FAILED": ["r0"], "SENT": ["r1"], "NO_CHANNEL": ["r2"]}
+    assert newest_rows == {"PLANNED": ["r2"], "FAILED": ["r0"], "SENT": ["r1"], "NO_CHANNEL": []}
     assert spark.table(table).filter("notification_status = 'FAILED'").first().notification_error == "refused"
 
 

@@ -23,16 +23,29 @@ def tag_source(df: DataFrame, source_type: str) -> DataFrame:
 
 def consolidate(records: DataFrame, key: str = "id_cliente") -> DataFrame:
     """One row per customer over all sources: most frequent segment and source (smallest on a tie),
-    record count, source flags and the final status (ATIVO if any record is active, else the smallest)."""
-    source = F.col("source_type")
-    any_active = F.max(F.when(F.col("status") == "ATIVO", F.col("status")))
-    return records.groupBy(key).agg(
-        F.mode("segmento", True).alias("segmento_dominante"),
-        F.mode("source_type", True).alias("source_type_dominante"),
-        F.count(F.lit(1)).alias("qtd_registros"),
-        F.max(F.when(source == "file", 1).otherwise(0)).alias("tem_file"),
-        F.max(F.when(source == "table", 1).otherwise(0)).alias("tem_table"),
-        F.coalesce(any_active, F.min("status")).alias("status_final"),
+    record count, source flags and the final status (ATIVO if any record is active, else the smallest).
+
+    Records are counted per (customer, value) before they meet per customer, so that a customer with many
+    records or many values never fills one buffer.
+    """
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("segmento", "source_type")])
+    counted = (
+        records.select(key, "status", F.explode(kinds).alias("at"))
+        .groupBy(key, "at.kind", "at.value")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("status") == "ATIVO", F.col("status"))).alias("active"), F.min("status").alias("least"))
+    )
+    is_source = F.col("kind") == "source_type"
+
+    def dominant(kind: Column) -> Column:
+        return F.min(F.when(kind & F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), "value")))["value"]
+
+    return counted.groupBy(key).agg(
+        dominant(~is_source).alias("segmento_dominante"),
+        dominant(is_source).alias("source_type_dominante"),
+        F.sum(F.when(is_source, F.col("n")).otherwise(0)).alias("qtd_registros"),
+        F.max(F.when(is_source & (F.col("value") == "file"), 1).otherwise(0)).alias("tem_file"),
+        F.max(F.when(is_source & (F.col("value") == "table"), 1).otherwise(0)).alias("tem_table"),
+        F.coalesce(F.max("active"), F.min("least")).alias("status_final"),
     )
 
 

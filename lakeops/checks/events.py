@@ -42,6 +42,16 @@ def s5(t: Tables) -> DataFrame:
     return stored.select("component", "status", "run_id", "message", F.col("event_timestamp").cast("timestamp_ntz"), "env")
 
 
+@query("s5_append_partitioned", "SELECT o_orderkey, o_orderstatus, o_custkey, o_orderpriority FROM orders")
+def s5_partitioned(t: Tables) -> DataFrame:
+    """Two appends to a table partitioned by a column in the middle."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority")
+    name = f"{scratch_schema(t.spark)}.orders_{uuid.uuid4().hex[:8]}"
+    for part in (rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 2 <> 0")):
+        tb.append_table(part, name, ["o_orderstatus"])
+    return t.spark.table(name).select(*rows.columns)
+
+
 @query("s6_new_events", f"""WITH {RUNS_SQL}, seen AS (SELECT DISTINCT component, run_id FROM runs WHERE event_timestamp < TIMESTAMP '2024-01-10' AND status = 'SUCCESS'),
   incoming AS (SELECT * FROM runs WHERE event_timestamp >= TIMESTAMP '2024-01-10'
     QUALIFY row_number() OVER (PARTITION BY component, run_id ORDER BY event_timestamp DESC, event_id DESC) = 1)
@@ -55,20 +65,39 @@ def s6(t: Tables) -> DataFrame:
     return fresh.select("component", "run_id", "status", "event_id")
 
 
-@query("s7_upsert", """WITH source AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal, CAST('NEW' AS VARCHAR) AS c_mktsegment FROM
+UPSERT_SQL = """WITH source AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal, CAST('NEW' AS VARCHAR) AS c_mktsegment FROM
     (SELECT o_custkey + 500 AS o_custkey, o_totalprice FROM orders) GROUP BY 1)
   SELECT coalesce(c.c_custkey, s.c_custkey) AS c_custkey, c.c_name AS c_name, coalesce(s.c_acctbal, c.c_acctbal) AS c_acctbal,
-  coalesce(c.c_mktsegment, s.c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN source s USING (c_custkey)""")
-def s7(t: Tables) -> DataFrame:
+  coalesce(c.c_mktsegment, s.c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN source s USING (c_custkey)"""
+
+
+def upsert_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     target = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     source = (
         t.orders.groupBy((F.col("o_custkey") + 500).alias("c_custkey"))
         .agg(F.max("o_totalprice").alias("c_acctbal"))
         .withColumn("c_mktsegment", F.lit("NEW"))
     )
+    return target, source
+
+
+@query("s7_upsert", UPSERT_SQL)
+def s7(t: Tables) -> DataFrame:
+    target, source = upsert_sides(t)
     return upsert(target, source, ["c_custkey"], ["c_acctbal"])
 
 
+@query("s7_upsert_table", UPSERT_SQL)
+def s7_table(t: Tables) -> DataFrame:
+    """The stored form, merged twice: the second time changes nothing."""
+    target, source = upsert_sides(t)
+    name = f"{scratch_schema(t.spark)}.customers_{uuid.uuid4().hex[:8]}"
+    tb.overwrite_table(target, name)
+    for _ in range(2):
+        tb.upsert_table(t.spark, name, source, ["c_custkey"], ["c_acctbal"])
+    return t.spark.table(name)
+
+
 STAGES_SQL = """stages AS (SELECT source AS project, 'knowledge' AS stage, count(*) AS row_count FROM documents GROUP BY 1
   UNION ALL SELECT source, 'chunks', count(*) FROM documents WHERE n_chars > 200 GROUP BY 1
   UNION ALL SELECT source, 'embeddings', count(*) FROM documents WHERE n_chars > 1000 AND lang <> 'de' GROUP BY 1

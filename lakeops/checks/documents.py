@@ -11,7 +11,7 @@ from lakeops.checks.base import Tables, query, r6, scratch_folder
 from lakeops.functions import text as tx
 from lakeops.operators import retrieval as rt
 from lakeops.operators.events import newest, new_events
-from lakeops.sources.tables import scan_knowledge, spread
+from lakeops.sources.tables import scan_knowledge
 from lakeops.plans.documents import Stages, run_documents
 from lakeops.streaming.ingest import stream_new_chunks
 
@@ -22,7 +22,8 @@ STEP = SIZE - OVERLAP
 
 
 def documents(t: Tables) -> DataFrame:
-    return spread(t.documents, "doc_id")
+    """The test table is one file of one row group, so its texts are always spread over the cores."""
+    return t.documents.repartition("doc_id")
 
 
 def pages(t: Tables) -> DataFrame:
@@ -193,13 +194,25 @@ def k8(t: Tables) -> DataFrame:
     return rt.similar_chunks(centroids(t), vectors(t), 5).select("query_id", "chunk_id", r6("score"), "rank")
 
 
-# The same answer on the shuffled path, taken when the questions do not fit the checked limit.
+# Small parts, so that blocks of questions meet many fragments of chunks.
 @query("k8_similar_chunks_blocks", f"WITH {CENTROIDS_SQL.format(k=5)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top")
 def k8_blocks(t: Tables) -> DataFrame:
-    return rt.similar_chunks(centroids(t), vectors(t), 5, max_broadcast=3).select("query_id", "chunk_id", r6("score"), "rank")
+    return rt.similar_chunks(centroids(t), vectors(t), 5, part_bytes=16_000).select("query_id", "chunk_id", r6("score"), "rank")
 
 
-QUESTIONS_SQL = f"""questions AS (SELECT item_id AS query_id, text AS question FROM benchmark),
+# The stated query set: every hundredth vector asks all vectors, each for its own number of results.
+@query("k8_own_counts", f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 100 = 0), w AS (SELECT vec_id, embedding::DOUBLE[] AS vector FROM embeddings),
+  pairs AS (SELECT v.vec_id AS query_id, w.vec_id AS chunk_id, round(list_cosine_similarity(v.vector, w.vector), 12) AS score FROM v, w)
+  SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM pairs
+  QUALIFY rank <= 1 + query_id // 100 % 5""")
+def k8_own(t: Tables) -> DataFrame:
+    own = F.expr("CAST(1 + vec_id div 100 % 5 AS INT)").alias("wanted")
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), own)
+    return rt.similar_chunks(asked, vectors(t), "wanted").select("query_id", "chunk_id", r6("score"), "rank")
+
+
+def _fused_sql(questions: str) -> str:
+    return f"""questions AS ({questions}),
   q AS (SELECT query_id, {_hash_vector_sql('question')} AS qv, list_distinct(list_filter(regexp_split_to_array(lower(question), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS qt FROM questions),
   c AS (SELECT chunk_id, {_hash_vector_sql('chunk_text')} AS cv, list_distinct(list_filter(regexp_split_to_array(lower(chunk_text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS ct FROM identified),
   scored AS (SELECT query_id, chunk_id, round(list_cosine_similarity(qv, cv), 12) AS vs FROM q, c),
@@ -210,6 +223,9 @@ QUESTIONS_SQL = f"""questions AS (SELECT item_id AS query_id, text AS question F
   fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY 1, 2)"""
 
 
+QUESTIONS_SQL = _fused_sql("SELECT item_id AS query_id, text AS question FROM benchmark")
+
+
 def question_vectors(t: Tables) -> DataFrame:
     return t.benchmark.select(
         F.col("item_id").alias("query_id"), tx.hash_embedding("text").alias("vector"), tx.terms("text").alias("terms")
@@ -223,6 +239,16 @@ def k9(t: Tables) -> DataFrame:
     return rt.hybrid_chunks(question_vectors(t), index, 5).select("query_id", "chunk_id", r6("score"), "rank")
 
 
+@query("k10_manifest_columns", """SELECT doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE lang END AS file_name FROM documents""")
+def k10_manifest(t: Tables) -> DataFrame:
+    """A third of the results name their columns in another order, a third without one, a third not at all."""
+    doc, third = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    data = F.when(third == 0, F.array(doc, "source", "lang")).when(third == 1, F.array("lang", doc, "source")).otherwise(F.array("source", doc))
+    names = F.when(third == 1, F.array(*map(F.lit, ("file_name", "chunk_id", "document_id")))).when(third == 2, F.array(F.lit("document_id"), F.lit("chunk_id")))
+    rows = t.documents.select("doc_id", data.alias("data"), names.alias("names"))
+    return rt.named_results(rows, ["chunk_id", "document_id", "file_name"], keep=["doc_id"], manifest="names")
+
+
 @query("k10_named_results", """SELECT doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, CASE WHEN lang <> 'de' THEN lang END AS file_name FROM documents WHERE lang <> 'fr'""")
 def k10(t: Tables) -> DataFrame:
     two = F.array(F.col("doc_id").cast("string"), F.col("source"))
@@ -271,7 +297,7 @@ def requests(t: Tables) -> DataFrame:
     )
 
 
-def prompts(t: Tables) -> DataFrame:
+def prompts(t: Tables, mode: str = "hybrid") -> DataFrame:
     asked = rt.question_rows(requests(t))
     parts = chunks(t).select(
         "chunk_id",
@@ -280,31 +306,47 @@ def prompts(t: Tables) -> DataFrame:
         F.col("doc_id").alias("page_number"),
         "chunk_text",
     )
-    index = parts.select("chunk_id", tx.hash_embedding("chunk_text").alias("vector"))
-    asked_vectors = asked.filter(~F.col("is_rejected")).select("query_id", tx.hash_embedding("question").alias("vector"))
-    return rt.answer_prompts(asked, index, parts, asked_vectors)
+    index = parts.select("chunk_id", tx.hash_embedding("chunk_text").alias("vector"), tx.terms("chunk_text").alias("terms"))
+    asked_vectors = asked.filter(~F.col("is_rejected")).select(
+        "query_id", tx.hash_embedding("question").alias("vector"), tx.terms("question").alias("terms")
+    )
+    return rt.answer_prompts(asked, index, parts, asked_vectors, mode=mode)
 
 
-PROMPTS_SQL = f"""WITH {WINDOWS_SQL}, {IDENTITY_SQL}, {REQUESTS_SQL}, q AS (SELECT *, {_hash_vector_sql('question')} AS qv FROM requests), c AS (SELECT *, {_hash_vector_sql('chunk_text')} AS cv FROM identified),
+VECTOR_RANKED_SQL = f"""q AS (SELECT *, {_hash_vector_sql('question')} AS qv FROM requests), c AS (SELECT *, {_hash_vector_sql('chunk_text')} AS cv FROM identified),
   pairs AS (SELECT query_id, num_results, cap, chunk_id, doc_id, source, chunk_text, round(list_cosine_similarity(qv, cv), 12) AS s FROM q, c),
-  ranked AS (SELECT query_id, cap, chunk_text, doc_id AS page_number, upper(source) AS name, num_results, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS pos FROM pairs QUALIFY pos <= num_results),
-  {_context_sql('cap')}
+  ranked AS (SELECT query_id, cap, chunk_text, doc_id AS page_number, upper(source) AS name, num_results, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS pos FROM pairs QUALIFY pos <= num_results)"""
+HYBRID_RANKED_SQL = f"""{_fused_sql('SELECT query_id, question FROM requests')},
+  ranked AS (SELECT query_id, cap, chunk_text, doc_id AS page_number, upper(source) AS name, num_results, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos
+    FROM fused JOIN requests USING (query_id) JOIN identified USING (chunk_id) QUALIFY pos <= num_results)"""
+
+
+def _prompts_sql(ranked: str) -> str:
+    return f"""WITH {WINDOWS_SQL}, {IDENTITY_SQL}, {REQUESTS_SQL}, {ranked}, {_context_sql('cap')}
   SELECT query_id, retrieved_chunks, 'Pergunta:' || chr(10) || question || chr(10) || chr(10) || 'Contexto recuperado:' || chr(10) || context_text || chr(10) || chr(10) || 'Responda em português brasileiro com base apenas no contexto acima.' AS rag_prompt,
   CAST(NULL AS VARCHAR) AS response, 800 AS max_tokens, 0.1::DOUBLE AS temperature FROM requests JOIN contexts USING (query_id)"""
 
 
-@query("k12_prompts", PROMPTS_SQL)
+PROMPT_COLUMNS = ["query_id", "retrieved_chunks", "rag_prompt", "response", "max_tokens", "temperature"]
+
+
+@query("k12_prompts", _prompts_sql(HYBRID_RANKED_SQL))
 def k12(t: Tables) -> DataFrame:
-    return prompts(t).select("query_id", "retrieved_chunks", "rag_prompt", "response", "max_tokens", "temperature")
+    return prompts(t).select(*PROMPT_COLUMNS)
+
+
+@query("k12_prompts_vector", _prompts_sql(VECTOR_RANKED_SQL))
+def k12_vector(t: Tables) -> DataFrame:
+    return prompts(t, "vector").select(*PROMPT_COLUMNS)
 
 
-@query("k12_model_hook", f"SELECT query_id, CAST(length(rag_prompt) AS VARCHAR) AS response FROM ({PROMPTS_SQL})")
+@query("k12_model_hook", f"SELECT query_id, CAST(length(rag_prompt) AS VARCHAR) AS response FROM ({_prompts_sql(VECTOR_RANKED_SQL)})")
 def k12_model(t: Tables) -> DataFrame:
     def shout(batches):
         for frame in batches:
             yield frame.assign(response=frame["rag_prompt"].str.len().astype(str))
 
-    rows = prompts(t).select("query_id", "rag_prompt", "response")
+    rows = prompts(t, "vector").select("query_id", "rag_prompt", "response")
     return rt.call_model(rows, shout, "rag_prompt", "response").select("query_id", "response")
 
 
@@ -344,11 +386,12 @@ def k15_summary(t: Tables) -> DataFrame:
     return rows.select("question_count", r6("hit_rate"), r6("mean_reciprocal_rank"), r6("mean_precision"))
 
 
-@query("k16_document_run", f"""WITH {WINDOWS_SQL}, {IDENTITY_SQL}, counts AS (SELECT source AS project, count(DISTINCT doc_id) AS knowledge_count, count(*) AS chunks_count FROM identified GROUP BY 1)
+@query("k16_document_run", f"""WITH {WINDOWS_SQL}, {IDENTITY_SQL}, counts AS (SELECT source AS project, count(*) AS knowledge_count, coalesce(sum(n), 0)::BIGINT AS chunks_count FROM documents
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM identified GROUP BY 1) USING (doc_id) GROUP BY 1)
   SELECT project, knowledge_count, chunks_count, chunks_count AS embeddings_count, chunks_count AS index_count, 0 AS rag_eval_count FROM counts""")
 def k16(t: Tables) -> DataFrame:
     stages = Stages(chunking=True, embeddings=True, index=True)
-    knowledge = scan_knowledge(t.spark, f"{t.sf_dir}/documents.parquet", "doc_id", "text", ["source"]).filter(F.length("document_text") > 0)
+    knowledge = scan_knowledge(t.spark, f"{t.sf_dir}/documents.parquet", "doc_id", "text", ["source"])
     result = run_documents(knowledge, stages, "offline-hash", size=SIZE, overlap=OVERLAP)
     return result.report("source").select(
         F.col("source").alias("project"), "knowledge_count", "chunks_count", "embeddings_count", "index_count", "rag_eval_count"

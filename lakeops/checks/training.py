@@ -70,7 +70,25 @@ def training_set(t: Tables) -> DataFrame:
     return datasets.with_split(datasets.with_label(datasets.consolidate(records(t))))
 
 
-# The fitted numbers have no SQL form; tests compare them with the evaluator of the ML library.
+# An unregularised fit with an intercept reproduces the mean label of every one-hot category of its rows.
+@query("f6_category_means", f"""WITH {RECORDS_SQL}, {CONSOLIDATED_SQL}, {LABELLED_SQL} SELECT segmento_dominante, count(*) AS row_count, round(avg(label), 3) AS mean_score
+  FROM labelled WHERE id_cliente % 3 > 0 GROUP BY 1""")
+def f6_means(t: Tables) -> DataFrame:
+    train = training_set(t).filter("dataset_split = 'train'")
+    scored = datasets.score_rows(datasets.train_classifier(train), train, ["segmento_dominante"])
+    return scored.groupBy("segmento_dominante").agg(F.count(F.lit(1)).alias("row_count"), F.round(F.avg("score"), 3).alias("mean_score"))
+
+
+@query("f7_scored_counts", f"""WITH {RECORDS_SQL}, {CONSOLIDATED_SQL}, {LABELLED_SQL} SELECT CASE WHEN id_cliente % 3 = 0 THEN 'test' ELSE 'train' END AS dataset_split, segmento_dominante,
+  count(*) AS row_count, count(*) AS agreeing FROM labelled GROUP BY 1, 2""")
+def f7_counts(t: Tables) -> DataFrame:
+    """Every row is scored, and its prediction follows from its score."""
+    scored = f7(t)
+    agreeing = F.count(F.when(F.col("prediction") == F.when(F.col("score") > 0.5, 1.0).otherwise(0.0), 1))
+    return scored.groupBy("dataset_split", "segmento_dominante").agg(F.count(F.lit(1)).alias("row_count"), agreeing.alias("agreeing"))
+
+
+# The other fitted numbers have no SQL form; tests compare them with the evaluator of the ML library.
 @query("f6_train_classifier")
 def f6(t: Tables) -> DataFrame:
     rows = training_set(t)

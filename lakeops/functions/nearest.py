@@ -1,7 +1,7 @@
 """Arrow kernels that keep the best chunks per question inside one task.
 
 Spark splits, ships and merges the data; a kernel only turns one batch of chunks into the running
-best ``k`` per question, so the scores of all pairs never leave the task.
+best of each question, so the scores of all pairs never leave the task.
 """
 
 from __future__ import annotations
@@ -19,18 +19,22 @@ CELLS = 4_000_000
 
 @dataclass
 class Questions:
-    """Questions held by a task: ids, unit vectors (may be absent) and word postings (may be absent)."""
+    """Questions held by a task: ids, how many chunks each asks for and keeps, unit vectors and word postings (both may
+    be absent)."""
 
     ids: list
+    asked: np.ndarray
+    keep: np.ndarray
     vectors: np.ndarray | None = None
     words: list[str] | None = None
     posting_offsets: np.ndarray | None = None
     posting_questions: np.ndarray | None = None
 
     @classmethod
-    def from_table(cls, table: pa.Table) -> Questions:
-        """Columns ``query_id`` and optionally ``vector`` and ``terms``."""
-        result = cls(table.column("query_id").to_pylist())
+    def from_table(cls, table: pa.Table, depth: int = 0) -> Questions:
+        """Columns ``query_id``, ``k`` and optionally ``vector`` and ``terms``; at least ``depth`` are kept."""
+        asked = table.column("k").to_numpy()
+        result = cls(table.column("query_id").to_pylist(), asked, np.maximum(asked, depth))
         if "vector" in table.column_names:
             result.vectors = unit_rows(to_matrix(table.column("vector").combine_chunks()))
         if "terms" in table.column_names:
@@ -60,6 +64,8 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 def vector_scores(questions: Questions, batch: pa.RecordBatch) -> np.ndarray:
     """Cosine of every chunk (rows) and question (columns), rounded so that equal vectors tie."""
     chunks = unit_rows(to_matrix(batch.column("vector")))
+    if chunks.shape[1] != questions.vectors.shape[1]:
+        raise ValueError("vectors of different lengths cannot be compared")
     return np.round(chunks @ questions.vectors.T, DIGITS)
 
 
@@ -72,36 +78,46 @@ def overlap_scores(questions: Questions, batch: pa.RecordBatch) -> np.ndarray:
     word = pc.drop_null(found).to_numpy()
     rows = rows[known]
     start, length = questions.posting_offsets[word], np.diff(questions.posting_offsets)[word]
-    within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    hit = questions.posting_questions[np.repeat(start, length) + within]
-    cell = np.repeat(rows, length) * count + hit
-    return np.bincount(cell, minlength=len(lists) * count).reshape(len(lists), count).astype("float64")
+    shared = np.zeros(len(lists) * count)
+    for part in bounded(length):
+        n = length[part]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = questions.posting_questions[np.repeat(start[part], n) + within]
+        np.add.at(shared, np.repeat(rows[part], n) * count + hit, 1.0)
+    return shared.reshape(len(lists), count)
+
+
+def bounded(lengths: np.ndarray) -> Iterator[slice]:
+    """Consecutive runs whose lengths add up to about ``CELLS``; a longer entry is a run of its own."""
+    before = np.cumsum(lengths) - lengths
+    edges = np.unique(np.concatenate([np.searchsorted(before // CELLS, np.unique(before // CELLS)), [len(lengths)]]))
+    return (slice(a, b) for a, b in zip(edges[:-1], edges[1:]))
 
 
-def best(question: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int):
-    """First ``k`` entries per question by score, then chunk id."""
+def best(question: np.ndarray, chunk: np.ndarray, score: np.ndarray, keep_of: np.ndarray):
+    """First entries per question by score, then chunk id, as many as the question keeps."""
     if not len(question):
         return question, chunk, score
     order = np.lexsort((np.unique(chunk, return_inverse=True)[1], -score, question))
     sorted_question = question[order]
     first = np.searchsorted(sorted_question, sorted_question, side="left")
-    keep = order[np.arange(len(order)) - first < k]
+    keep = order[np.arange(len(order)) - first < keep_of[sorted_question]]
     return question[keep], chunk[keep], score[keep]
 
 
-def batch_best(scores: np.ndarray, chunk_ids: np.ndarray, k: int, positive_only: bool):
-    """Candidates of one batch: everything at least as good as the k-th score of its question."""
-    n = len(chunk_ids)
+def batch_best(scores: np.ndarray, chunk_ids: np.ndarray, keep_of: np.ndarray, positive_only: bool):
+    """Candidates of one batch: everything at least as good as the last score its question can keep."""
+    n, k = len(chunk_ids), int(keep_of.max())
     bound = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
     keep = scores >= bound
     if positive_only:
         keep &= scores > 0
     row, question = np.nonzero(keep)
-    return best(question, chunk_ids[row], scores[row, question], k)
+    return best(question, chunk_ids[row], scores[row, question], keep_of)
 
 
-def running_best(batches: Iterator[pa.RecordBatch], questions: Questions, rankers: dict, k: int) -> dict:
-    """Best ``k`` chunks per ranker and question over all batches of a task, one batch at a time.
+def running_best(batches: Iterator[pa.RecordBatch], questions: Questions, rankers: dict) -> dict:
+    """Best chunks per ranker and question over all batches of a task, one batch at a time.
 
     ``rankers`` maps a name to (scorer, positive scores only).
     """
@@ -112,9 +128,9 @@ def running_best(batches: Iterator[pa.RecordBatch], questions: Questions, ranker
             part = compact(batch.slice(start, step))
             ids = np.array(part.column("chunk_id").to_pylist())
             for name, (scorer, positive_only) in rankers.items():
-                fresh = batch_best(scorer(questions, part), ids, k, positive_only)
+                fresh = batch_best(scorer(questions, part), ids, questions.keep, positive_only)
                 if name in state:
-                    fresh = best(*[np.concatenate(pair) for pair in zip(state[name], fresh)], k)
+                    fresh = best(*[np.concatenate(pair) for pair in zip(state[name], fresh)], questions.keep)
                 state[name] = fresh
     return state
 
@@ -131,5 +147,6 @@ def best_rows(state, questions: Questions, ranker: str, schema: pa.Schema) -> pa
         pa.array([ranker] * len(question), pa.string()),
         pa.array(chunk.tolist(), schema.field("chunk_id").type),
         pa.array(score, pa.float64()),
+        pa.array(questions.asked[question], pa.int32()),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=schema)

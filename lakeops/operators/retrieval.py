@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lakeops.functions import nearest
 from lakeops.functions import text as tx
 from lakeops.functions.rules import as_column, blank
-from lakeops.operators.events import top_by
+from lakeops.sources.tables import stored
 
 # The kernels travel with the task, so workers need no installed copy of this package.
 cloudpickle.register_pickle_by_value(nearest)
@@ -35,8 +35,7 @@ QUERY_COLUMNS = (
     "document_quality_tier", "page_extraction_method",
 )
 
-MAX_BROADCAST_QUESTIONS = 4096
-FRAGMENT_ROWS, BLOCK_FACTOR = 20_000, 4
+PART_BYTES = 16 << 20  # of questions, and of chunks, held by one task
 RECIPROCAL_OFFSET = 60
 
 
@@ -171,97 +170,105 @@ def index_rows(embeddings: DataFrame, dimensions: int | None = None, bucket_bits
 RANKERS = {"vector": (nearest.vector_scores, False), "terms": (nearest.overlap_scores, True)}
 
 
-def _search(questions: DataFrame, chunks: DataFrame, columns: Mapping[str, str], k: int, limit: int) -> DataFrame:
-    """Best ``k`` chunks per question and ranker, exact.
+def _parts(rows: DataFrame, names: Sequence[str], part_bytes: int, least: int) -> int:
+    """Number of parts of about ``part_bytes`` each; one aggregate over stored rows."""
+    weight = {"vector": F.size("vector") * 8, "terms": F.octet_length(F.array_join("terms", " ")) + 8 * F.size("terms")}
+    size = sum((weight[name] for name in names), F.lit(16)).cast("long")
+    return max(least, -(-(rows.agg(F.sum(size)).first()[0] or 0) // part_bytes))
 
-    Up to ``limit`` questions travel to every task (their number is checked); each task keeps its best
-    ``k`` per question and only those are shuffled. Beyond the limit, blocks of questions meet
-    fragments of chunks in a shuffle, so neither side has to fit anywhere whole.
+
+def _search(questions: DataFrame, chunks: DataFrame, names: Sequence[str], k: int | str, part_bytes: int, depth: int = 0) -> DataFrame:
+    """Best chunks per question and ranker with their ``rank``, exact; ``depth`` or ``k`` of them,
+    whichever is more. ``k`` is a number or the column of ``questions`` with each one's own.
+
+    One plan at every size: both sides are stored once, so that what they are computed from runs once. Each
+    is cut into parts of ``part_bytes``, the chunks into one for every core at least. Every block of questions
+    meets every fragment of chunks in a shuffle; a task holds one of each and keeps the best per question.
     """
-    names = list(columns)
     complete = " AND ".join(f"{name} IS NOT NULL" for name in names)
-    q = questions.select("query_id", *names).filter(complete)
-    c = chunks.select("chunk_id", *names).filter(complete)
+    wanted = F.col(k) if isinstance(k, str) else F.lit(k)
+    q = stored(questions.select("query_id", wanted.cast("int").alias("k"), *names).filter(f"{complete} AND k > 0"), "questions")
+    c = stored(chunks.select("chunk_id", *names).filter(complete), "chunks")
     out = T.StructType(
-        [q.schema["query_id"], T.StructField("ranker", T.StringType()), c.schema["chunk_id"], T.StructField("score", T.DoubleType())]
-    )
+        [q.schema["query_id"], T.StructField("ranker", T.StringType()), c.schema["chunk_id"], T.StructField("score", T.DoubleType()),
+         T.StructField("k", T.IntegerType())]
+    )
     arrow = to_arrow_schema(out)
-
     rankers = {name: RANKERS[name] for name in names}
 
-    def rank(held: nearest.Questions, batches):
-        for name, state in nearest.running_best(batches, held, rankers, k).items():
-            yield nearest.best_rows(state, held, name, arrow)
-
-    few = q.limit(limit + 1).toArrow()
-    if few.num_rows <= limit:
-        if few.num_rows == 0:
-            return q.sparkSession.createDataFrame([], out)
-        held = nearest.Questions.from_table(few)
-        partial = c.mapInArrow(lambda batches: rank(held, batches), out)
-    else:
-        blocks = -(-q.count() // (limit * BLOCK_FACTOR)) if limit > BLOCK_FACTOR else q.count()
-        fragments = max(1, -(-c.count() // FRAGMENT_ROWS))
-        left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-            "fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)).cast("array<bigint>"))
-        )
-        right = c.withColumn("fragment", F.pmod(F.xxhash64("chunk_id"), F.lit(fragments))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-        )
+    blocks = _parts(q, names, part_bytes, 1)
+    fragments = _parts(c, names, part_bytes, q.sparkSession.sparkContext.defaultParallelism)
+    left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
+        "fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)).cast("array<bigint>"))
+    )
+    right = c.withColumn("fragment", F.pmod(F.xxhash64("chunk_id"), F.lit(fragments))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    )
 
-        def rank_block(some_questions: pa.Table, some_chunks: pa.Table) -> pa.Table:
-            if not some_questions.num_rows or not some_chunks.num_rows:
-                return arrow.empty_table()
-            held = nearest.Questions.from_table(some_questions)
-            return pa.Table.from_batches(rank(held, iter(some_chunks.to_batches())), schema=arrow)
+    def rank_block(some_questions: pa.Table, some_chunks: pa.Table) -> pa.Table:
+        if not some_questions.num_rows or not some_chunks.num_rows:
+            return arrow.empty_table()
+        held = nearest.Questions.from_table(some_questions, depth)
+        found = nearest.running_best(iter(some_chunks.to_batches()), held, rankers)
+        return pa.Table.from_batches([nearest.best_rows(state, held, name, arrow) for name, state in found.items()], schema=arrow)
 
-        keys = ["block", "fragment"]
-        partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, out)
-    return top_by(partial, ["query_id", "ranker"], [F.col("score").desc(), F.col("chunk_id").asc()], k)
+    keys = ["block", "fragment"]
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, out)
+    return _first(partial, ["query_id", "ranker"], F.greatest(F.col("k"), F.lit(depth)) if isinstance(k, str) else max(k, depth))
 
 
-def _ranked(found: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id", "ranker").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return found.withColumn("rank", F.row_number().over(order))
+def _first(found: DataFrame, keys: Sequence[str], count: int | Column) -> DataFrame:
+    """The best ``count`` rows per key with their ``rank``; equal scores rank by chunk id."""
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("chunk_id").asc())
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
 
 
-def similar_chunks(
-    questions: DataFrame, chunks: DataFrame, k: int = 5, max_broadcast: int = MAX_BROADCAST_QUESTIONS
-) -> DataFrame:
+def similar_chunks(questions: DataFrame, chunks: DataFrame, k: int | str = 5, part_bytes: int = PART_BYTES) -> DataFrame:
     """Exact top-k by cosine: ``query_id``, ``chunk_id``, ``score`` (12 digits), ``rank``.
 
-    ``questions`` has ``query_id`` and ``vector``, ``chunks`` has a unique ``chunk_id`` and ``vector``.
-    Equal scores rank by chunk id. Rows without a vector are left out; vectors of different lengths fail.
+    ``questions`` has ``query_id`` and ``vector``, ``chunks`` has a unique ``chunk_id`` and ``vector``; ``k`` is
+    a number or a column of ``questions`` (none or NULL: no chunks). Equal scores rank by chunk id. Rows
+    without a vector are left out; vectors of different lengths fail.
     """
-    found = _search(questions, chunks, {"vector": "vector"}, k, max_broadcast)
-    return _ranked(found).drop("ranker")
+    return _search(questions, chunks, ["vector"], k, part_bytes).drop("ranker", "k")
 
 
 def hybrid_chunks(
-    questions: DataFrame,
-    chunks: DataFrame,
-    k: int = 5,
-    depth: int = 100,
-    max_broadcast: int = MAX_BROADCAST_QUESTIONS,
+    questions: DataFrame, chunks: DataFrame, k: int | str = 5, depth: int = 100, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Vector and keyword rankings fused by reciprocal rank.
 
-    Both rankings list their best ``depth`` chunks (keyword score: shared distinct words, at least
-    one); a chunk's score is the sum of 1 / (60 + rank) over the lists it is in. Both sides carry
-    ``terms`` beside ``vector``.
+    Both rankings list their best ``depth`` chunks, or ``k`` where that is more (keyword score: shared distinct
+    words, at least one); a chunk's score is the sum of 1 / (60 + rank) over the lists it is in. Both sides
+    carry ``terms`` beside ``vector``.
     """
-    lists = _ranked(_search(questions, chunks, {"vector": "vector", "terms": "terms"}, max(k, depth), max_broadcast))
+    lists = _search(questions, chunks, ["vector", "terms"], k, part_bytes, depth)
     fused = lists.groupBy("query_id", "chunk_id").agg(
-        F.sum(1.0 / (F.lit(RECIPROCAL_OFFSET) + F.col("rank"))).alias("score")
+        F.sum(1.0 / (F.lit(RECIPROCAL_OFFSET) + F.col("rank"))).alias("score"), F.max("k").alias("k")
     )
     rounded = fused.withColumn("score", F.round("score", 12))
-    best = top_by(rounded, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k)
-    return _ranked(best.withColumn("ranker", F.lit("hybrid"))).drop("ranker")
+    return _first(rounded, ["query_id"], F.col("k") if isinstance(k, str) else k).drop("k")
+
 
+SEARCHES = {"hybrid": hybrid_chunks, "vector": similar_chunks}
+
+
+def named_results(
+    results: DataFrame, columns: Sequence[str], data: str = "data", keep: Sequence[str] = (), manifest: str | None = None
+) -> DataFrame:
+    """Positional result arrays as named columns; short rows are padded with NULL, NULL rows dropped.
 
-def named_results(results: DataFrame, columns: Sequence[str], data: str = "data", keep: Sequence[str] = ()) -> DataFrame:
-    """Positional result arrays as named columns; short rows are padded with NULL, NULL rows dropped."""
-    values = [F.try_element_at(F.col(data), F.lit(i + 1)).alias(c) for i, c in enumerate(columns)]
+    ``manifest`` names an array column with the result's own column names: a value is then found by its name,
+    a column it does not list is NULL. Where it is NULL or empty the given ``columns`` name the positions.
+    """
+
+    def position(i: int, name: str) -> Column:
+        if manifest is None:
+            return F.lit(i + 1)
+        listed = F.nullif(F.array_position(F.col(manifest), F.lit(name)), F.lit(0)).cast("int")
+        return F.when(F.size(F.coalesce(manifest, F.array())) > 0, listed).otherwise(i + 1)
+
+    values = [F.try_element_at(F.col(data), position(i, c)).alias(c) for i, c in enumerate(columns)]
     return results.filter(F.col(data).isNotNull()).select(*keep, *values)
 
 
@@ -333,17 +340,25 @@ def prompt_rows(questions: DataFrame, contexts: DataFrame, key: str = "query_id"
 
 
 def answer_prompts(
-    questions: DataFrame, index: DataFrame, chunks: DataFrame, query_vectors: DataFrame, k: int | None = None
+    questions: DataFrame,
+    index: DataFrame,
+    chunks: DataFrame,
+    query_vectors: DataFrame,
+    k: int | None = None,
+    mode: str = "hybrid",
 ) -> DataFrame:
     """Requests to prompts: search, context and prompt for every accepted request.
 
-    ``k`` bounds the chunks per question; by default it is the largest ``num_results`` asked for.
+    Each request gets as many chunks as its ``num_results``; ``k`` bounds them for all. The ``hybrid`` search
+    needs ``terms`` beside ``vector`` on both sides, ``vector`` does not.
     """
+    if mode not in SEARCHES:
+        raise ValueError(f"unknown search mode: {mode}")
     accepted = questions.filter(~F.col("is_rejected"))
-    largest = k or accepted.agg(F.max("num_results")).first()[0] or 1
-    found = similar_chunks(query_vectors, index, largest)
-    settings = accepted.select("query_id", "num_results", "max_context_chars")
-    wanted = found.join(settings, "query_id").filter(F.col("rank") <= F.col("num_results"))
+    count = F.col("num_results") if k is None else F.least("num_results", F.lit(k))
+    asked = query_vectors.join(accepted.select("query_id", count.alias("__count")), "query_id")
+    found = SEARCHES[mode](asked, index, "__count")
+    wanted = found.join(accepted.select("query_id", "max_context_chars"), "query_id")
     contexts = context_rows(wanted.join(chunks, "chunk_id"), "max_context_chars")
     return prompt_rows(accepted, contexts)
 

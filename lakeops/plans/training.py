@@ -13,7 +13,7 @@ from lakeops.operators.events import event_rows
 from lakeops.operators.metrics import METRICS, area_under_roc, classification_metrics, long_metrics
 from lakeops.operators.profile import confusion_matrix
 from lakeops.session import checkpoint_root
-from lakeops.sources.tables import append_events, dataset_table, overwrite_table
+from lakeops.sources.tables import append_events, dataset_table, overwrite_run, overwrite_table, stored
 
 FEATURES = ("id_cliente", *datasets.CATEGORIES, *datasets.NUMBERS)
 
@@ -71,11 +71,10 @@ def train_and_score(
     test = datasets.score_rows(model, spark.table(training).filter("dataset_split = 'test'"), ["label"])
     # One count per (label, prediction, score) serves the matrix and the ranking metric.
     counts = test.groupBy("label", "prediction", "score").agg(F.count(F.lit(1)).alias("record_count"))
-    evaluated = f"{schema}.tb_evaluation_counts"
-    overwrite_table(counts, evaluated)
-    matrix = confusion_matrix(spark.table(evaluated), weight="record_count")
+    evaluated = stored(counts, "evaluation-counts")
+    matrix = confusion_matrix(evaluated, weight="record_count")
     append_events(event(matrix), "tb_model_confusion_matrix", f"{schema}.tb_model_confusion_matrix")
-    auc = area_under_roc(spark.table(evaluated), weight="record_count")
+    auc = area_under_roc(evaluated, weight="record_count")
     metrics = long_metrics(classification_metrics(matrix), METRICS).unionByName(long_metrics(auc, ["auc"]))
     append_events(event(metrics), "tb_model_evaluation", f"{schema}.tb_model_evaluation")
 
@@ -92,6 +91,6 @@ def train_and_score(
     label = F.when(F.col("status_final") == "ATIVO", 1.0).when(F.col("status_final") == "INATIVO", 0.0)
     keep = ["id_cliente", *datasets.CATEGORIES, "label", "dataset_split"]
     scored = datasets.score_rows(model, spark.table(scoring).withColumn("label", label), keep)
-    overwrite_table(event(scored), output)
+    overwrite_run(event(scored), output)
     smoke("SUCCESS")
-    return TrainingRun(version, spark.table(output), spark.table(f"{schema}.tb_model_evaluation"), path)
+    return TrainingRun(version, spark.table(output).filter(F.col("run_id") == run_id), spark.table(f"{schema}.tb_model_evaluation"), path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.operators.events import conform_events, new_events, upsert
+from lakeops.session import checkpoint_root
 
 DATASET_VERSIONS = {
     ("training", "v1"): "tb_clientes_training_dataset",
@@ -22,18 +24,21 @@ def scan(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A plain scan with fewer splits than cores, spread over the cores by its keys; a larger scan as
-    it is. For work that costs far more per row than moving the row (long texts)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's rows once to a fresh path of the shared folder and go on from the files."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    path = f"{root.rstrip('/')}/lakeops-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scan_knowledge(
     spark: SparkSession, name: str, id_column: str, text_column: str, metadata_columns: Sequence[str] = ()
 ) -> DataFrame:
-    """A document set mapped to ``document_id``, ``document_text`` and its metadata columns."""
-    return spread(scan(spark, name, [id_column, text_column, *metadata_columns]), id_column).select(
+    """A document set mapped to ``document_id``, ``document_text`` and its metadata columns, in the splits of
+    its files; a caller with few large files may repartition it."""
+    return scan(spark, name, [id_column, text_column, *metadata_columns]).select(
         F.col(id_column).alias("document_id"), F.col(text_column).alias("document_text"), *metadata_columns
     )
 
@@ -73,6 +78,20 @@ def overwrite_table(df: DataFrame, table: str, partition_by: Sequence[str] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).saveAsTable(table)
 
 
+def overwrite_run(df: DataFrame, table: str, run: str = "run_id") -> None:
+    """Store the rows of the runs in ``df``, each in its own partition: a repeated run replaces its own
+    rows, those of other runs stay."""
+    spark = df.sparkSession
+    ensure_schema(spark, table)
+    if not spark.catalog.tableExists(table):
+        df.write.partitionBy(run).saveAsTable(table)
+        return
+    if [c.name for c in spark.catalog.listColumns(table) if c.isPartition] != [run]:
+        raise ValueError(f"{table} is not partitioned by {run}")
+    rows = df.select(*spark.table(table).columns)
+    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+
+
 def append_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
     """Create on the first write, append afterwards."""
     spark = df.sparkSession

@@ -11,6 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lakeops.functions import nearest
 from lakeops.functions import text as tx
 from lakeops.operators import retrieval as rt
 
@@ -58,16 +59,16 @@ def vectors(n: int, dim: int, seed: int) -> list[list[float]]:
     return base
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
+@pytest.mark.parametrize("part", [1 << 24, 200])
 @pytest.mark.parametrize("kind", ["string", "bigint"])
-def test_similar_chunks_brute_force(spark, limit, kind):
+def test_similar_chunks_brute_force(spark, part, kind):
     chunks, questions = vectors(90, 6, 1), vectors(7, 6, 2) + [[0.0] * 6]
     questions[1] = chunks[0]
     name = (lambda i: f"c{i:03d}") if kind == "string" else (lambda i: i)
     c = spark.createDataFrame([(name(i), v) for i, v in enumerate(chunks)], f"chunk_id {kind}, vector array<double>").repartition(5)
     q = spark.createDataFrame([(i, v) for i, v in enumerate(questions)], "query_id bigint, vector array<double>")
     got = {}
-    for r in rt.similar_chunks(q, c, 12, max_broadcast=limit).collect():
+    for r in rt.similar_chunks(q, c, 12, part_bytes=part).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_id
 
     def unit(m):
@@ -97,8 +98,36 @@ def test_no_questions(spark):
     assert rt.similar_chunks(q, c).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
-def test_hybrid_brute_force(spark, limit):
+def test_own_number_of_results(spark):
+    c = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(9)], "chunk_id bigint, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 2), (2, [0.0, 1.0], 4), (3, [1.0, 1.0], None), (4, [1.0, 1.0], 0)], "query_id int, vector array<double>, n int")
+    got = [(r.query_id, r["rank"], r.chunk_id) for r in rt.similar_chunks(q, c, "n").orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 0), (1, 2, 1), (2, 1, 8), (2, 2, 7), (2, 3, 6), (2, 4, 5)]
+
+
+def test_one_search_plan_at_every_size(spark):
+    c = spark.range(50).selectExpr("id AS chunk_id", "array(double(id), 1D) AS vector")
+
+    def nodes(count: int) -> list[str]:
+        q = spark.range(count).selectExpr("id AS query_id", "array(1D, double(id)) AS vector")
+        plan = rt.similar_chunks(q, c, 3)._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"^[ :+\-]*(?:\*\(\d+\) )?([A-Z]\w+)", plan, re.M)
+
+    assert nodes(3) == nodes(5000)
+
+
+def test_keyword_kernel_in_bounded_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(nearest, "CELLS", 7)
+    for lengths in ([], [0, 0], [9], [3, 3, 3, 0, 20, 1], rng.integers(0, 9, 40).tolist()):
+        lengths = np.array(lengths, dtype=np.int64)
+        runs = list(nearest.bounded(lengths))
+        assert [i for run in runs for i in range(run.start, run.stop)] == list(range(len(lengths)))
+        assert all(lengths[run].sum() - lengths[run][-1] <= 7 for run in runs)
+
+
+@pytest.mark.parametrize("part", [1 << 24, 300])
+def test_hybrid_brute_force(spark, part):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
     texts = [" ".join(["comum", *rng.sample(words, 4)]) for _ in range(60)]  # one word is in every chunk
@@ -107,7 +136,7 @@ def test_hybrid_brute_force(spark, limit):
     q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "query_id bigint, t string")
     c = c.select("chunk_id", tx.hash_embedding("t").alias("vector"), tx.terms("t").alias("terms"))
     q = q.select("query_id", tx.hash_embedding("t").alias("vector"), tx.terms("t").alias("terms"))
-    got = {(r.query_id, r["rank"]): r.chunk_id for r in rt.hybrid_chunks(q, c, 4, depth=10, max_broadcast=limit).collect()}
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in rt.hybrid_chunks(q, c, 4, depth=10, part_bytes=part).collect()}
     cv, qv = {r.chunk_id: r for r in c.collect()}, {r.query_id: r for r in q.collect()}
 
     def cosine(a, b):

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pytest
+
 from lakeops.operators.governance import mask_by_control
+from lakeops.sources import tables
 from lakeops.sources.tables import append_table, upsert_table
 
 
@@ -37,3 +42,17 @@ def test_masking_is_closed_by_default(spark):
     df = spark.createDataFrame([(n, "value") for n in names], "t string, v string")
     out = {r.t: r.v for r in mask_by_control(df, control, ["t"], ["v"], ["me"]).collect()}
     assert len(out) == len(names) and {n for n, v in out.items() if v == "value"} == {"granted", "off", "absent"}
+
+
+def test_a_run_replaces_its_own_rows_only(spark):
+    name = f"runs_{uuid.uuid4().hex[:8]}"
+    rows = lambda *r: spark.createDataFrame(r, "run_id string, id int")
+    tables.overwrite_run(rows(("a", 1), ("a", 2)), name)
+    tables.overwrite_run(rows(("b", 3)), name)
+    tables.overwrite_run(rows(("a", 4)), name)
+    assert sorted((r.run_id, r.id) for r in spark.table(name).collect()) == [("a", 4), ("b", 3)]
+    spark.sql(f"DROP TABLE {name}")
+    tables.overwrite_table(rows(("a", 1)), name)
+    with pytest.raises(ValueError, match="not partitioned"):
+        tables.overwrite_run(rows(("b", 1)), name)
+    spark.sql(f"DROP TABLE {name}")

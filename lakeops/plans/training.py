@@ -91,6 +91,6 @@ def train_and_score(
     label = F.when(F.col("status_final") == "ATIVO", 1.0).when(F.col("status_final") == "INATIVO", 0.0)
     keep = ["id_cliente", *datasets.CATEGORIES, "label", "dataset_split"]
     scored = datasets.score_rows(model, spark.table(scoring).withColumn("label", label), keep)
-    overwrite_run(event(scored), output)
+    overwrite_run(event(scored), output, run_id)
     smoke("SUCCESS")
     return TrainingRun(version, spark.table(output).filter(F.col("run_id") == run_id), spark.table(f"{schema}.tb_model_evaluation"), path)

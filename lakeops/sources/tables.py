@@ -78,18 +78,20 @@ def overwrite_table(df: DataFrame, table: str, partition_by: Sequence[str] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).saveAsTable(table)
 
 
-def overwrite_run(df: DataFrame, table: str, run: str = "run_id") -> None:
-    """Store the rows of the runs in ``df``, each in its own partition: a repeated run replaces its own
-    rows, those of other runs stay."""
+def overwrite_run(df: DataFrame, table: str, value: str, run: str = "run_id") -> None:
+    """Store the rows of run ``value`` in its own partition: a repeated run replaces its own rows, those of
+    other runs stay. The partition is named in the statement, so the session's overwrite mode is no matter."""
     spark = df.sparkSession
     ensure_schema(spark, table)
+    rows = df.withColumn(run, F.lit(value))
     if not spark.catalog.tableExists(table):
-        df.write.partitionBy(run).saveAsTable(table)
+        rows.write.partitionBy(run).saveAsTable(table)
         return
     if [c.name for c in spark.catalog.listColumns(table) if c.isPartition] != [run]:
         raise ValueError(f"{table} is not partitioned by {run}")
-    rows = df.select(*spark.table(table).columns)
-    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    own = rows.select(*[c for c in spark.table(table).columns if c != run])
+    text = value.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({run} = '{text}') SELECT * FROM {{own}}", own=own)
 
 
 def append_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:

@@ -47,12 +47,12 @@ def test_masking_is_closed_by_default(spark):
 def test_a_run_replaces_its_own_rows_only(spark):
     name = f"runs_{uuid.uuid4().hex[:8]}"
     rows = lambda *r: spark.createDataFrame(r, "run_id string, id int")
-    tables.overwrite_run(rows(("a", 1), ("a", 2)), name)
-    tables.overwrite_run(rows(("b", 3)), name)
-    tables.overwrite_run(rows(("a", 4)), name)
+    tables.overwrite_run(rows(("a", 1), ("a", 2)), name, "a")
+    tables.overwrite_run(rows(("b", 3)), name, "b")
+    tables.overwrite_run(rows(("a", 4)), name, "a")
     assert sorted((r.run_id, r.id) for r in spark.table(name).collect()) == [("a", 4), ("b", 3)]
     spark.sql(f"DROP TABLE {name}")
     tables.overwrite_table(rows(("a", 1)), name)
     with pytest.raises(ValueError, match="not partitioned"):
-        tables.overwrite_run(rows(("b", 1)), name)
+        tables.overwrite_run(rows(("b", 1)), name, "b")
     spark.sql(f"DROP TABLE {name}")

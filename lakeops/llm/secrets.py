@@ -23,10 +23,11 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # the whole run, 18 or more characters
 HEX = r"[0-9a-f]{16,}"
 BASE = ("assign", "access", "hex")
 
-# Weak candidates: what each kind looks like, and whether it is an identifier, a secret or an endpoint.
+# Weak candidates: what each kind looks like, and whether it is an identifier, a secret or an endpoint. A key
+# may follow '=' or ':' at once and is a whole run of any length.
 WEAK = (
-    ("id", "identifier", r"(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id)\b)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}|\b(?:AKIA|ASIA)[A-Z0-9]{4,13}\b"),
-    ("key", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,199}[0-9])(?=[A-Za-z0-9+/_-]{0,199}[A-Z])(?=[A-Za-z0-9+/_-]{0,199}[a-z])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("id", "identifier", r"(?i:\b(?:user(?:name)?|login|client_?id|account|\w*access_?key_?id)\b)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}|\b(?:AKIA|ASIA)[A-Z0-9]{4,}\b"),
+    ("key", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"),
     ("endpoint", "endpoint", r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/@%-]+|\barn:[a-z0-9-]+:[a-z0-9-]+:[A-Za-z0-9:/_.-]+"),
 )
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret"} | {kind: role for kind, role, _ in WEAK}

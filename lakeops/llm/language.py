@@ -2,7 +2,8 @@
 
 Document frequencies cover all labelled texts. The centroids of a language are found by spherical k-means
 on a bounded sample of its texts, one language per group. A text gets the language of the centroid with the
-highest cosine; it is rejected where its distance is beyond the radius of that language.
+highest cosine; it is rejected where its distance is beyond the radius of that centroid, a quantile of the
+distances of all learning texts of the language that are nearest to it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SIZE = 1 << BITS
 ORDERS = (2, 3, 4)  # bytes per n-gram; a word's n-grams include the space on either side
 CENTROIDS = 4
 PER_LANGUAGE = 400  # texts of each language in the sample the centroids are fitted on
-RADIUS_QUANTILE = 0.995  # share of a language's sample within its rejection radius
+RADIUS_QUANTILE = 0.995  # share of a centroid's learning texts within its rejection radius
 UNKNOWN = "und"
 LETTERS = np.full(256, 0x20, dtype=np.uint8)
 LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -120,6 +121,59 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return found[:-1], int(found[-1])
 
 
+def learning_distances(rows: DataFrame, languages: list[str], centroids: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """(c, bits) of every row: the nearest centroid of the row's own language, and the bits of the distance
+    to it as a 32-bit float, which order like the distance. Rows of a language without a centroid are left out."""
+    own = {name: np.array([c for c, other in enumerate(languages) if other == name]) for name in set(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            for piece in small_pieces(batch.column(0)):
+                like = vectors(counts(piece), idf) @ centroids.T
+                known = [(i, own[name]) for i, name in enumerate(names[piece.first : piece.first + len(piece)]) if name in own]
+                at = np.array([among[like[i, among].argmax()] for i, among in known], dtype=np.int32)
+                far = 1 - np.clip(like[[i for i, _ in known], at], 0, 1).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(far.view(np.int32))], ["c", "bits"])
+
+    return rows.select("text", "lang").mapInArrow(run, "c int, bits int")
+
+
+def learning_radii(rows: DataFrame, languages: list[str], centroids: np.ndarray, idf: np.ndarray, share: float = RADIUS_QUANTILE) -> np.ndarray:
+    """Per centroid the least distance within which ``share`` of its learning texts lie; 0 where it has none.
+
+    Exact over all rows: distances are counted by the upper half of their bits, then by the lower half
+    inside the upper half at which the share is reached, so that only counts reach the driver."""
+    radii = np.zeros(len(languages), dtype=np.float32)
+    if not languages:
+        return radii.astype(np.float64)
+    distances = handover(learning_distances(rows, languages, centroids, idf), "distances")
+    high, low = F.shiftright("bits", 16), F.col("bits").bitwiseAND(F.lit(0xFFFF))
+
+    def counted(found: DataFrame, half: Column) -> dict[int, list[tuple[int, int]]]:
+        out: dict[int, list[tuple[int, int]]] = {}
+        for r in found.groupBy("c", half.alias("half")).count().collect():
+            out.setdefault(r["c"], []).append((r["half"], r["count"]))
+        return {c: sorted(halves) for c, halves in out.items()}
+
+    def reached(halves: list[tuple[int, int]], needed: int) -> tuple[int, int]:
+        for half, n in halves:
+            if n >= needed:
+                return half, needed
+            needed -= n
+        raise AssertionError("fewer rows than were counted")
+
+    upper = counted(distances, high)
+    at = {c: reached(halves, max(int(np.ceil(share * sum(n for _, n in halves))), 1)) for c, halves in upper.items()}
+    if at:
+        chosen = distances.sparkSession.createDataFrame([(c, h) for c, (h, _) in at.items()], "c int, high int")
+        inside = distances.withColumn("high", high).join(F.broadcast(chosen), ["c", "high"])  # one row a centroid
+        for c, halves in counted(inside, low).items():
+            half, needed = at[c]
+            radii[c] = np.int32(half << 16 | reached(halves, needed)[0]).view(np.float32)
+    return radii.astype(np.float64)
+
+
 def fit_languages(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
     modulus: int | None = 5, k: int = CENTROIDS, per_language: int = PER_LANGUAGE,
@@ -144,21 +198,17 @@ def fit_languages(
         texts = pa.array(group["text"].sort_values(kind="stable"), type=pa.string())
         x = np.concatenate([vectors(counts(piece), idf) for piece in small_pieces(texts)])
         centroids = spherical_kmeans(x, k)
-        like = x @ centroids.T
-        nearest = like.argmax(axis=1)
-        radii = [
-            float(np.quantile(1 - like[nearest == c, c], RADIUS_QUANTILE)) if (nearest == c).any() else 0.0 for c in range(len(centroids))
-        ]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "c": range(len(centroids)), "radius": radii, "centroid": list(centroids)})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "c": range(len(centroids)), "centroid": list(centroids)})
 
     sample = rows.join(F.broadcast(drawn), ["id", "lang"]).select("lang", "text")  # at most MAX_SAMPLE_ROWS keys
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, c int, radius double, centroid array<float>")
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, c int, centroid array<float>")
     parts = found.collect()
     if len(parts) * SIZE * 4 > MAX_MODEL_BYTES:
         raise ValueError(f"{len(parts)} centroids exceed the model bound of {MAX_MODEL_BYTES} bytes")
     parts.sort(key=lambda r: (r["lang"], r["c"]))
     centroids = np.array([r["centroid"] for r in parts], dtype=np.float32).reshape(-1, SIZE)
-    return LanguageModel([r["lang"] for r in parts], centroids, np.array([r["radius"] for r in parts]), idf)
+    languages = [r["lang"] for r in parts]
+    return LanguageModel(languages, centroids, learning_radii(rows, languages, centroids, idf), idf)
 
 
 def language(text: Column | str, model: LanguageModel) -> Column:

@@ -2,7 +2,7 @@
 
 A pair is a document labelled 1 preferred to one labelled 0; the probability of the preference is the
 logistic function of the difference of their scores, so the loss works on feature differences and has no
-intercept. The cut between good and bad is a quantile of the scores of the labelled rows.
+intercept. The cut between good and bad is a quantile of the scores of all labelled rows of the learning fold.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from lakeops.llm.features import (
     DIMENSIONS, Adam, Sample, bounded_sample, collect_sample, labelled, linear_scores, quality_grams, sigmoid, sparse_rows,
 )
+from lakeops.llm.shared import handover
 from lakeops.llm.words import pieces
 
 PER_LABEL = 1000  # labelled rows of each label in the sample the pairs are drawn from
 PAIRS = 4000  # preference pairs of one step
 STEPS = 60
 CUT = 0.3  # the score that the quantile is mapped to
+BINS = 4096  # counts of one step towards a quantile
 
 
 @dataclass
@@ -50,30 +52,66 @@ def fit_pairs(sample: Sample, pairs: int = PAIRS, steps: int = STEPS, rate: floa
     return weights
 
 
-def quantile_cut(raw: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
-    """The ``share`` quantile of the scores, each label weighing as among all labelled rows, in the
-    middle of the gap between the neighbouring scores; and the scale of the scores around it."""
-    ones = labels == 1
-    weight = np.where(ones, share / ones.sum(), (1 - share) / (~ones).sum())
-    order = np.argsort(raw, kind="stable")
-    ordered, below = raw[order], np.cumsum(weight[order])
-    at = min(int(np.searchsorted(below, (1 - share) - 1e-9)), len(raw) - 2)
-    cut = (ordered[at] + ordered[at + 1]) / 2
-    spread = (np.median(raw[ones]) - np.median(raw[~ones])) / 8
-    return float(cut), float(max(spread, 1e-3))
+def raw_score(text: Column | str, weights: np.ndarray) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [linear_scores(quality_grams(piece), weights) for piece in pieces(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.empty(0), type=pa.float64())
+
+    return F.arrow_udf(run, "double")(text)
+
+
+def neighbours_of_quantile(scored: DataFrame, weight: tuple[float, float], level: float) -> tuple[float | None, float, float | None]:
+    """The next smaller value, the value and the next larger value (None beyond the ends) at the ``level``
+    quantile of column ``raw``, where rows of label v weigh ``weight[v]`` and all weights add up to 1.
+
+    Exact over all rows: values are counted in equal bins between the smallest and the largest, then inside
+    the bin that reaches the level, until that bin holds a single value. Only counts reach the driver."""
+    low, high = scored.agg(F.min("raw"), F.max("raw")).first()
+    below, smaller, larger = 0.0, None, None
+    while True:
+        inside = scored.filter(F.col("raw").between(low, high))
+        place = F.floor((F.col("raw") - low) / (high - low) * (BINS - 1)) if high > low else F.lit(0)
+        bins = inside.groupBy(place.cast("int").alias("bin")).agg(
+            F.min("raw").alias("low"), F.max("raw").alias("high"), *(F.count_if(F.col("label") == v).alias(f"n{v}") for v in (0, 1))
+        )
+        bins = sorted(bins.collect(), key=lambda r: r["bin"])
+        sums = below + np.cumsum([weight[0] * r["n0"] + weight[1] * r["n1"] for r in bins])
+        at = min(int(np.searchsorted(sums, level - 1e-9)), len(bins) - 1)
+        smaller = bins[at - 1]["high"] if at else smaller
+        larger = bins[at + 1]["low"] if at + 1 < len(bins) else larger
+        below = sums[at - 1] if at else below
+        low, high = bins[at]["low"], bins[at]["high"]
+        if low == high:
+            return smaller, low, larger
+
+
+def quantile_cut(scored: DataFrame, share: float) -> tuple[float, float]:
+    """The ``share`` quantile of the scores (label, raw), each label weighing as among all labelled rows, in
+    the middle of the gap between the neighbouring scores; and the scale of the scores around it."""
+    n = {r["label"]: r["count"] for r in scored.groupBy("label").count().collect()}
+    smaller, at, larger = neighbours_of_quantile(scored, ((1 - share) / n[0], share / n[1]), 1 - share)
+    beside = larger if larger is not None else smaller if smaller is not None else at
+    middles = []
+    for v in (0, 1):
+        _, middle, _ = neighbours_of_quantile(scored.filter(F.col("label") == v), (1 / n[v], 1 / n[v]), 0.5)
+        middles.append(middle)
+    return (at + beside) / 2, max((middles[1] - middles[0]) / 8, 1e-3)
 
 
 def fit_ranking(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, modulus: int | None = 5) -> RankingModel:
     """Fit on pairs from a bounded sample of labelled documents; the quantile level is the share of the
-    label 0 among all labelled rows. With no pair at all every document scores one half."""
+    label 0 among all labelled rows, and the scores are those of all labelled documents. With no pair at all
+    every document scores one half."""
     rows = labelled(labels, label, modulus=modulus)
     share = rows.agg(F.avg("label")).first()[0]
     sample = collect_sample(docs, bounded_sample(rows, per_label), lambda piece: sparse_rows(quality_grams(piece)))
     if share is None or len(np.unique(sample.labels)) < 2:
         return RankingModel(np.zeros(DIMENSIONS), np.log(CUT / (1 - CUT)), 1.0)
-    weights = fit_pairs(sample)
-    cut, spread = quantile_cut(sample.dot(weights), sample.labels, share)
-    return RankingModel(weights.astype(np.float32), cut, spread)
+    weights = fit_pairs(sample).astype(np.float32)
+    every = docs.select(F.col("doc_id").alias("id"), raw_score("text", weights).alias("raw"))
+    scored = handover(every.join(rows.hint("merge"), "id").select("label", "raw"), "scores")  # one plan at every size
+    cut, spread = quantile_cut(scored, share)
+    return RankingModel(weights, cut, spread)
 
 
 def quality_score(text: Column | str, model: RankingModel) -> Column:

@@ -302,6 +302,26 @@ def test_classifiers_on_odd_rows(spark, docs, odd, empty):
     assert all(r.predicted == 0 for r in toxicity.score_toxicity(odd, toxicity.fit_toxicity(docs, none)).collect())
 
 
+def test_cut_and_radii_cover_all_learning_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = preference.fit_ranking(rows, labels, per_label=20)
+    known = preference.labelled(labels, "quality").withColumnRenamed("id", "doc_id")
+    found = rows.join(known, "doc_id").select("label", preference.raw_score("text", model.weights).alias("raw")).collect()
+    raw, label = np.array([r.raw for r in found]), np.array([r.label for r in found])
+    assert len(raw) > 100 and (raw < model.cut).sum() == pytest.approx((label == 0).sum(), abs=2)
+    middles = [np.quantile(raw[label == v], 0.5, method="inverted_cdf") for v in (0, 1)]
+    assert model.spread == pytest.approx(max((middles[1] - middles[0]) / 8, 1e-3))
+    languages = language.fit_languages(rows, per_language=10)
+    learning = rows.filter("text is not null and lang is not null").filter(language.fold(F.col("doc_id"), 5) != 0)
+    learning = learning.select(F.col("text"), F.col("lang").cast("string").alias("lang"))
+    far = language.learning_distances(learning, languages.languages, languages.centroids, languages.idf).collect()
+    assert len(far) == learning.count()
+    for c, radius in enumerate(languages.radii):
+        own = np.array([r.bits for r in far if r.c == c], dtype=np.int32).view(np.float32)
+        assert radius == np.quantile(own, language.RADIUS_QUANTILE, method="inverted_cdf")
+
+
 def test_language(spark, docs, odd, empty):
     found = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     held = found.filter("held_out").collect()

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bilinear, bpe, decontaminate, language, preference, quality_rules, secrets, simhash, substrings, toxicity
+from lakeops.llm import (
+    align, bilinear, bpe, decontaminate, html, language, preference, quality_rules, secrets, simhash, substrings, toxicity, variants,
+)
 from lakeops.llm.shared import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +130,22 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bilinear.fit_bilinear(docs, fold(F.col("doc_id"), 7) != 2)
     found = bilinear.score_documents(docs, model)
     return found.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.vocabulary(variants.count_words(documents(spark, sf_dir))))
+
+
+@query
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = align.read_vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    coded = align.tokenize(documents(spark, sf_dir), both)
+    found = align.align(coded, both, align.count_pairs(coded, both), groups=lambda text: F.when(text == "", "").otherwise(F.sha2(text, 256)))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract("html").alias("r"))
+    return pages.select("page_id", "url", "r.text", F.char_length("r.text").cast("long").alias("n_chars"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.checks.base import Tables, flag, query, r6
+from lakeops.checks.base import Tables, flag, query, r6, scratch_schema, ts
 from lakeops.operators import profile
+from lakeops.plans.profiles import add_value_counts, stored_profile
 
 SCORED_SQL = """scored AS (SELECT CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction,
   CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0 END AS label,
@@ -116,6 +119,28 @@ def a4(t: Tables) -> DataFrame:
     return rows.withColumns({"null_rate": r6("null_rate"), "mean_value": F.round("mean_value", 5)})
 
 
+def stored_counts(t: Tables) -> str:
+    """Counts by year, stored by two runs: the second sees all rows and adds the years from 1997 on."""
+    table = f"{scratch_schema(t.spark)}.counts_{uuid.uuid4().hex[:12]}"
+    year = F.date_format("l_shipdate", "yyyy")
+    for seen in (features(t).filter(F.col("l_shipdate") < ts("1997-01-01")), features(t)):
+        add_value_counts(seen, FEATURE_NAMES, year, table)
+    return table
+
+
+@query("a4_stored_counts", profile_sql(True, True))
+def a4_stored(t: Tables) -> DataFrame:
+    rows = stored_profile(t.spark.table(stored_counts(t)), features(t), FEATURE_NAMES)
+    return rows.withColumns({"null_rate": r6("null_rate"), "mean_value": F.round("mean_value", 5)})
+
+
+@query("a5_stored_counts_window", profile_sql(False, False, "l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'"))
+def a5_stored(t: Tables) -> DataFrame:
+    two_years = t.spark.table(stored_counts(t)).filter(F.col("period").isin("1996", "1997"))
+    rows = stored_profile(two_years, features(t), FEATURE_NAMES, monitoring=True)
+    return rows.withColumns({"null_rate": r6("null_rate"), "mean_value": F.round("mean_value", 5)})
+
+
 @query("a5_feature_monitoring", profile_sql(False, False))
 def a5(t: Tables) -> DataFrame:
     rows = profile.feature_monitoring(features(t), FEATURE_NAMES)

@@ -81,3 +81,35 @@ def test_hot_value(spark):
 def test_odd_column_names(spark):
     df = spark.createDataFrame([(1, "x")], "`a.b` int, `c d` string")
     assert {r.feature_name for r in profile.feature_baseline(df, ["a.b", "c d"]).collect()} == {"a.b", "c d"}
+
+
+def test_one_scan_and_two_shuffles(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = profile.profile_columns(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_stored_counts_add_only_new_periods(spark):
+    from lakeops.plans.profiles import add_value_counts, stored_profile
+
+    rows = [("a", i % 7, i / 4, "x" if i % 3 else None, None) for i in range(50)] + [("b", 1, 0.5, "y", None)] * 20
+    df = spark.createDataFrame(rows, "day string, i int, d double, s string, n date")
+    spark.sql("CREATE SCHEMA IF NOT EXISTS profiled")
+    names = ["i", "d", "s", "n"]
+    add_value_counts(df.filter("day = 'a'"), names, F.col("day"), "profiled.counts")
+    first = {r.partition for r in spark.sql("SHOW PARTITIONS profiled.counts").collect()}
+    new = add_value_counts(df, names, F.col("day"), "profiled.counts")
+    assert first == {"period=a"} and {r.period for r in new.collect()} == {"b"}
+    assert add_value_counts(df, names, F.col("day"), "profiled.counts").count() == 0
+    stored = spark.table("profiled.counts")
+    for monitoring, whole in ((False, profile.feature_baseline), (True, profile.feature_monitoring)):
+        got = stored_profile(stored, df, names, monitoring).collect()
+        assert {tuple(r) for r in got} == {tuple(r) for r in whole(df, names).collect()}
+    plan = stored_profile(stored.filter("period = 'b'"), df, names)._jdf.queryExecution().executedPlan().toString()
+    assert "period = b" in plan.replace("#", " ").replace("(", " ") or "PartitionFilters: [isnotnull(period" in plan
+    renamed = df.select(F.col("i").cast("string").alias("i"), "d", "s", "n", "day")
+    try:
+        add_value_counts(renamed.withColumn("day", F.lit("c")), ["i"], F.col("day"), "profiled.counts")
+        raise AssertionError("other types must be refused")
+    except ValueError:
+        pass

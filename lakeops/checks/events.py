@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.checks.base import Tables, query, scratch_schema, ts
+from lakeops.checks.base import Tables, query, scratch_folder, scratch_schema, ts
 from lakeops.operators import runs
 from lakeops.operators.events import event_rows, new_events, newest, upsert
 from lakeops.sources import tables as tb
+from lakeops.sources.buckets import create_buckets, read_buckets, upsert_buckets
 
 RUNS_SQL = """runs AS (SELECT event_type AS component, 'r' || user_id AS run_id, ts AS event_timestamp, event_id,
   CASE WHEN event_id % 5 < 2 THEN 'STARTED' WHEN event_id % 5 = 4 THEN 'ERROR' ELSE 'SUCCESS' END AS status,
@@ -98,6 +99,17 @@ def s7_table(t: Tables) -> DataFrame:
     return t.spark.table(name)
 
 
+@query("s7_upsert_buckets", UPSERT_SQL)
+def s7_buckets(t: Tables) -> DataFrame:
+    """The bucketed form: two sources one after the other, which together are the source of the other queries."""
+    target, source = upsert_sides(t)
+    path = f"{scratch_folder(t.spark)}/customers-{uuid.uuid4().hex}"
+    create_buckets(target, path, ["c_custkey"], 16)
+    for part in (source.filter("c_custkey % 3 = 0"), source.filter("c_custkey % 3 > 0")):
+        upsert_buckets(part, path, ["c_acctbal"])
+    return read_buckets(t.spark, path)
+
+
 STAGES_SQL = """stages AS (SELECT source AS project, 'knowledge' AS stage, count(*) AS row_count FROM documents GROUP BY 1
   UNION ALL SELECT source, 'chunks', count(*) FROM documents WHERE n_chars > 200 GROUP BY 1
   UNION ALL SELECT source, 'embeddings', count(*) FROM documents WHERE n_chars > 1000 AND lang <> 'de' GROUP BY 1

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.checks.base import Tables, query
+from lakeops.checks.base import Tables, query, scratch_folder
 from lakeops.operators import governance as gov
+from lakeops.sources.buckets import read_buckets
 
 # One specification per part, its columns from the line items of the part.
 TABLES_SQL = """tables AS (SELECT p_partkey AS spec_id, CASE WHEN p_size % 9 = 0 THEN ' ' WHEN p_size % 2 = 0 THEN 'main' END AS catalog_name,
@@ -125,12 +128,14 @@ def g4_control(t: Tables) -> DataFrame:
     return gov.mask_by_control(rows, control, ["c_nationkey"], ["c_name"], ["guests"], "hash").drop("c_nationkey")
 
 
-@query("g5_masking_control", """WITH control AS (SELECT DISTINCT 'main' AS catalog, 'brz' AS schema, 't' || o_custkey AS tabela, o_orderpriority AS coluna FROM orders),
+CONTROL_SQL = """WITH control AS (SELECT DISTINCT 'main' AS catalog, 'brz' AS schema, 't' || o_custkey AS tabela, o_orderpriority AS coluna FROM orders),
   fresh AS (SELECT DISTINCT 'main' AS catalog, 'brz' AS schema, 't' || (l_suppkey * 11) AS tabela, CASE WHEN l_returnflag = 'A' THEN '1-URGENT' ELSE l_returnflag END AS coluna FROM lineitem)
   SELECT coalesce(c.tabela, f.tabela) AS tabela, coalesce(c.coluna, f.coluna) AS coluna, f.tabela IS NOT NULL AS anonimizar, f.tabela IS NOT NULL AS pass_masking,
   CASE WHEN f.tabela IS NOT NULL THEN 'GRUPO' ELSE 'old' END AS grants, CASE WHEN f.tabela IS NOT NULL THEN 'SELECT' ELSE 'NONE' END AS tipo_de_acesso
-  FROM control c FULL JOIN fresh f USING (tabela, coluna)""")
-def g5(t: Tables) -> DataFrame:
+  FROM control c FULL JOIN fresh f USING (tabela, coluna)"""
+
+
+def control_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     old = F.array(F.lit("old"))
     control = t.orders.select(
         F.lit("main").alias("catalog"),
@@ -154,7 +159,26 @@ def g5(t: Tables) -> DataFrame:
         F.concat(F.lit("t"), F.col("l_suppkey") * 11).alias("tabela"),
         F.when(F.col("l_returnflag") == "A", "1-URGENT").otherwise(F.col("l_returnflag")).alias("coluna"),
     ).distinct()
-    merged = gov.upsert_control(control, gov.control_rows(fresh, ["GRUPO"], ["DONO"]))
-    return merged.select(
+    return control, gov.control_rows(fresh, ["GRUPO"], ["DONO"])
+
+
+def control_report(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "tabela", "coluna", "anonimizar", "pass_masking", F.array_join("grant_view_dados", ";").alias("grants"), "tipo_de_acesso"
     )
+
+
+@query("g5_masking_control", CONTROL_SQL)
+def g5(t: Tables) -> DataFrame:
+    return control_report(gov.upsert_control(*control_sides(t)))
+
+
+@query("g5_upsert_table", CONTROL_SQL)
+def g5_table(t: Tables) -> DataFrame:
+    """The stored control table: the fresh rows are merged twice, the second time without effect."""
+    control, fresh = control_sides(t)
+    path = f"{scratch_folder(t.spark)}/control-{uuid.uuid4().hex}"
+    gov.store_control(control, path, 8)
+    for _ in range(2):
+        gov.store_control(fresh, path)
+    return control_report(read_buckets(t.spark, path))

@@ -11,6 +11,7 @@ from lakeops.functions.rules import blank
 from lakeops.functions.text import masked_text
 from lakeops.operators.events import null_safe, upsert
 from lakeops.operators.profile import union_all
+from lakeops.sources.buckets import create_buckets, upsert_buckets
 
 # Required properties and tags.
 REQUIRED_PROPERTIES = ("delta.enableDeletionVectors", "delta.minReaderVersion", "delta.minWriterVersion")
@@ -237,3 +238,12 @@ def control_rows(columns: DataFrame, groups: Sequence[str], owners: Sequence[str
 def upsert_control(control: DataFrame, rows: DataFrame) -> DataFrame:
     """Control table after merging masking rows on its four-column key."""
     return upsert(control, rows, CONTROL_KEY)
+
+
+def store_control(rows: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Merge masking rows into the control table stored at ``path`` in key buckets; with ``buckets`` the table is made
+    anew from them."""
+    if buckets is not None:
+        create_buckets(rows, path, CONTROL_KEY, buckets)
+    else:
+        upsert_buckets(rows, path)

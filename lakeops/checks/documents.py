@@ -13,7 +13,7 @@ from lakeops.operators import retrieval as rt
 from lakeops.operators.events import newest, new_events
 from lakeops.sources.tables import scan_knowledge
 from lakeops.plans.documents import Stages, run_documents
-from lakeops.streaming.ingest import stream_new_chunks
+from lakeops.streaming.ingest import append_new_chunks, document_chunks, stream_new_chunks
 
 SIZE, OVERLAP = 800, 120
 STEP = SIZE - OVERLAP
@@ -419,3 +419,20 @@ def s9_stream(t: Tables) -> DataFrame:
         t.spark, f"{t.sf_dir}/documents.parquet", t.documents.schema, f"{folder}/chunks", f"{folder}/state", "text", ["doc_id"], SIZE, OVERLAP
     )
     return t.spark.read.parquet(f"{folder}/chunks").select("chunk_hash")
+
+
+@query("s9_two_arrivals", f"""WITH {NEW_SQL} SELECT chunk_hash, CAST(1 AS BIGINT) AS copies, CAST(CASE WHEN bool_or(source < 'src15') THEN 0 ELSE 1 END AS INTEGER) AS arrival
+  FROM hashed GROUP BY chunk_hash""")
+def s9_arrivals(t: Tables) -> DataFrame:
+    """Documents of two arrivals, the second with some of the first again; then its micro-batch runs once more."""
+    folder = f"{scratch_folder(t.spark)}/s9-{uuid.uuid4().hex}"
+    early = F.col("source") < "src15"
+    again = t.documents.filter(early & (F.col("doc_id") % 10 == 0))
+    for arrival in (t.documents.filter(early), t.documents.filter(~early).unionByName(again)):
+        arrival.write.mode("append").parquet(f"{folder}/in")
+        stream_new_chunks(
+            t.spark, f"{folder}/in", t.documents.schema, f"{folder}/chunks", f"{folder}/state", "text", ["doc_id"], SIZE, OVERLAP
+        )
+    append_new_chunks(document_chunks(arrival, "text", ["doc_id"], SIZE, OVERLAP), f"{folder}/chunks", 1)
+    stored = t.spark.read.parquet(f"{folder}/chunks")
+    return stored.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("batch").alias("arrival"))

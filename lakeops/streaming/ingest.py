@@ -1,4 +1,8 @@
-"""Incremental document ingestion: only chunks whose hash is not stored yet."""
+"""Incremental document ingestion: only chunks whose hash is not stored yet.
+
+Stored chunks lie in ``batch=<n>/prefix=<p>`` folders, ``p`` being the first letters of the hash. A batch reads only the
+hashes with its own prefixes, so a small arrival does not read the whole store.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +19,45 @@ from lakeops.operators.retrieval import chunk_identity, chunk_rows
 
 # no folder yet, or one without a finished file
 NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+PREFIX_LETTERS = 2  # 256 prefixes of hexadecimal hashes
+MOST_LETTERS = 4  # the driver lists the prefixes of a batch
+FILES_PER_TRIGGER = 1000
 
 
 def document_chunks(documents: DataFrame, text: str, keys: Sequence[str], size: int, overlap: int) -> DataFrame:
     return chunk_identity(chunk_rows(documents, text, size, overlap, keys), keys)
 
 
-def append_new_chunks(chunks: DataFrame, path: str, batch: int) -> None:
-    """Write the new chunks of one batch to its own folder ``batch=<n>`` below ``path``.
+def hash_prefix(letters: int):
+    return F.substring("chunk_hash", 1, letters)
 
-    The folder is overwritten, and the batch's own rows are not counted as stored, so a batch that is
-    run again after a failure ends with the same rows.
-    """
-    spark = chunks.sparkSession
+
+def stored_hashes(spark: SparkSession, path: str, prefixes: Sequence[str], batch: int) -> DataFrame:
+    """Hashes with one of the prefixes that other batches stored; both are partition filters. A hash is stored once."""
     try:
-        stored = spark.read.parquet(path).filter(F.col("batch") != batch).select("chunk_hash")
+        spark.read.parquet(path).select("chunk_hash", "batch", "prefix")  # a store of another shape is an error
+        rows = spark.read.schema("chunk_hash STRING, batch INT, prefix STRING").parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() not in NOTHING_STORED:
             raise
-        stored = chunks.select("chunk_hash").filter(F.lit(False))
+        rows = spark.createDataFrame([], "chunk_hash STRING, batch INT, prefix STRING")
+    return rows.filter(F.col("prefix").isin(list(prefixes)) & (F.col("batch") != batch)).select("chunk_hash")
+
+
+def append_new_chunks(chunks: DataFrame, path: str, batch: int, letters: int = PREFIX_LETTERS) -> None:
+    """Write the new chunks of one batch to its own folder ``batch=<n>`` below ``path``, by hash prefix.
+
+    The folder is overwritten, and the batch's own rows are not counted as stored, so a batch that is
+    run again after a failure ends with the same rows. ``letters`` stays the same for one store.
+    """
+    if not 0 < letters <= MOST_LETTERS:
+        raise ValueError(f"between 1 and {MOST_LETTERS} letters")
+    spark = chunks.sparkSession
+    prefixes = [r[0] for r in chunks.select(hash_prefix(letters)).distinct().collect()]  # at most 16 ** MOST_LETTERS
+    stored = stored_hashes(spark, path, prefixes, batch)
     fresh = new_events(chunks, stored, ["chunk_hash"], newest("chunk_id"), unique_existing=True)
-    fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    placed = fresh.withColumn("prefix", hash_prefix(letters)).repartition("prefix")
+    placed.write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/batch={batch}")
 
 
 def stream_new_chunks(
@@ -48,10 +70,15 @@ def stream_new_chunks(
     keys: Sequence[str],
     size: int = 800,
     overlap: int = 120,
+    files_per_trigger: int = FILES_PER_TRIGGER,
+    letters: int = PREFIX_LETTERS,
 ) -> None:
-    """Process all documents that arrived since the last call, then stop (available-now trigger)."""
+    """Process all documents that arrived since the last call, then stop (available-now trigger).
+
+    A micro-batch takes at most ``files_per_trigger`` files, so a long pause before a call does not make one huge batch.
+    """
     folder, _, name = source.rpartition("/")
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if name.endswith(".parquet"):
         reader, source = reader.option("pathGlobFilter", name), folder
     documents = reader.parquet(source)
@@ -59,7 +86,7 @@ def stream_new_chunks(
     stream = (
         chunks.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: append_new_chunks(batch, target, number))
+        .foreachBatch(lambda batch, number: append_new_chunks(batch, target, number, letters))
         .start()
     )
     stream.awaitTermination()

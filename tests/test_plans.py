@@ -26,7 +26,7 @@ from lakeops.plans.monitoring import prediction_drift_alerts, store_drift
 from lakeops.plans.training import train_and_score
 from lakeops.session import checkpoint_root
 from lakeops.sources.tables import append_events
-from lakeops.streaming.ingest import append_new_chunks, document_chunks, stream_new_chunks
+from lakeops.streaming.ingest import append_new_chunks, document_chunks, hash_prefix, stored_hashes, stream_new_chunks
 
 NOW = datetime(2024, 2, 1)
 
@@ -179,6 +179,33 @@ def test_stream_is_incremental(spark, tmp_path):
     assert stored.select("chunk_hash").distinct().count() == stored.count()
 
 
+def test_stored_hashes_are_pruned_by_prefix(spark, tmp_path):
+    path = str(tmp_path / "store")
+    chunks = document_chunks(knowledge(spark), "document_text", ["document_id"], 120, 20)
+    append_new_chunks(chunks, path, 0)
+    some = chunks.limit(2)
+    prefixes = [r[0] for r in some.select(hash_prefix(2)).distinct().collect()]
+    seen = stored_hashes(spark, path, prefixes, 1)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert all(p in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0] for p in prefixes)
+    files = seen.select(F.input_file_name()).distinct().count()
+    assert 0 < files <= len(prefixes) < spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    append_new_chunks(chunks, path, 1)
+    append_new_chunks(chunks, path, 0)
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("chunk_hash").distinct().count() == chunks.select("chunk_hash").distinct().count()
+
+
+def test_a_trigger_takes_a_bounded_number_of_files(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = knowledge(spark)
+    rows.repartition(3).write.parquet(source)
+    stream_new_chunks(spark, source, rows.schema, target, state, "document_text", ["document_id"], 120, 20, files_per_trigger=1)
+    stored = spark.read.parquet(target)
+    assert stored.select("batch").distinct().count() > 1
+    assert stored.count() == document_chunks(rows, "document_text", ["document_id"], 120, 20).select("chunk_hash").distinct().count()
+
+
 VALID = {
     "spec_id": 1, "catalog_name": None, "schema_name": "clientes_silver", "table_name": "tb_cliente", "table_description": "Tabela",
     "table_properties": governance.DEFAULT_PROPERTIES, "table_tags": {"descricao_tabela": "Tabela", "sla": "N/A"}, "using_format": "delta",

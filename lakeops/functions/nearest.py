@@ -1,7 +1,8 @@
 """Arrow kernels that keep the best chunks per question inside one task.
 
-Spark splits, ships and merges the data; a kernel only turns one batch of chunks into the running
-best of each question, so the scores of all pairs never leave the task.
+Spark splits, ships and merges the data. A kernel scores a slice of chunks against the questions it holds and
+lets in only what beats each question's last kept score, so a slice without such an entry sorts nothing.
+Chunks are handled by their place in id order; ids come back at the end.
 """
 
 from __future__ import annotations
@@ -14,19 +15,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DIGITS = 12
+SLACK = 10.0**-DIGITS  # rounding to DIGITS moves a score by less
 CELLS = 4_000_000
+FIRST_ROWS = 128  # of the first slice of a task; the following ones double
+SET_SHARE = 0.1  # 64 words become one bit set while their squared shares of the questions add up to this
+MOST_SETS = 8
 
 
 @dataclass
 class Questions:
-    """Questions held by a task: ids, how many chunks each asks for and keeps, unit vectors and word postings (both may
-    be absent)."""
+    """Questions held by a task: ids, how many chunks each asks for and keeps, unit vectors, and their words as an
+    inverted index (vectors and words may be absent).
 
-    ids: list
+    ``words`` are sorted by falling number of questions. The first 64 x ``sets.shape[0]`` of them are bits of one number per
+    question and set; the postings of word i, ``posting_questions[posting_offsets[i]:posting_offsets[i + 1]]``, serve the others.
+    """
+
+    ids: pa.Array
     asked: np.ndarray
     keep: np.ndarray
     vectors: np.ndarray | None = None
-    words: list[str] | None = None
+    words: pa.Array | None = None
+    sets: np.ndarray | None = None
     posting_offsets: np.ndarray | None = None
     posting_questions: np.ndarray | None = None
 
@@ -34,20 +44,33 @@ class Questions:
     def from_table(cls, table: pa.Table, depth: int = 0) -> Questions:
         """Columns ``query_id``, ``k`` and optionally ``vector`` and ``terms``; at least ``depth`` are kept."""
         asked = table.column("k").to_numpy()
-        result = cls(table.column("query_id").to_pylist(), asked, np.maximum(asked, depth))
+        result = cls(table.column("query_id").combine_chunks(), asked, np.maximum(asked, depth))
         if "vector" in table.column_names:
             result.vectors = unit_rows(to_matrix(table.column("vector").combine_chunks()))
         if "terms" in table.column_names:
-            lists = table.column("terms").combine_chunks()
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            encoded = pc.dictionary_encode(lists.flatten())
-            codes = encoded.indices.to_numpy()
-            order = np.argsort(codes, kind="stable")
-            result.words = encoded.dictionary.to_pylist()
-            result.posting_questions = owner[order]
-            result.posting_offsets = np.searchsorted(codes[order], np.arange(len(result.words) + 1))
+            result._index(table.column("terms").combine_chunks())
         return result
 
+    def _index(self, lists: pa.Array) -> None:
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        encoded = pc.dictionary_encode(lists.flatten())
+        codes, count = encoded.indices.to_numpy(), len(encoded.dictionary)
+        asking = np.bincount(codes, minlength=count)
+        by_count = np.argsort(-asking, kind="stable")
+        place = np.empty(count, dtype=np.int64)
+        place[by_count] = np.arange(count)
+        codes = place[codes]
+        order = np.argsort(codes, kind="stable")
+        self.words = encoded.dictionary.take(pa.array(by_count))
+        self.posting_questions = owner[order]
+        self.posting_offsets = np.searchsorted(codes[order], np.arange(count + 1))
+        shares = (asking[by_count] / max(len(lists), 1)) ** 2
+        worth = np.add.reduceat(shares, np.arange(0, count, 64)) >= SET_SHARE if count else np.empty(0, bool)
+        self.sets = np.zeros((min(int(worth.sum()), MOST_SETS), len(lists)), dtype=np.uint64)
+        for s, bits in enumerate(self.sets):
+            own = slice(self.posting_offsets[64 * s], self.posting_offsets[min(64 * (s + 1), count)])
+            np.add.at(bits, self.posting_questions[own], np.uint64(1) << (codes[order][own] - 64 * s).astype(np.uint64))
+
 
 def to_matrix(lists: pa.Array) -> np.ndarray:
     if len(pc.unique(pc.list_value_length(lists))) > 1:
@@ -62,29 +85,38 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def vector_scores(questions: Questions, batch: pa.RecordBatch) -> np.ndarray:
-    """Cosine of every chunk (rows) and question (columns), rounded so that equal vectors tie."""
+    """Cosine of every chunk (rows) and question (columns), not yet rounded."""
     chunks = unit_rows(to_matrix(batch.column("vector")))
     if chunks.shape[1] != questions.vectors.shape[1]:
         raise ValueError("vectors of different lengths cannot be compared")
-    return np.round(chunks @ questions.vectors.T, DIGITS)
+    return chunks @ questions.vectors.T
 
 
 def overlap_scores(questions: Questions, batch: pa.RecordBatch) -> np.ndarray:
-    """Number of shared distinct words of every chunk and question."""
+    """Number of shared distinct words of every chunk and question: the set bits both have, and for all other
+    words one for each posting."""
     lists, count = batch.column("terms"), len(questions.ids)
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    found = pc.index_in(lists.flatten(), value_set=pa.array(questions.words, pa.string()))
+    found = pc.index_in(lists.flatten(), value_set=questions.words)
     known = found.is_valid().to_numpy(zero_copy_only=False)
-    word = pc.drop_null(found).to_numpy()
+    word = pc.drop_null(found).to_numpy().astype(np.int64)
     rows = rows[known]
+    shared = np.zeros((len(lists), count), dtype=np.int32)
+    for s, asked in enumerate(questions.sets):
+        own = word // 64 == s
+        bits = np.zeros(len(lists), dtype=np.uint64)
+        np.add.at(bits, rows[own], np.uint64(1) << (word[own] - 64 * s).astype(np.uint64))
+        shared += np.bitwise_count(bits[:, None] & asked[None, :])
+    rare = word >= 64 * len(questions.sets)
+    rows, word = rows[rare], word[rare]
     start, length = questions.posting_offsets[word], np.diff(questions.posting_offsets)[word]
-    shared = np.zeros(len(lists) * count)
+    flat = shared.reshape(-1)
     for part in bounded(length):
         n = length[part]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         hit = questions.posting_questions[np.repeat(start[part], n) + within]
-        np.add.at(shared, np.repeat(rows[part], n) * count + hit, 1.0)
-    return shared.reshape(len(lists), count)
+        np.add.at(flat, np.repeat(rows[part], n) * count + hit, 1)
+    return shared
 
 
 def bounded(lengths: np.ndarray) -> Iterator[slice]:
@@ -94,45 +126,73 @@ def bounded(lengths: np.ndarray) -> Iterator[slice]:
     return (slice(a, b) for a, b in zip(edges[:-1], edges[1:]))
 
 
-def best(question: np.ndarray, chunk: np.ndarray, score: np.ndarray, keep_of: np.ndarray):
-    """First entries per question by score, then chunk id, as many as the question keeps."""
-    if not len(question):
-        return question, chunk, score
-    order = np.lexsort((np.unique(chunk, return_inverse=True)[1], -score, question))
-    sorted_question = question[order]
-    first = np.searchsorted(sorted_question, sorted_question, side="left")
-    keep = order[np.arange(len(order)) - first < keep_of[sorted_question]]
-    return question[keep], chunk[keep], score[keep]
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + size - 1`` of every entry, end to end."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def batch_best(scores: np.ndarray, chunk_ids: np.ndarray, keep_of: np.ndarray, positive_only: bool):
-    """Candidates of one batch: everything at least as good as the last score its question can keep."""
-    n, k = len(chunk_ids), int(keep_of.max())
-    bound = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
-    keep = scores >= bound
-    if positive_only:
-        keep &= scores > 0
-    row, question = np.nonzero(keep)
-    return best(question, chunk_ids[row], scores[row, question], keep_of)
+class Best:
+    """Best chunks per question so far, by falling score, then place; question q has the slots ``starts[q]`` to
+    ``starts[q] + keep[q] - 1``. ``floor`` is the score a chunk must beat in any case."""
 
+    def __init__(self, keep: np.ndarray, floor: float = -np.inf):
+        self.keep, self.floor = keep, floor
+        self.starts = np.cumsum(keep) - keep
+        self.scores = np.full(int(keep.sum()), -np.inf)
+        self.places = np.full(int(keep.sum()), -1, dtype=np.int64)
+        self.sorts = 0
 
-def running_best(batches: Iterator[pa.RecordBatch], questions: Questions, rankers: dict) -> dict:
-    """Best chunks per ranker and question over all batches of a task, one batch at a time.
+    @property
+    def bars(self) -> np.ndarray:
+        """What a later chunk has to beat: the last kept score, as equal scores rank by place."""
+        return np.maximum(self.scores[self.starts + self.keep - 1], self.floor)
+
+    def add(self, scores: np.ndarray, first: int) -> None:
+        """Scores of a slice: chunks (rows, the first at place ``first``) by questions (columns)."""
+        bars = self.bars
+        row, question = np.nonzero(scores > bars - SLACK)
+        found = np.round(scores[row, question], DIGITS)
+        enters = found > bars[question]
+        row, question, found = row[enters], question[enters], found[enters]
+        if len(question):
+            self._merge(question, first + row, found)
+
+    def _merge(self, question: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
+        self.sorts += 1
+        touched = np.unique(question)
+        slots = ranges(self.starts[touched], self.keep[touched])
+        filled = self.places[slots] >= 0
+        slots, owner = slots[filled], np.repeat(touched, self.keep[touched])[filled]
+        question, place, score = (np.concatenate(p) for p in ((owner, question), (self.places[slots], place), (self.scores[slots], score)))
+        order = np.lexsort((place, -score, question))
+        question = question[order]
+        rank = np.arange(len(order)) - np.searchsorted(question, question)
+        kept = rank < self.keep[question]
+        target, order = self.starts[question[kept]] + rank[kept], order[kept]
+        self.scores[target], self.places[target] = score[order], place[order]
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, place, score) of all filled slots, in order."""
+        filled = self.places >= 0
+        return np.repeat(np.arange(len(self.keep)), self.keep)[filled], self.places[filled], self.scores[filled]
+
+
+RANKERS = {"vector": (vector_scores, -np.inf), "terms": (overlap_scores, 0.0)}
 
-    ``rankers`` maps a name to (scorer, positive scores only).
-    """
-    state: dict = {}
-    step = max(1, CELLS // max(1, len(questions.ids)))
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = compact(batch.slice(start, step))
-            ids = np.array(part.column("chunk_id").to_pylist())
-            for name, (scorer, positive_only) in rankers.items():
-                fresh = batch_best(scorer(questions, part), ids, questions.keep, positive_only)
-                if name in state:
-                    fresh = best(*[np.concatenate(pair) for pair in zip(state[name], fresh)], questions.keep)
-                state[name] = fresh
-    return state
+
+def rank_chunks(chunks: pa.Table, questions: Questions, names: list[str]) -> tuple[pa.Array, dict[str, Best]]:
+    """Ids of the chunks in order, and each ranker's best places in it."""
+    chunks = chunks.take(pc.sort_indices(chunks, [("chunk_id", "ascending")]))
+    best = {name: Best(questions.keep, RANKERS[name][1]) for name in names}
+    most = max(1, CELLS // max(1, len(questions.ids)))
+    at, size = 0, min(FIRST_ROWS, most)
+    while at < chunks.num_rows:
+        part = chunks.slice(at, size).combine_chunks()
+        batch = compact(part.to_batches()[0])
+        for name, state in best.items():
+            state.add(RANKERS[name][0](questions, batch), at)
+        at, size = at + size, min(2 * size, most)
+    return chunks.column("chunk_id").combine_chunks(), best
 
 
 def compact(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,13 +200,62 @@ def compact(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.arange(batch.num_rows)))
 
 
-def best_rows(state, questions: Questions, ranker: str, schema: pa.Schema) -> pa.RecordBatch:
-    question, chunk, score = state
-    columns = [
-        pa.array([questions.ids[i] for i in question], schema.field("query_id").type),
-        pa.array([ranker] * len(question), pa.string()),
-        pa.array(chunk.tolist(), schema.field("chunk_id").type),
-        pa.array(score, pa.float64()),
-        pa.array(questions.asked[question], pa.int32()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
+def list_rows(ids: pa.Array, state: Best, questions: Questions, ranker: str, schema: pa.Schema) -> pa.RecordBatch:
+    """One row per question with a list: ids and scores of its best chunks."""
+    question, place, score = state.lists()
+    return merged_rows(questions.ids, ids, (question, place, score, None), questions.asked, ranker, schema)
+
+
+def merged_rows(queries: pa.Array, ids: pa.Array, found: tuple, asked: np.ndarray, ranker: str, schema: pa.Schema) -> pa.RecordBatch:
+    """Merged lists of one ranker as list rows again."""
+    question, chunk, score, _ = found
+    own, first = np.unique(question, return_index=True)
+    offsets = pa.array(np.append(first, len(question)).astype(np.int32))
+    values = {
+        "query_id": queries.take(pa.array(own)),
+        "ranker": pa.array([ranker] * len(own), pa.string()),
+        "k": pa.array(asked[own].astype(np.int32)),
+        "chunk_ids": pa.ListArray.from_arrays(offsets, ids.take(pa.array(chunk))),
+        "scores": pa.ListArray.from_arrays(offsets, pa.array(score, pa.float64())),
+    }
+    return pa.RecordBatch.from_arrays([values[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def merge_lists(lists: pa.Table, depth: int) -> tuple[pa.Array, pa.Array, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Merge the lists of several fragments: ids of the questions and chunks they name, per ranker (question, chunk,
+    score, rank) by question and rank, and how many each question asks for."""
+    queries = pc.dictionary_encode(lists.column("query_id").combine_chunks())
+    chunk_lists = lists.column("chunk_ids").combine_chunks()
+    chunks = pc.dictionary_encode(chunk_lists.flatten())
+    by_id = pc.sort_indices(chunks.dictionary).to_numpy()
+    place = np.empty(len(by_id), dtype=np.int64)
+    place[by_id] = np.arange(len(by_id))
+    sizes = np.diff(chunk_lists.offsets.to_numpy())
+    question = np.repeat(queries.indices.to_numpy(), sizes)
+    chunk = place[chunks.indices.to_numpy()]
+    score = lists.column("scores").combine_chunks().flatten().to_numpy()
+    asked = np.zeros(len(queries.dictionary), dtype=np.int64)
+    asked[queries.indices.to_numpy()] = lists.column("k").to_numpy()
+    ranker = np.repeat(np.array(lists.column("ranker").to_pylist(), dtype=object), sizes)
+    merged = {}
+    for name in sorted(set(lists.column("ranker").to_pylist())):
+        own = np.flatnonzero(ranker == name)
+        merged[name] = first_of(question[own], chunk[own], score[own], np.maximum(asked, depth))
+    return queries.dictionary, chunks.dictionary.take(pa.array(by_id)), merged, asked
+
+
+def first_of(question: np.ndarray, chunk: np.ndarray, score: np.ndarray, keep: np.ndarray):
+    """(question, chunk, score, rank) of the first ``keep`` entries per question by score, then chunk; ranks start at 1."""
+    order = np.lexsort((chunk, -score, question))
+    question = question[order]
+    rank = np.arange(len(order)) - np.searchsorted(question, question) + 1
+    kept = rank <= keep[question]
+    return question[kept], chunk[order][kept], score[order][kept], rank[kept]
+
+
+def fuse(merged: dict, n_chunks: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, chunk, score): the sum of 1 / (offset + rank) over the rankers' lists, to DIGITS digits."""
+    question, chunk, rank = (np.concatenate([m[i] for m in merged.values()]) for i in (0, 1, 3))
+    cells, where = np.unique(question * n_chunks + chunk, return_inverse=True)
+    score = np.bincount(where, weights=1.0 / (offset + rank), minlength=len(cells))
+    return cells // max(n_chunks, 1), cells % max(n_chunks, 1), np.round(score, DIGITS)

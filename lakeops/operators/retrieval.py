@@ -29,6 +29,7 @@ NO_EVIDENCE = "Não encontrei evidência suficiente no contexto recuperado para
 PROMPT_QUESTION, PROMPT_CONTEXT = "Pergunta:\n", "\n\nContexto recuperado:\n"
 PROMPT_END = "\n\nResponda em português brasileiro com base apenas no contexto acima."
 SUMMARY_PROMPT = "Resuma em uma frase o conteúdo deste trecho: "
+MAX_RESULTS = 1000  # chunks a request may ask for
 REQUEST_DEFAULTS = {"num_results": 5, "max_context_chars": 6000, "max_tokens": 800, "temperature": 0.1}
 QUERY_COLUMNS = (
     "chunk_id", "document_id", "file_name", "display_name", "page_number", "chunk_text",
@@ -167,37 +168,47 @@ def index_rows(embeddings: DataFrame, dimensions: int | None = None, bucket_bits
 
 # ---- search ----------------------------------------------------------------------------------
 
-RANKERS = {"vector": (nearest.vector_scores, False), "terms": (nearest.overlap_scores, True)}
+MERGE_FAN = 64  # fragments whose lists one task merges
 
 
-def _parts(rows: DataFrame, names: Sequence[str], part_bytes: int, least: int) -> int:
-    """Number of parts of about ``part_bytes`` each; one aggregate over stored rows."""
+def _bytes(rows: DataFrame, names: Sequence[str]) -> Column:
+    """What a row of vectors and words takes in a task."""
     weight = {"vector": F.size("vector") * 8, "terms": F.octet_length(F.array_join("terms", " ")) + 8 * F.size("terms")}
-    size = sum((weight[name] for name in names), F.lit(16)).cast("long")
-    return max(least, -(-(rows.agg(F.sum(size)).first()[0] or 0) // part_bytes))
+    return sum((weight[name] for name in names), F.lit(16)).cast("long")
 
 
-def _search(questions: DataFrame, chunks: DataFrame, names: Sequence[str], k: int | str, part_bytes: int, depth: int = 0) -> DataFrame:
-    """Best chunks per question and ranker with their ``rank``, exact; ``depth`` or ``k`` of them,
-    whichever is more. ``k`` is a number or the column of ``questions`` with each one's own.
+def _search(
+    questions: DataFrame, chunks: DataFrame, names: Sequence[str], k: int | str, part_bytes: int, depth: int = 0, fuse_offset: int | None = None
+) -> DataFrame:
+    """Best chunks per question, exact: ``query_id``, ``chunk_id``, ``score``, ``rank``. ``k`` is a number or the column of
+    ``questions`` with each one's own. With ``fuse_offset`` the lists of all rankers (``depth`` or ``k`` entries, whichever is
+    more) are fused by reciprocal rank; without, the one ranker's list is the result.
 
     One plan at every size: both sides are stored once, so that what they are computed from runs once. Each
     is cut into parts of ``part_bytes``, the chunks into one for every core at least. Every block of questions
     meets every fragment of chunks in a shuffle; a task holds one of each and keeps the best per question.
+    Those lists, one row a question and fragment, are merged ``MERGE_FAN`` fragments at a time.
     """
     complete = " AND ".join(f"{name} IS NOT NULL" for name in names)
     wanted = F.col(k) if isinstance(k, str) else F.lit(k)
     q = stored(questions.select("query_id", wanted.cast("int").alias("k"), *names).filter(f"{complete} AND k > 0"), "questions")
     c = stored(chunks.select("chunk_id", *names).filter(complete), "chunks")
-    out = T.StructType(
-        [q.schema["query_id"], T.StructField("ranker", T.StringType()), c.schema["chunk_id"], T.StructField("score", T.DoubleType()),
-         T.StructField("k", T.IntegerType())]
+    query_id, chunk_id = q.schema["query_id"], c.schema["chunk_id"]
+    lists = T.StructType(
+        [T.StructField("bucket", T.LongType()), T.StructField("fragment", T.LongType()), query_id, T.StructField("ranker", T.StringType()),
+         T.StructField("k", T.IntegerType()), T.StructField("chunk_ids", T.ArrayType(chunk_id.dataType)), T.StructField("scores", T.ArrayType(T.DoubleType()))]
     )
-    arrow = to_arrow_schema(out)
-    rankers = {name: RANKERS[name] for name in names}
-
-    blocks = _parts(q, names, part_bytes, 1)
-    fragments = _parts(c, names, part_bytes, q.sparkSession.sparkContext.defaultParallelism)
+    out = T.StructType([query_id, chunk_id, T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    held_lists = T.StructType(lists.fields[2:])
+    arrow, lists_arrow, out_arrow = to_arrow_schema(held_lists), to_arrow_schema(lists), to_arrow_schema(out)
+    rankers = list(names)
+
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    asked_bytes, entries = q.agg(F.sum(_bytes(q, names)), F.sum(F.greatest("k", F.lit(depth)).cast("long"))).first()
+    blocks = max(1, -(-(asked_bytes or 0) // part_bytes))
+    fragments = max(cores, -(-(c.agg(F.sum(_bytes(c, names))).first()[0] or 0) // part_bytes))
+    # an entry of a list is an id and a score, about 32 bytes
+    buckets = max(cores, -(-32 * (entries or 0) * len(names) * min(fragments, MERGE_FAN) // part_bytes))
     left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
         "fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)).cast("array<bigint>"))
     )
@@ -207,20 +218,41 @@ def _search(questions: DataFrame, chunks: DataFrame, names: Sequence[str], k: in
 
     def rank_block(some_questions: pa.Table, some_chunks: pa.Table) -> pa.Table:
         if not some_questions.num_rows or not some_chunks.num_rows:
-            return arrow.empty_table()
+            return pa.Table.from_batches([], schema=fragment_arrow)
         held = nearest.Questions.from_table(some_questions, depth)
-        found = nearest.running_best(iter(some_chunks.to_batches()), held, rankers)
-        return pa.Table.from_batches([nearest.best_rows(state, held, name, arrow) for name, state in found.items()], schema=arrow)
+        ids, best = nearest.rank_chunks(some_chunks, held, rankers)
+        found = pa.Table.from_batches([nearest.list_rows(ids, state, held, name, arrow) for name, state in best.items()], schema=arrow)
+        place = pa.array([some_questions.column("fragment")[0].as_py()] * found.num_rows, pa.int64())
+        return found.add_column(0, fragment_arrow.field(0), place)
+
+    def merge_some(some: pa.Table) -> pa.Table:
+        queries, chunk_ids, merged, asked = nearest.merge_lists(some, depth)
+        rows = [
+            nearest.merged_rows(queries, chunk_ids, found, asked, name, arrow) for name, found in merged.items()
+        ]
+        table = pa.Table.from_batches(rows, schema=arrow)
+        for i, column in enumerate(("bucket", "fragment")):
+            table = table.add_column(i, lists_arrow.field(i), pa.array([some.column(column)[0].as_py()] * table.num_rows, pa.int64()))
+        return table
+
+    def finish(some: pa.Table) -> pa.Table:
+        queries, chunk_ids, merged, asked = nearest.merge_lists(some, depth)
+        if fuse_offset is None:
+            question, chunk, score, rank = next(iter(merged.values()))
+        else:
+            question, chunk, score, rank = nearest.first_of(*nearest.fuse(merged, len(chunk_ids), fuse_offset), asked)
+        columns = [queries.take(pa.array(question)), chunk_ids.take(pa.array(chunk)), pa.array(score), pa.array(rank.astype("int32"))]
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, out_arrow, strict=True)], schema=out_arrow)
 
     keys = ["block", "fragment"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, out)
-    return _first(partial, ["query_id", "ranker"], F.greatest(F.col("k"), F.lit(depth)) if isinstance(k, str) else max(k, depth))
-
-
-def _first(found: DataFrame, keys: Sequence[str], count: int | Column) -> DataFrame:
-    """The best ``count`` rows per key with their ``rank``; equal scores rank by chunk id."""
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
+    fragment_schema = T.StructType(lists.fields[1:])
+    fragment_arrow = to_arrow_schema(fragment_schema)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, fragment_schema)
+    found = found.withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.lit(buckets))).select(*lists.names)
+    while fragments > MERGE_FAN:
+        fragments = -(-fragments // MERGE_FAN)
+        found = found.withColumn("fragment", F.floor(F.col("fragment") / MERGE_FAN)).groupBy("bucket", "fragment").applyInArrow(merge_some, lists)
+    return found.groupBy("bucket").applyInArrow(finish, out)
 
 
 def similar_chunks(questions: DataFrame, chunks: DataFrame, k: int | str = 5, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -230,7 +262,7 @@ def similar_chunks(questions: DataFrame, chunks: DataFrame, k: int | str = 5, pa
     a number or a column of ``questions`` (none or NULL: no chunks). Equal scores rank by chunk id. Rows
     without a vector are left out; vectors of different lengths fail.
     """
-    return _search(questions, chunks, ["vector"], k, part_bytes).drop("ranker", "k")
+    return _search(questions, chunks, ["vector"], k, part_bytes)
 
 
 def hybrid_chunks(
@@ -239,15 +271,11 @@ def hybrid_chunks(
     """Vector and keyword rankings fused by reciprocal rank.
 
     Both rankings list their best ``depth`` chunks, or ``k`` where that is more (keyword score: shared distinct
-    words, at least one); a chunk's score is the sum of 1 / (60 + rank) over the lists it is in. Both sides
-    carry ``terms`` beside ``vector``.
+    words, at least one); a chunk's score is the sum of 1 / (60 + rank) over the lists it is in, to 12 digits. Both
+    sides carry ``terms`` beside ``vector``. The keyword ranking is exact: each task holds an inverted index of its
+    questions, the most frequent words as bit sets, and every question's last kept score shuts out the rest.
     """
-    lists = _search(questions, chunks, ["vector", "terms"], k, part_bytes, depth)
-    fused = lists.groupBy("query_id", "chunk_id").agg(
-        F.sum(1.0 / (F.lit(RECIPROCAL_OFFSET) + F.col("rank"))).alias("score"), F.max("k").alias("k")
-    )
-    rounded = fused.withColumn("score", F.round("score", 12))
-    return _first(rounded, ["query_id"], F.col("k") if isinstance(k, str) else k).drop("k")
+    return _search(questions, chunks, ["vector", "terms"], k, part_bytes, depth, RECIPROCAL_OFFSET)
 
 
 SEARCHES = {"hybrid": hybrid_chunks, "vector": similar_chunks}
@@ -310,17 +338,23 @@ def context_rows(ranked: DataFrame, max_chars: int | str = 6000, key: str = "que
     return whole.select(key, context.alias("context_text"), "retrieved_chunks")
 
 
-def question_rows(requests: DataFrame, defaults: Mapping[str, float] = REQUEST_DEFAULTS) -> DataFrame:
-    """Requests with their question (``prompt`` where it is blank) and filled-in defaults; requests
-    with neither are flagged ``is_rejected``. Missing and zero settings take the default."""
+def question_rows(
+    requests: DataFrame, defaults: Mapping[str, float] = REQUEST_DEFAULTS, max_results: int = MAX_RESULTS
+) -> DataFrame:
+    """Requests with their question (``prompt`` where it is blank) and filled-in defaults. Requests with neither,
+    or for more than ``max_results`` chunks, are flagged ``is_rejected`` with a ``reject_reason``: what one request
+    asks for sets what a search task holds. Missing and zero settings take the default."""
     asked = F.when(~blank("question"), F.col("question")).when(~blank("prompt"), F.col("prompt"))
     question = F.regexp_replace(asked, r"^\s+|\s+\z", "")
-    rows = requests.withColumn("question", question).withColumn("is_rejected", F.col("question").isNull())
+    rows = requests.withColumn("question", question)
     for name, value in defaults.items():
         kind = "double" if isinstance(value, float) else "int"
         given = F.nullif(F.col(name), F.lit(0)) if name in requests.columns else F.lit(None)
         rows = rows.withColumn(name, F.coalesce(given, F.lit(value)).cast(kind))
-    return rows
+    reason = F.when(F.col("question").isNull(), "no question")
+    if "num_results" in rows.columns:
+        reason = reason.when(F.col("num_results") > max_results, f"more than {max_results} results")
+    return rows.withColumn("reject_reason", reason).withColumn("is_rejected", F.col("reject_reason").isNotNull())
 
 
 def prompt_rows(questions: DataFrame, contexts: DataFrame, key: str = "query_id") -> DataFrame:

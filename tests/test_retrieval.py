@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,56 @@ def test_keyword_kernel_in_bounded_runs(monkeypatch):
         assert all(lengths[run].sum() - lengths[run][-1] <= 7 for run in runs)
 
 
+def word_questions(rng, count, words):
+    lists = [rng.choice(words, rng.integers(1, len(words)), replace=False).tolist() for _ in range(count)]
+    table = pa.table({"query_id": list(range(count)), "k": pa.array([3] * count, pa.int32()), "terms": lists})
+    return lists, nearest.Questions.from_table(table)
+
+
+@pytest.mark.parametrize("share, most", [(nearest.SET_SHARE, nearest.MOST_SETS), (1e-9, 8), (1e-9, 1), (1e9, 8)])
+def test_bit_sets_and_postings_count_alike(monkeypatch, share, most):
+    monkeypatch.setattr(nearest, "SET_SHARE", share)
+    monkeypatch.setattr(nearest, "MOST_SETS", most)
+    rng = np.random.default_rng(1)
+    asked, held = word_questions(rng, 20, [f"w{i}" for i in range(150)])
+    chunks = [rng.choice([f"w{i}" for i in range(200)], 40, replace=False).tolist() for _ in range(30)]
+    got = nearest.overlap_scores(held, pa.record_batch({"terms": pa.array([*chunks, []])}))
+    assert got.tolist() == [[len(set(c) & set(a)) for a in asked] for c in [*chunks, []]]
+    assert len(held.sets) == (0 if share > 1 else min(most, 3)) or share == 0.1
+
+
+def test_slices_without_an_entry_sort_nothing():
+    best = nearest.Best(np.array([2, 1]))
+    best.add(np.array([[0.5, 0.9], [0.4, 0.8]]), 0)
+    assert best.sorts == 1
+    best.add(np.array([[0.4, 0.9], [0.3, 0.1]]), 2)  # equal scores rank by place, so they do not enter
+    assert best.sorts == 1
+    best.add(np.array([[0.45, 0.0]]), 4)
+    assert best.sorts == 2
+    question, place, score = best.lists()
+    assert (question.tolist(), place.tolist(), score.tolist()) == ([0, 0, 1], [0, 4, 0], [0.5, 0.45, 0.9])
+
+
+def test_lists_of_many_fragments_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(rt, "MERGE_FAN", 2)
+    rng = np.random.default_rng(6)
+    c = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist(), [f"w{x}" for x in rng.integers(0, 9, 3)]) for i in range(120)], "chunk_id long, vector array<double>, terms array<string>")
+    q = spark.createDataFrame([(f"q{i}", rng.integers(-2, 3, 4).astype(float).tolist(), [f"w{x}" for x in rng.integers(0, 9, 2)]) for i in range(9)], "query_id string, vector array<double>, terms array<string>")
+    c = c.withColumn("terms", F.array_distinct("terms"))
+    q = q.withColumn("terms", F.array_distinct("terms"))
+    for search in (rt.similar_chunks, rt.hybrid_chunks):
+        many = {tuple(r) for r in search(q, c, 7, part_bytes=300).collect()}
+        monkeypatch.setattr(rt, "MERGE_FAN", 64)
+        assert many == {tuple(r) for r in search(q, c, 7).collect()} and len(many) == 63
+        monkeypatch.setattr(rt, "MERGE_FAN", 2)
+
+
+def test_requests_for_too_many_chunks_are_rejected(spark):
+    rows = spark.createDataFrame([("a", "x", 5), ("b", "x", 10_000), ("c", " ", 5)], "query_id string, question string, num_results int")
+    got = {r.query_id: (r.is_rejected, r.reject_reason) for r in rt.question_rows(rows.withColumn("prompt", F.lit(None).cast("string"))).collect()}
+    assert got == {"a": (False, None), "b": (True, "more than 1000 results"), "c": (True, "no question")}
+
+
 @pytest.mark.parametrize("part", [1 << 24, 300])
 def test_hybrid_brute_force(spark, part):
     rng = random.Random(5)

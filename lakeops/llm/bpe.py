@@ -116,6 +116,15 @@ def groups(texts: pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
 _encoders: dict[tuple[int, str], Encoder] = {}
 
 
+def _encoder(model: bytes, pattern: str) -> Encoder:
+    """The encoder of this Python worker."""
+    key = (hash(model), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model, pattern)
+    return _encoders[key]
+
+
 def encode(text: Column | str, tokens: list[bytes], pattern: str) -> Column:
     """Ids of each text, as the bytes of little-endian unsigned 32-bit integers.
 
@@ -125,11 +134,8 @@ def encode(text: Column | str, tokens: list[bytes], pattern: str) -> Column:
     model = serialise_model(tokens)
 
     def run(texts: pa.Array) -> pa.Array:
-        key = (hash(model), pattern)
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(model, pattern)
-        return pa.array([ids for group in groups(texts) for ids in _encoders[key].encode(group)], type=pa.binary())
+        coder = _encoder(model, pattern)
+        return pa.array([ids for group in groups(texts) for ids in coder.encode(group)], type=pa.binary())
 
     return F.arrow_udf(run, "binary")(text)
 
@@ -148,5 +154,24 @@ def decode(ids: Column | str, tokens: list[bytes]) -> Column:
     return F.arrow_udf(run, "binary")(ids)
 
 
+def round_trip(text: Column | str, tokens: list[bytes], pattern: str) -> Column:
+    """Struct (ids, decoded) of each text: encoded once, and these ids decoded again by the inverse mapping.
+
+    Both leave one function, as two chained ones would be planned apart and encode every text twice.
+    """
+    model, table = serialise_model(tokens), list(tokens)
+
+    def run(texts: pa.Array) -> pa.Array:
+        coder, of = _encoder(model, pattern), table.__getitem__
+        ids, back = [], []
+        for group in groups(texts):
+            for coded in coder.encode(group):
+                ids.append(coded)
+                back.append(b"".join(map(of, np.frombuffer(coded, dtype="<u4").tolist())))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["ids", "decoded"])
+
+    return F.arrow_udf(run, "ids binary, decoded binary")(text)
+
+
 def n_tokens(ids: Column | str) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

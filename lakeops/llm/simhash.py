@@ -131,21 +131,22 @@ def components(edges: DataFrame) -> DataFrame:
         labels = following.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row: its SimHash and the smallest id among all rows whose
-    fingerprints connect to it by steps of at most 2 differing bits.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, fp, root, component_id) for every row: its SimHash, its group (``root``, a fingerprint) and the
+    smallest id among all rows whose fingerprints connect to it by steps of at most 2 differing bits.
 
     Exact copies share a fingerprint and are folded before the join. Null and empty texts have
     fingerprint 0 and link like any other. Rows repeat as in the input; a null id takes part and is never
     a component_id unless its whole group has none. An empty table gives an empty result.
     """
-    rows = handover(docs.select(F.col(id_column).alias("id"), fingerprint(text_column).alias("fp")), "fingerprints")
+    own = [F.col(f"`{c}`").alias(c) for c in keep]
+    rows = handover(docs.select(F.col(id_column).alias("id"), *own, fingerprint(text_column).alias("fp")), "fingerprints")
     firsts = handover(rows.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
     roots = components(links(firsts.select("fp")))
     grouped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = handover(grouped.join(handover(least, "least"), "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    classes = handover(grouped.join(handover(least, "least"), "root").select("fp", "root", "component_id"), "classes")
+    return rows.join(classes, "fp").select(F.col("id").alias(id_column), *keep, "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -65,9 +65,12 @@ def test_bpe_equals_tiktoken(spark, odd, texts):
     cases = [*texts.values(), "", "<|endoftext|>", "a" * 300, "  x\n\n ", "\x00é漢😀", None]
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     coded = df.select("text", bpe.encode("text", tokens, public_tokenizers.PATTERN).alias("ids"))
-    for r in coded.select("*", bpe.decode("ids", tokens).alias("back")).collect():
+    both = df.select("text", bpe.round_trip("text", tokens, public_tokenizers.PATTERN).alias("r")).select("text", "r.ids", F.col("r.decoded").alias("back"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("run(") == 1
+    for r in [*coded.select("*", bpe.decode("ids", tokens).alias("back")).collect(), *both.collect()]:
         assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(r.text or "")
         assert bytes(r.back) == (r.text or "").encode()
+    assert df.limit(0).select(bpe.round_trip("text", tokens, public_tokenizers.PATTERN)).count() == 0
 
 
 def brute_fingerprint(text):
@@ -382,3 +385,18 @@ def test_pipeline_stages(spark, docs, odd, empty):
             out.collect()
     cleaned = corpus_pipeline.remove_secrets(spark, odd.withColumn("text", F.lit("x token = abcdefghijkl9 y")), SF_DIR).collect()
     assert {(r.text, r.n_chars) for r in cleaned} == {("x [SECRET] y", 12)}
+
+
+def test_pipeline_decides_by_content(spark):
+    passage = " ".join(spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text.split())
+    clean, other = " ".join(f"c{i}" for i in range(40)), " ".join(f"d{i}" for i in range(40))
+    rows = [(1, passage), (1, clean), (None, passage), (None, clean), (2, clean), (3, other), (3, clean), (4, other), (4, other)]
+    schema = "doc_id long, text string, n_chars long, content string, row_key string, `od``d` int, found_spans int, verdict int"
+    df = spark.createDataFrame([(i, t, 1, "c", "r", 0, 0, 0) for i, t in rows], schema)
+    left = corpus_pipeline.drop_contaminated(spark, df, SF_DIR)
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(r for r in rows if r[1] != passage)
+    single = corpus_pipeline.drop_near_duplicates(spark, df, SF_DIR)
+    assert single.columns == df.columns and sorted((r.doc_id, r.text) for r in single.collect()) == sorted([(1, passage), (1, clean), (3, other)])
+    for stage in (corpus_pipeline.drop_low_quality, corpus_pipeline.remove_secrets):
+        assert stage(spark, df, SF_DIR).columns == df.columns

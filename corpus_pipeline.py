@@ -9,63 +9,80 @@ null texts have no words and go with the quality rules.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.llm import bpe, decontaminate, quality_rules, secrets, simhash
 from lakeops.llm.shared import documents, handover, table
 
 
-def _columns(docs: DataFrame, flag: str) -> list:
-    """The columns of ``docs``, quoted, without the helper column."""
-    return [F.col(f"`{c}`") for c in docs.columns if c != flag]
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def _content() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents that the quality rules keep; the model is fitted on the labelled input documents."""
     model = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
-    judged = docs.withColumn("__verdict", quality_rules.verdict("text", model))
-    return judged.filter("__verdict.kept").select(*_columns(docs, "__verdict"))
+    verdict = _fresh(docs, "verdict")
+    judged = docs.withColumn(verdict, quality_rules.verdict("text", model))
+    return judged.filter(F.col(verdict)["kept"]).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Repeated rows of that id count as one
-    document; rows without an id stay, as they name no document that could stand for them."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # one plan at every size
-    repeated = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return repeated.unionByName(kept.filter("doc_id is null")).select(*_columns(docs, ""))
+    """One row of each group: the one with the smallest id, then the smallest hash of id and text; rows without
+    an id come last. Rows are told apart by id and text, so two texts under one id are two documents."""
+    row = _fresh(docs, "row_key")
+    own = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit(""))), 256)
+    keyed = docs.withColumn(row, own)
+    groups = simhash.near_duplicates(keyed.select("doc_id", "text", row), keep=(row,))
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", F.col(row).alias("key"))).alias("first")
+    stay = handover(groups.groupBy("root").agg(first).select(F.col("first.key").alias(row)), "stay")
+    kept = keyed.join(stay.hint("merge"), row, "left_semi")  # one plan at every size
+    return kept.dropDuplicates([row]).select(*_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = handover(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs, ""))
+    """Documents without a benchmark passage, told apart by their text: what their id is, or whether they have one,
+    is no matter."""
+    key = _fresh(docs, "content")
+    keyed = docs.withColumn(key, _content())
+    found = decontaminate.contaminated(keyed.select(key, "text"), table(spark, sf_dir, "benchmark"), id_column=key)
+    gone = handover(found.select(key).distinct(), "contaminated")
+    return keyed.join(gone, key, "left_anti").select(*_columns(docs))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a placeholder; ``n_chars`` follows the new text. Spans belong
     to a content, so repeated rows and rows without an id are cleaned like any other."""
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = secrets.find_secrets(keyed, "__key").filter(F.size("spans") > 0)
-    marked = handover(found.groupBy("__key").agg(F.first("spans").alias("__spans")), "spans")
-    joined = keyed.join(marked.hint("merge"), "__key", "left")  # one plan at every size
-    hit = F.col("__spans").isNotNull()
-    cleaned = joined.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    key, spans = _fresh(docs, "content"), _fresh(docs, "found_spans")
+    keyed = docs.withColumn(key, _content())
+    found = secrets.find_secrets(keyed.select(key, "text"), key).filter(F.size("spans") > 0)
+    marked = handover(found.groupBy(key).agg(F.first("spans").alias(spans)), "spans")
+    joined = keyed.join(marked.hint("merge"), key, "left")  # one plan at every size
+    hit = F.col(spans).isNotNull()
+    cleaned = joined.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     cleaned = cleaned.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(*_columns(docs, ""))
+    return cleaned.select(*_columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, intact): the ids of every text as little-endian 32-bit integers, and
     whether they decode to the text again."""
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = docs.select("doc_id", "text", bpe.encode("text", tokens, public_tokenizers.PATTERN).alias("ids"))
-    decoded = bpe.decode("ids", tokens)
-    same = decoded == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), "ids", same.alias("intact"))
+    coded = docs.select("doc_id", "text", bpe.round_trip("text", tokens, public_tokenizers.PATTERN).alias("r"))
+    same = F.col("r.decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return coded.select("doc_id", bpe.n_tokens("r.ids").alias("n_tokens"), "r.ids", same.alias("intact"))
 
 
 STAGES = [

@@ -51,8 +51,8 @@ def count_words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     named = docs.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("key"), F.col(f"`{text}`").alias("text"))
     runs = named.select("key", F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
-    own = runs.select("key", lower_ascii(F.col("run")).alias("run")).groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"))
-    return own.select(mutated(F.col("key"), F.col("run")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    words = runs.select("key", lower_ascii(F.col("run")).alias("run")).select(mutated(F.col("key"), F.col("run")).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mutated(key: Column, run: Column) -> Column:
@@ -101,19 +101,31 @@ class SortedList:
 
     def children(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cut each range of words sharing ``depth`` letters by their next letter: (parent, low, high) of the parts.
-        The first word of a range may end there; it has no next letter and is left out."""
+
+        Ranges that several queries walk are cut once; different ones of a depth do not overlap, so the work is that of
+        the list's words. The first word of a range may end there; it has no next letter and is left out.
+        """
+        n = len(self.words) + 1
+        cells, where = np.unique((depth * n + low) * n + high, return_inverse=True)
+        high, rest = cells % n, cells // n
+        low, depth = rest % n, rest // n
         low = low + (self.sizes[low] == depth)
-        kept = np.flatnonzero(low < high)
-        low, high, depth = low[kept], high[kept], depth[kept]
         size = high - low
-        before = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) + np.repeat(low - before, size)
-        parent = np.repeat(np.arange(len(kept)), size)
-        first = (self.lcp[place] <= depth[parent]) | (place == low[parent])
-        starts, owner = place[first], parent[first]
-        last = np.append(owner[1:] != owner[:-1], True)
-        ends = np.where(last, high[owner], np.append(starts[1:], 0))
-        return kept[owner], starts, ends
+        place = ranges(low, size)
+        owner = np.repeat(np.arange(len(cells)), size)
+        first = (self.lcp[place] <= depth[owner]) | (place == low[owner])
+        starts, owner = place[first], owner[first]
+        last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+        ends = np.where(last, high[owner], np.append(starts[1:], 0)[: len(owner)])
+        parts = np.bincount(owner, minlength=len(cells))
+        before = np.cumsum(parts) - parts
+        taken = ranges(before[where], parts[where])
+        return np.repeat(np.arange(len(where)), parts[where]), starts[taken], ends[taken]
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + size - 1`` of every entry, end to end."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def near_words(queries: list[str], prefix: np.ndarray, held: SortedList) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ OWN_KIND = {"li": "ul ol menu dir", "dt": "dl", "dd": "dl", "tr": "table", "td":
 # Words of class, id and role attributes that name side matter, and those that undo the next one.
 SIDE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment "
-    "comments commentlist consent cookie cookies disqus dialog alertdialog footer gdpr header masthead menu menubar modal nav "
+    "comments commentlist consent cookie cookies copyright disqus dialog alert alertdialog footer gdpr header masthead menu menubar modal nav "
     "navbar navigation navigationbar newsletter notice notification overlay pagination pager popup promo promoted promotion "
     "related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe "
     "tagcloud toolbar widget widgets contentinfo complementary".split()

@@ -128,7 +128,7 @@ def g4_control(t: Tables) -> DataFrame:
     return gov.mask_by_control(rows, control, ["c_nationkey"], ["c_name"], ["guests"], "hash").drop("c_nationkey")
 
 
-CONTROL_SQL = """WITH control AS (SELECT DISTINCT 'main' AS catalog, 'brz' AS schema, 't' || o_custkey AS tabela, o_orderpriority AS coluna FROM orders),
+STORED_CONTROL_SQL = """WITH control AS (SELECT DISTINCT 'main' AS catalog, 'brz' AS schema, 't' || o_custkey AS tabela, o_orderpriority AS coluna FROM orders),
   fresh AS (SELECT DISTINCT 'main' AS catalog, 'brz' AS schema, 't' || (l_suppkey * 11) AS tabela, CASE WHEN l_returnflag = 'A' THEN '1-URGENT' ELSE l_returnflag END AS coluna FROM lineitem)
   SELECT coalesce(c.tabela, f.tabela) AS tabela, coalesce(c.coluna, f.coluna) AS coluna, f.tabela IS NOT NULL AS anonimizar, f.tabela IS NOT NULL AS pass_masking,
   CASE WHEN f.tabela IS NOT NULL THEN 'GRUPO' ELSE 'old' END AS grants, CASE WHEN f.tabela IS NOT NULL THEN 'SELECT' ELSE 'NONE' END AS tipo_de_acesso
@@ -168,12 +168,12 @@ def control_report(rows: DataFrame) -> DataFrame:
     )
 
 
-@query("g5_masking_control", CONTROL_SQL)
+@query("g5_masking_control", STORED_CONTROL_SQL)
 def g5(t: Tables) -> DataFrame:
     return control_report(gov.upsert_control(*control_sides(t)))
 
 
-@query("g5_upsert_table", CONTROL_SQL)
+@query("g5_upsert_table", STORED_CONTROL_SQL)
 def g5_table(t: Tables) -> DataFrame:
     """The stored control table: the fresh rows are merged twice, the second time without effect."""
     control, fresh = control_sides(t)

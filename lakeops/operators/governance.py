@@ -65,57 +65,62 @@ def audit_specs(tables: DataFrame, columns: DataFrame, column_tags: DataFrame, k
     missing = F.array_except(_words(REQUIRED_PROPERTIES), F.map_keys(F.coalesce("table_properties", F.create_map())))
     tag = F.element_at(F.col("table_tags"), DESCRIPTION_TAG)
     has_tag = F.coalesce(F.map_contains_key("table_tags", DESCRIPTION_TAG), F.lit(False))
-    lower = columns.withColumn("column_name", F.lower("name"))
-    tags = column_tags.withColumn("column_name", F.lower("column_name"))
-    names = lower.groupBy(key, "column_name").agg(F.count(F.lit(1)).alias("n"))
-    tagged = tags.groupBy(F.col(key).alias("__key"), F.col("column_name").alias("__name")).agg(F.count(F.lit(1)).alias("m"))
-    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("column_name").eqNullSafe(F.col("__name"))
-    # One full join answers all three questions about columns and their tags.
-    both = names.join(tagged, same, "full_outer").select(
-        F.coalesce(key, "__key").alias(key), F.coalesce("column_name", "__name").alias("column_name"), "n", "m"
-    )
     no_tags = F.array_except(_words(REQUIRED_COLUMN_TAGS), F.map_keys(F.coalesce("tags", F.create_map())))
-    with_columns = columns.select(key).distinct()
-    empty = tables.join(with_columns, null_safe(tables, with_columns, (key,)), "left_anti")
-    return union_all(
-        [
-            _violations(
-                tables,
-                key,
-                [
-                    ("blank_catalog", F.col("catalog_name").isNotNull() & blank("catalog_name"), None),
-                    ("blank_schema", blank("schema_name"), None),
-                    ("blank_table", blank("table_name"), None),
-                    ("blank_description", blank("table_description"), None),
-                    ("missing_properties", F.size(missing) > 0, F.array_join(F.array_sort(missing), ",")),
-                    ("missing_description_tag", ~has_tag, None),
-                    ("description_differs", has_tag & ~tag.eqNullSafe(F.col("table_description")), None),
-                ],
-            ),
-            _violations(empty, key, [("no_columns", F.lit(True), None)]),
-            _violations(columns, key, _column_checks()),
-            _violations(
-                both,
-                key,
-                [
-                    ("duplicate_column", F.col("n") > 1, F.col("column_name")),
-                    ("column_without_tags", F.col("m").isNull(), F.col("column_name")),
-                    ("tags_of_unknown_column", F.col("n").isNull(), F.col("column_name")),
-                ],
-            ),
-            _violations(
-                tags,
-                key,
-                [
-                    (
-                        "missing_column_tags",
-                        F.size(no_tags) > 0,
-                        F.concat_ws(":", F.col("column_name"), F.array_join(F.array_sort(no_tags), ",")),
-                    )
-                ],
-            ),
-        ]
+    lower_tag = F.lower("column_name")
+    table_checks = [
+        ("blank_catalog", F.col("catalog_name").isNotNull() & blank("catalog_name"), None),
+        ("blank_schema", blank("schema_name"), None),
+        ("blank_table", blank("table_name"), None),
+        ("blank_description", blank("table_description"), None),
+        ("missing_properties", F.size(missing) > 0, F.array_join(F.array_sort(missing), ",")),
+        ("missing_description_tag", ~has_tag, None),
+        ("description_differs", has_tag & ~tag.eqNullSafe(F.col("table_description")), None),
+    ]
+    tag_checks = [
+        ("missing_column_tags", F.size(no_tags) > 0, F.concat_ws(":", lower_tag, F.array_join(F.array_sort(no_tags), ",")))
+    ]
+    # Every input row is read once and becomes a few entries: what it violates by itself, and what it adds to the counts of its
+    # (lower-case) column name and of its specification. One fold of all entries then answers the questions across rows.
+    entries = [
+        _entries(tables, key, table_checks, [_entry(OF_SPEC, specs=1)]),
+        _entries(columns, key, _column_checks(), [_entry(OF_SPEC, columns=1), _entry(OF_NAME, F.lower("name"), columns=1)]),
+        _entries(column_tags, key, tag_checks, [_entry(OF_NAME, lower_tag, tags=1)]),
+    ]
+    folded = union_all(entries).groupBy(key, "rule", "detail").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), *[F.sum(c).alias(c) for c in ("specs", "columns", "tags")]
     )
+    name = F.col("detail")
+
+    def found(condition: Column, rule: str, detail: Column) -> Column:
+        return F.when(condition, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+
+    of_name = F.array(
+        found(F.col("columns") > 1, "duplicate_column", name),
+        found((F.col("columns") > 0) & (F.col("tags") == 0), "column_without_tags", name),
+        found(F.col("columns") == 0, "tags_of_unknown_column", name),
+    )
+    no_columns = F.struct(F.lit("no_columns").alias("rule"), F.lit("").alias("detail"))
+    violations = (
+        F.when(F.col("rule") == OF_NAME, F.filter(of_name, lambda v: v.isNotNull()))
+        .when(F.col("rule") == OF_SPEC, F.array_repeat(no_columns, F.when(F.col("columns") == 0, F.col("specs")).otherwise(0).cast("int")))
+        .otherwise(F.array_repeat(F.struct("rule", "detail"), F.col("n")))
+    )
+    return folded.select(key, F.explode(violations).alias("v")).select(key, "v.rule", "v.detail")
+
+
+OF_SPEC, OF_NAME = "#spec", "#name"  # entries that count rows of a specification, and of one column name in it
+
+
+def _entry(rule: str, detail: Column | None = None, **counts: int) -> Column:
+    numbers = [F.lit(counts.get(c, 0)).alias(c) for c in ("specs", "columns", "tags")]
+    return F.struct(F.lit(rule).alias("rule"), (F.lit("") if detail is None else detail).alias("detail"), *numbers)
+
+
+def _entries(df: DataFrame, key: str, checks: Sequence[tuple[str, Column, Column | None]], counting: Sequence[Column]) -> DataFrame:
+    """One row per violated check and per counting entry of each row of ``df``."""
+    violated = [F.when(F.coalesce(condition, F.lit(False)), _entry(rule, detail)) for rule, condition, detail in checks]
+    found = F.filter(F.array(*counting, *violated), lambda v: v.isNotNull())
+    return df.select(key, F.explode(found).alias("v")).select(key, "v.*")
 
 
 def audit_contracts(

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeops.checks.base import SPLIT, Tables, query, r6, ts
+from lakeops.checks.base import SPLIT, Tables, query, r6, scratch_folder, ts
 from lakeops.checks.profiling import FEATURE_NAMES, FEATURES, features, profile_sql
 from lakeops.functions import rules
 from lakeops.operators import alerts, drift, events, profile, reconcile
 from lakeops.plans.monitoring import prediction_drift_alerts
+from lakeops.plans.snapshots import current_state, store_snapshot
 from lakeops.sources.tables import conform_events
 
 # ---- stand-ins: daily baseline runs, per-user drift, yearly feature baselines -------------------
@@ -337,6 +341,17 @@ def l7(t: Tables) -> DataFrame:
     return alerts.alerts_with_status(queue(t), "PENDING", ["entity_name"]).select("entity_name", "event_timestamp", "event_id")
 
 
+@query("l7_snapshot_tail", f"WITH {QUEUE_SQL}, folded AS (SELECT * FROM queue QUALIFY row_number() OVER (PARTITION BY entity_name ORDER BY event_timestamp DESC) = 1) "
+       "SELECT entity_name, event_timestamp, event_id FROM folded WHERE notification_status = 'PENDING'")
+def l7_snapshot(t: Tables) -> DataFrame:
+    """The queue from a stored snapshot of the first half of January and the events from a day before its end on."""
+    path = f"{scratch_folder(t.spark)}/queue-{uuid.uuid4().hex}"
+    rows, order, late = queue(t), events.newest("event_timestamp"), timedelta(days=1)
+    store_snapshot(rows, path, ["entity_name"], order, datetime(2024, 1, 16), lateness=late)
+    newest = current_state(rows, path, ["entity_name"], order, lateness=late)
+    return alerts.alerts_with_status(newest, "PENDING", None).select("entity_name", "event_timestamp", "event_id")
+
+
 @query("l7_queue_as_stored", f"WITH {QUEUE_SQL} SELECT entity_name, event_timestamp, event_id FROM queue WHERE notification_status = 'PENDING'")
 def l7_stored(t: Tables) -> DataFrame:
     return alerts.alerts_with_status(queue(t), "PENDING", None).select("entity_name", "event_timestamp", "event_id")

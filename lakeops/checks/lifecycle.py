@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.checks.base import Tables, query, ts
+from lakeops.checks.base import Tables, query, scratch_folder, scratch_schema, ts
 from lakeops.operators import lifecycle as lc
 from lakeops.operators import reconcile
-from lakeops.operators.events import event_rows
-from lakeops.sources.tables import conform_events
+from lakeops.operators.events import event_rows, newest
+from lakeops.plans.lifecycle import run_promotions, run_rollbacks
+from lakeops.plans.snapshots import current_state, store_snapshot
+from lakeops.sources.tables import append_events, conform_events
 
 # ---- stand-ins from orders: one model per customer, one version per order priority ---------------
 
@@ -182,13 +187,16 @@ ROLLBACK_SQL = f"""{DEPLOYMENTS_SQL}, {REGISTRY_SQL}, {LATEST_REGISTRY_SQL}, {AC
     LEFT JOIN latest l ON l.model_name = r.model_name AND l.model_version = a.model_version)"""
 
 
-def rollback_plan(t: Tables) -> DataFrame:
-    requests = t.customer.select(
+def rollback_requests(t: Tables) -> DataFrame:
+    return t.customer.select(
         F.concat(F.lit("m"), "c_custkey").alias("model_name"),
         F.explode(F.array(F.lit("dev"), F.lit("hml"), F.lit("prd"))).alias("target_env"),
         F.concat(F.lit("g"), "c_custkey").alias("run_id"),
     )
-    return lc.rollback_plan(requests, deployments(t), registry(t))
+
+
+def rollback_plan(t: Tables) -> DataFrame:
+    return lc.rollback_plan(rollback_requests(t), deployments(t), registry(t))
 
 
 @query("r8_rollback_plan", f"WITH {ROLLBACK_SQL} SELECT model_name, target_env, run_id, from_version, to_version, to_artifact_path, reason FROM plan")
@@ -297,16 +305,19 @@ PROMOTION_SQL = f"""{REGISTRY_SQL}, {LATEST_REGISTRY_SQL}, {VALID_SQL}, {DEPLOYM
 )
 
 
-def promotion_plan(t: Tables) -> DataFrame:
+def promotion_requests(t: Tables) -> DataFrame:
     nation = F.col("c_nationkey")
-    requests = t.customer.select(
+    return t.customer.select(
         F.concat(F.lit("m"), "c_custkey").alias("model_name"),
         F.when(nation % 3 == 0, "1-URGENT").when(nation % 3 == 1, "5-LOW").alias("model_version"),
         F.when(nation % 4 == 0, "dev").otherwise("hml").alias("source_env"),
         F.when(nation % 8 == 0, "hml").otherwise("prd").alias("target_env"),
         F.concat(F.lit("g"), "c_custkey").alias("run_id"),
     )
-    return lc.promotion_plan(requests, registry(t), deployments(t))
+
+
+def promotion_plan(t: Tables) -> DataFrame:
+    return lc.promotion_plan(promotion_requests(t), registry(t), deployments(t))
 
 
 @query("r10_promotion_plan", f"""WITH {PROMOTION_SQL} SELECT model_name, source_env, target_env, resolved_version, reason, outcome,
@@ -342,3 +353,49 @@ def r10_log(t: Tables) -> DataFrame:
 def r10_governance(t: Tables) -> DataFrame:
     rows = lc.promotion_governance_events(promotion_plan(t))
     return rows.select("model_name", "run_id", "step", "status", "model_version", "message")
+
+
+# ---- jobs over stored tables --------------------------------------------------------------------
+
+
+def stored_history(t: Tables) -> str:
+    """Schema with the stand-ins stored as event tables; the order of events at one time is kept in microseconds."""
+    schema = f"{scratch_schema(t.spark)}_{uuid.uuid4().hex[:8]}"
+    t.spark.sql(f"CREATE SCHEMA {schema} LOCATION '{scratch_folder(t.spark)}/{schema}'")
+    for table, rows in (("tb_model_registry", registry(t)), ("tb_model_deployments", deployments(t))):
+        at = F.col("event_timestamp").cast("timestamp") + F.make_interval(secs=F.col("event_id") / 1e6)
+        append_events(event_rows(rows, at, "dev", "demo"), table, f"{schema}.{table}")
+    return schema
+
+
+@query("r8_rollback_job", f"""WITH {ROLLBACK_SQL} SELECT model_name, target_env, run_id, 'STARTED' AS status, NULL::VARCHAR AS model_version, 'Rollback iniciado' AS message FROM plan WHERE target_env <> 'dev'
+  UNION ALL SELECT model_name, target_env, run_id, CASE WHEN reason IS NULL THEN 'SUCCESS' ELSE 'ERROR' END, CASE WHEN reason IS NULL THEN to_version END,
+  CASE WHEN reason IS NULL THEN 'Rollback executado de ' || from_version || ' para ' || to_version ELSE 'ValueError: ' || reason END FROM plan WHERE target_env <> 'dev'""")
+def r8_job(t: Tables) -> DataFrame:
+    """The job in two halves, the second with all requests: those of the first half are not decided again."""
+    schema, asked = stored_history(t), rollback_requests(t)
+    for requests in (asked.filter("crc32(model_name) % 2 = 0"), asked):
+        run_rollbacks(t.spark, schema, requests, ts("2030-01-01"), "dev", "demo", f"{schema}.plan", f"{scratch_folder(t.spark)}/{schema}-journal")
+    return t.spark.table(f"{schema}.tb_ml_governance_runs").select("model_name", "target_env", "run_id", "status", "model_version", "message")
+
+
+@query("r10_promotion_job", f"WITH {PROMOTION_SQL} SELECT model_name, resolved_version AS model_version, artifact_path, source_env, target_env, "
+       "'PROMOTION_APPROVED' AS status, 'Promotion request accepted' AS reason FROM plan WHERE outcome = 'PROMOTE'")
+def r10_job(t: Tables) -> DataFrame:
+    """The job run twice with the same requests; the second run appends nothing."""
+    schema, asked = stored_history(t), promotion_requests(t)
+    for _ in range(2):
+        run_promotions(t.spark, schema, asked, ts("2030-01-01"), "dev", "demo", f"{schema}.plan", f"{scratch_folder(t.spark)}/{schema}-journal")
+    return t.spark.table(f"{schema}.tb_ml_model_promotions").select(
+        "model_name", "model_version", "artifact_path", "source_env", "target_env", "status", "reason"
+    )
+
+
+@query("r1_snapshot_tail", f"WITH {REGISTRY_SQL}, {LATEST_REGISTRY_SQL} SELECT model_name, model_version, status, run_id FROM latest")
+def r1_snapshot(t: Tables) -> DataFrame:
+    """The same state from two stored snapshots, the second built on the first, and the events behind it."""
+    path = f"{scratch_folder(t.spark)}/registry-{uuid.uuid4().hex}"
+    events, order = registry(t), newest("event_timestamp", "event_id")
+    for until in (datetime(1996, 1, 1), datetime(1998, 1, 1)):
+        store_snapshot(events, path, lc.MODEL, order, until)
+    return current_state(events, path, lc.MODEL, order).select("model_name", "model_version", "status", "run_id")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.checks.base import Tables, query, ts
+from lakeops.checks.base import Tables, query, scratch_schema, ts
 from lakeops.checks.drifting import ALERTS_SQL, DRIFTED_SQL, USERS_SQL, alerted
 from lakeops.functions.rules import cycle_key
 from lakeops.operators import policy as pl
 from lakeops.operators.events import event_rows
+from lakeops.plans.retention import append_periods, apply_retention
 from lakeops.sources.tables import conform_events
 
 POLICY = pl.Policy(
@@ -184,3 +189,21 @@ def t11(t: Tables) -> DataFrame:
 def t11_kept(t: Tables) -> DataFrame:
     kept, _ = pl.retention_split(t.lineitem.select("l_orderkey", F.col("l_shipdate").alias("event_timestamp")), 180, ts("2000-07-01"))
     return kept
+
+
+@query("t11_apply", """WITH kept AS (SELECT 'lineitem' AS table_name, l_shipdate AS moment FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-07-01 06:00:00' - INTERVAL 900 DAY
+  UNION ALL SELECT 'orders', o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '2000-07-01 06:00:00' - INTERVAL 1500 DAY UNION ALL SELECT 'events', ts FROM events)
+  SELECT table_name, count(*) AS kept_rows, min(moment) AS oldest FROM kept GROUP BY 1""")
+def t11_apply(t: Tables) -> DataFrame:
+    """Three stored tables in monthly partitions, each with its own number of days; the second call changes nothing."""
+    schema = scratch_schema(t.spark)
+    days = {}
+    for name, rows, kept in (("lineitem", t.lineitem.select(F.col("l_shipdate").alias("at")), 900), ("orders", t.orders.select(F.col("o_orderdate").alias("at")), 1500),
+                             ("events", t.events.select(F.col("ts").alias("at")), 180)):
+        table = f"{schema}.{name}_{uuid.uuid4().hex[:12]}"
+        append_periods(rows, table, "at", "month")
+        days[table] = kept
+    for _ in range(2):
+        apply_retention(t.spark, days, datetime(2000, 7, 1, 6), "at", "month")
+    parts = [t.spark.table(table).select(F.lit(table.split(".")[1].split("_")[0]).alias("table_name"), "at") for table in days]
+    return reduce(DataFrame.unionByName, parts).groupBy("table_name").agg(F.count(F.lit(1)).alias("kept_rows"), F.min("at").alias("oldest"))

@@ -20,7 +20,7 @@ def stored_periods(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.sql(f"SHOW PARTITIONS {table}").select(F.regexp_extract("partition", f"^{PERIOD}=(.*)$", 1).alias(PERIOD)).distinct()
 
 
-def _replace_partitions(rows: DataFrame, table: str) -> None:
+def replace_partitions(rows: DataFrame, table: str) -> None:
     """Overwrite the partitions that ``rows`` has and no others; the session's own overwrite mode is kept."""
     conf, name = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
     before = conf.get(name)
@@ -52,7 +52,7 @@ def add_value_counts(df: DataFrame, columns: Sequence[str], period: Column, tabl
         counts.limit(0).write.partitionBy(PERIOD).saveAsTable(table)
     elif [c for c in spark.table(table).columns] != counts.columns:
         raise ValueError(f"{table} counts columns of other types")
-    _replace_partitions(counts, table)
+    replace_partitions(counts, table)
     return spark.table(table) if known is None else spark.table(table).join(known, PERIOD, "left_anti")
 
 

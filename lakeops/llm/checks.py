@@ -52,8 +52,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.read_ranks(RANKS)
-    coded = documents(spark, sf_dir).select("doc_id", bpe.encode("text", tokens, public_tokenizers.PATTERN).alias("ids"))
-    both = coded.select("doc_id", "ids", bpe.decode("ids", tokens).alias("decoded"))
+    both = documents(spark, sf_dir).select("doc_id", bpe.round_trip("text", tokens, public_tokenizers.PATTERN).alias("r")).select("doc_id", "r.*")
     return both.select(
         "doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -140,7 +139,8 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = align.read_vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
-    coded = align.tokenize(documents(spark, sf_dir), both)
+    docs = documents(spark, sf_dir)
+    coded = align.tokenize(docs, both)
     found = align.align(coded, both, align.count_pairs(coded, both), groups=lambda text: F.when(text == "", "").otherwise(F.sha2(text, 256)))
     return found.withColumnRenamed("groups", "groups_sha256")
 

@@ -7,7 +7,7 @@ Chunks are handled by their place in id order; ids come back at the end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ DIGITS = 12
 SLACK = 10.0**-DIGITS  # rounding to DIGITS moves a score by less
 CELLS = 4_000_000
 FIRST_ROWS = 128  # of the first slice of a task; the following ones double
-SET_SHARE = 0.1  # 64 words become one bit set while their squared shares of the questions add up to this
+SET_SHARE = 0.005  # 64 words become one bit set while their squared shares of the questions add up to this
 MOST_SETS = 8
 
 
@@ -131,12 +131,25 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+STEP_BITS = 41
+
+
+def cosine_steps(score: np.ndarray) -> np.ndarray:
+    """Rounded cosines as whole numbers below 2 ** STEP_BITS, the best ones smallest."""
+    return np.rint((1.0 - score) * 10**DIGITS).astype(np.int64) + 8
+
+
+def count_steps(score: np.ndarray) -> np.ndarray:
+    """The same for numbers of shared words."""
+    return (1 << STEP_BITS - 1) - score.astype(np.int64)
+
+
 class Best:
     """Best chunks per question so far, by falling score, then place; question q has the slots ``starts[q]`` to
     ``starts[q] + keep[q] - 1``. ``floor`` is the score a chunk must beat in any case."""
 
-    def __init__(self, keep: np.ndarray, floor: float = -np.inf):
-        self.keep, self.floor = keep, floor
+    def __init__(self, keep: np.ndarray, floor: float = -np.inf, steps: Callable[[np.ndarray], np.ndarray] | None = None):
+        self.keep, self.floor, self.steps = keep, floor, steps or cosine_steps
         self.starts = np.cumsum(keep) - keep
         self.scores = np.full(int(keep.sum()), -np.inf)
         self.places = np.full(int(keep.sum()), -1, dtype=np.int64)
@@ -164,9 +177,11 @@ class Best:
         filled = self.places[slots] >= 0
         slots, owner = slots[filled], np.repeat(touched, self.keep[touched])[filled]
         question, place, score = (np.concatenate(p) for p in ((owner, question), (self.places[slots], place), (self.scores[slots], score)))
-        order = np.lexsort((place, -score, question))
+        # one key for question and score; kept entries come first and have earlier places, so a stable sort breaks ties by place
+        order = np.argsort((question << STEP_BITS) | self.steps(score), kind="stable")
         question = question[order]
-        rank = np.arange(len(order)) - np.searchsorted(question, question)
+        counts = np.bincount(question)
+        rank = np.arange(len(order)) - (np.cumsum(counts) - counts)[question]
         kept = rank < self.keep[question]
         target, order = self.starts[question[kept]] + rank[kept], order[kept]
         self.scores[target], self.places[target] = score[order], place[order]
@@ -177,13 +192,13 @@ class Best:
         return np.repeat(np.arange(len(self.keep)), self.keep)[filled], self.places[filled], self.scores[filled]
 
 
-RANKERS = {"vector": (vector_scores, -np.inf), "terms": (overlap_scores, 0.0)}
+RANKERS = {"vector": (vector_scores, -np.inf, cosine_steps), "terms": (overlap_scores, 0.0, count_steps)}
 
 
 def rank_chunks(chunks: pa.Table, questions: Questions, names: list[str]) -> tuple[pa.Array, dict[str, Best]]:
     """Ids of the chunks in order, and each ranker's best places in it."""
     chunks = chunks.take(pc.sort_indices(chunks, [("chunk_id", "ascending")]))
-    best = {name: Best(questions.keep, RANKERS[name][1]) for name in names}
+    best = {name: Best(questions.keep, *RANKERS[name][1:]) for name in names}
     most = max(1, CELLS // max(1, len(questions.ids)))
     at, size = 0, min(FIRST_ROWS, most)
     while at < chunks.num_rows:

@@ -133,7 +133,10 @@ def word_questions(rng, count, words):
     return lists, nearest.Questions.from_table(table)
 
 
-@pytest.mark.parametrize("share, most", [(nearest.SET_SHARE, nearest.MOST_SETS), (1e-9, 8), (1e-9, 1), (1e9, 8)])
+SHARE = nearest.SET_SHARE
+
+
+@pytest.mark.parametrize("share, most", [(SHARE, nearest.MOST_SETS), (1e-9, 8), (1e-9, 1), (1e9, 8)])
 def test_bit_sets_and_postings_count_alike(monkeypatch, share, most):
     monkeypatch.setattr(nearest, "SET_SHARE", share)
     monkeypatch.setattr(nearest, "MOST_SETS", most)
@@ -142,7 +145,7 @@ def test_bit_sets_and_postings_count_alike(monkeypatch, share, most):
     chunks = [rng.choice([f"w{i}" for i in range(200)], 40, replace=False).tolist() for _ in range(30)]
     got = nearest.overlap_scores(held, pa.record_batch({"terms": pa.array([*chunks, []])}))
     assert got.tolist() == [[len(set(c) & set(a)) for a in asked] for c in [*chunks, []]]
-    assert len(held.sets) == (0 if share > 1 else min(most, 3)) or share == 0.1
+    assert len(held.sets) == (0 if share > 1 else min(most, 3)) or share == SHARE
 
 
 def test_slices_without_an_entry_sort_nothing():

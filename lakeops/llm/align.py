@@ -1,7 +1,8 @@
 """Alignment of two tokenizers by the bytes their tokens cover.
 
 Every text is encoded once by both; the ids are written to the shared folder. Tokens x bytes incidence
-matrices in hand-built CSR form give the overlap links as row products A·Bᵀ; byte offsets where tokens of
+matrices in hand-built CSR form give the overlap links as row products A·Bᵀ (bytes between two neighbouring token
+ends have equal columns, so such a run is one column whose value is its length); byte offsets where tokens of
 both end cut a text into groups, whose token x group incidence gives the links inside shared groups.
 
 How often an id pair is linked is counted over the whole corpus. The counts of the ``HEAD`` most frequent
@@ -15,9 +16,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from lakeops.llm.shared import handover
 
 HEAD = 1 << 18
-PIECE_TOKENS = 1 << 18  # tokens whose matrices a task holds at once; longer texts are cut between groups
-TEXTS_BYTES = 1 << 20  # of texts encoded by one call
+PIECE_TOKENS = 1 << 17  # tokens whose matrices a task holds at once; longer texts are cut between groups
+BATCH_ROWS = 1000  # texts, or their ids, that come to a Python worker at once
+TEXTS_LETTERS = 1 << 19  # of texts a task encodes or writes out at once; a longer text is held alone
 
 
 # ---- CSR matrices ----------------------------------------------------------------------------
@@ -82,11 +86,10 @@ def row_product(a: Csr, b: Csr) -> Csr:
     return Csr(starts, cells % b.width if b.width else cells, np.add.reduceat(values, first) if len(first) else values, b.width)
 
 
-def byte_incidence(sizes: np.ndarray) -> Csr:
-    """Tokens x bytes: token i covers the ``sizes[i]`` bytes behind those of the tokens before it."""
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    n = int(starts[-1])
-    return Csr(starts, np.arange(n), np.ones(n, dtype=np.int64), n)
+def byte_incidence(stops: np.ndarray, widths: np.ndarray) -> Csr:
+    """Tokens x bytes. Bytes between two neighbouring token ends (of either side) lie in the same tokens, so they are one
+    column and their number is its value: ``widths`` of all columns, and how many columns end with or before each token."""
+    return Csr(np.concatenate([[0], stops]), np.arange(len(widths)), widths, len(widths))
 
 
 def group_incidence(groups: np.ndarray, count: int) -> Csr:
@@ -94,9 +97,9 @@ def group_incidence(groups: np.ndarray, count: int) -> Csr:
     return Csr(np.arange(len(groups) + 1), groups, np.ones(len(groups), dtype=np.int64), count)
 
 
-def overlap_links(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def overlap_links(a_stops: np.ndarray, b_stops: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of the tokens that share bytes."""
-    links = row_product(byte_incidence(a_sizes), byte_incidence(b_sizes).transposed())
+    links = row_product(byte_incidence(a_stops, widths), byte_incidence(b_stops, np.ones_like(widths)).transposed())
     return np.repeat(np.arange(len(links)), np.diff(links.starts)), links.columns
 
 
@@ -136,6 +139,8 @@ def read_vocabularies(a_path: str, b_path: str, pattern: str) -> Vocabularies:
     if model["type"] != "BPE" or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"] or spec["normalizer"]:
         raise ValueError(f"{a_path}: not a plain byte-level BPE vocabulary")
     vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if sum(len(t) == 1 for t in vocabulary) < 256:
+        raise ValueError(f"{a_path}: some bytes have no token")
     if sorted(vocabulary.values()) != list(range(len(vocabulary))) or [vocabulary[x + y] for x, y in merges] != list(range(256, 256 + len(merges))):
         raise ValueError(f"{a_path}: ids do not follow the merges")
     letters = byte_letters()
@@ -149,27 +154,42 @@ class Coder:
     """Both tokenizers inside a task."""
 
     def __init__(self, given: Vocabularies):
-        ranks = {token: i for i, token in enumerate(given.a_bytes)}
-        self.a = tiktoken.Encoding("a", pat_str=given.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=given.b_model)
-        self.a_bytes, self.b_bytes = list(given.a_bytes), [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.given = given
+        self.a_bytes = list(given.a_bytes)
         self.a_sizes = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
-        self.b_sizes = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
         self.spelled: list[str] = []
 
+    @cached_property
+    def a(self) -> tiktoken.Encoding:
+        ranks = {token: i for i, token in enumerate(self.a_bytes)}
+        return tiktoken.Encoding("a", pat_str=self.given.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def b(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=self.given.b_model)
+
+    @cached_property
+    def b_bytes(self) -> list[bytes]:
+        return [self._piece(i) for i in range(self.b.get_piece_size())]
+
+    @cached_property
+    def b_sizes(self) -> np.ndarray:
+        return np.array([len(t) for t in self.b_bytes], dtype=np.int64)
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of each text in both vocabularies, as little-endian unsigned 32-bit integers; none where the joined
-        token bytes are not a space and the text, or the text is empty."""
+        """Ids of each text in both vocabularies, as little-endian unsigned 32-bit integers; none where B does not give the
+        text back byte by byte, or the text is empty. A does so always: it has every byte and changes none."""
         out = []
         for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            a = self.a.encode_ordinary(" " + text) if text else []
-            wanted = b" " + text.encode()
-            same = text and b"".join(map(self.a_bytes.__getitem__, a)) == wanted and b"".join(map(self.b_bytes.__getitem__, b)) == wanted
-            out.append((np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()) if same else (b"", b""))
+            if text and b"".join(map(self.b_bytes.__getitem__, b)) == b" " + text.encode():
+                a = self.a.encode_ordinary(" " + text)
+                out.append((np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()))
+            else:
+                out.append((b"", b""))
         return out
 
     def names(self) -> list[str]:
@@ -200,50 +220,67 @@ class Slice:
 
     a: np.ndarray
     b: np.ndarray
-    a_ends: np.ndarray
-    b_ends: np.ndarray
+    a_stops: np.ndarray  # byte columns up to the end of each token
+    b_stops: np.ndarray
+    widths: np.ndarray  # bytes of each column
     a_groups: np.ndarray
     b_groups: np.ndarray
     n_groups: int
     owners: np.ndarray  # row of the batch of each group
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        return overlap_links(np.diff(self.a_ends, prepend=0), np.diff(self.b_ends, prepend=0))
+        return overlap_links(self.a_stops, self.b_stops, self.widths)
 
 
 def slices(ids_a: pa.Array, ids_b: pa.Array, given: Coder, limit: int = PIECE_TOKENS) -> Iterator[Slice]:
     """The encoded texts of a batch in slices of about ``limit`` A tokens, cut where tokens of both end."""
-    rows, sizes = [], 0
-    for row in range(len(ids_a)):
-        n = len(ids_a[row].as_buffer()) // 4 if ids_a[row].is_valid else 0
-        if not n:
-            continue
-        rows.append(row)
-        sizes += n
-        if sizes >= limit:
-            yield from _cut(rows, ids_a, ids_b, given, limit)
-            rows, sizes = [], 0
-    if rows:
-        yield from _cut(rows, ids_a, ids_b, given, limit)
-
-
-def _cut(rows: list[int], ids_a: pa.Array, ids_b: pa.Array, given: Coder, limit: int) -> Iterator[Slice]:
-    a_parts, b_parts = ([np.frombuffer(ids[row].as_buffer(), dtype="<u4") for row in rows] for ids in (ids_a, ids_b))
-    a, b = np.concatenate(a_parts).astype(np.int64), np.concatenate(b_parts).astype(np.int64)
+    (a, a_bounds), (b, b_bounds) = flat_ids(ids_a), flat_ids(ids_b)
+    at = 0
+    while at < len(ids_a):
+        stop = max(at + 1, int(np.searchsorted(a_bounds, a_bounds[at] + limit, side="right")) - 1)
+        x, y = slice(a_bounds[at], a_bounds[stop]), slice(b_bounds[at], b_bounds[stop])
+        if x.start < x.stop:
+            yield from _cut(at, a[x], b[y], a_bounds[at + 1 : stop + 1] - x.start, given, limit)
+        at = stop
+
+
+def flat_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids end to end, and where each row's begin (n + 1 places)."""
+    _, offsets, data = ids.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+    whole = np.frombuffer(data, dtype="<u4") if data is not None and data.size >= 4 else np.empty(0, dtype="<u4")
+    return whole[bounds[0] // 4 : bounds[-1] // 4].astype(np.int64), (bounds - bounds[0]) // 4
+
+
+def _cut(first: int, a: np.ndarray, b: np.ndarray, lasts: np.ndarray, given: Coder, limit: int) -> Iterator[Slice]:
+    """Texts from ``first`` on; ``lasts`` holds the number of A tokens up to the end of each."""
     a_ends, b_ends = np.cumsum(given.a_sizes[a]), np.cumsum(given.b_sizes[b])
-    bounds = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    text_ends = a_ends[np.cumsum([len(p) for p in a_parts]) - 1]
-    owner = np.array(rows)[np.searchsorted(text_ends, bounds)]
-    a_groups, b_groups = np.searchsorted(bounds, a_ends), np.searchsorted(bounds, b_ends)
-    group_a = np.searchsorted(a_groups, np.arange(len(bounds) + 1))
+    # one merge of both lists of ends: where they meet, and every token's place among all ends
+    meet = np.searchsorted(b_ends, a_ends)
+    a_common = b_ends[meet] == a_ends
+    b_common = np.zeros(len(b), dtype=bool)
+    b_common[meet[a_common]] = True
+    a_groups, b_groups = np.cumsum(a_common) - a_common, np.cumsum(b_common) - b_common
+    a_places = np.arange(len(a)) + meet - a_groups
+    only_b = np.ones(len(a) + len(b) - int(a_common.sum()), dtype=bool)
+    only_b[a_places] = False
+    b_places = np.empty(len(b), dtype=np.int64)
+    b_places[b_common], b_places[~b_common] = a_places[a_common], np.flatnonzero(only_b)
+    cuts = np.empty(len(only_b), dtype=np.int64)
+    cuts[a_places], cuts[b_places] = a_ends, b_ends
+    bounds = a_ends[a_common]
+    owner = first + np.searchsorted(np.concatenate([[0], a_ends])[lasts], bounds)
+    group_a = np.concatenate([[0], np.flatnonzero(a_common) + 1])
+    group_b = np.concatenate([[0], np.flatnonzero(b_common) + 1])
+    group_cuts = np.concatenate([[0], a_places[a_common] + 1])
+    widths = np.diff(cuts, prepend=0)
     at = 0
     while at < len(bounds):
         stop = max(at + 1, int(np.searchsorted(group_a, group_a[at] + limit, side="right")) - 1)
-        stop = min(stop, len(bounds))
-        x = slice(*np.searchsorted(a_groups, [at, stop]))
-        y = slice(*np.searchsorted(b_groups, [at, stop]))
-        base = bounds[at - 1] if at else 0
-        yield Slice(a[x], b[y], a_ends[x] - base, b_ends[y] - base, a_groups[x] - at, b_groups[y] - at, stop - at, owner[at:stop])
+        x, y, z = (slice(g[at], g[stop]) for g in (group_a, group_b, group_cuts))
+        yield Slice(
+            a[x], b[y], a_places[x] - z.start + 1, b_places[y] - z.start + 1, widths[z], a_groups[x] - at, b_groups[y] - at, stop - at, owner[at:stop]
+        )
         at = stop
 
 
@@ -265,30 +302,43 @@ def group_codes(part: Slice, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray
 # ---- operators -------------------------------------------------------------------------------
 
 
-def tokenize(docs: DataFrame, given: Vocabularies, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Kept columns, ``row`` (a number of its own for each input row) and the ids ``a`` and ``b``; written once.
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def parts(sizes: np.ndarray, limit: int = TEXTS_LETTERS) -> Iterator[slice]:
+    """Neighbouring rows whose sizes add up to about ``limit``; a longer row is a part of its own."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _sizes(values: pa.Array) -> np.ndarray:
+    """Bytes of each value, 0 where it is null."""
+    return pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+
+
+def tokenize(docs: DataFrame, given: Vocabularies, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, row, a, b): the ids of each text by both, and a number of its own for each input row; written once.
 
-    Texts that are null or empty, or that one of the tokenizers does not give back byte by byte, have no ids.
+    Texts that are null or empty, or that B does not give back byte by byte, have no ids.
     """
+    kind = docs.schema[key].dataType.simpleString()
 
-    def run(texts: pa.Array) -> pa.Array:
-        found, held, size = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(given)
-        for value in texts:
-            held.append(value.as_py() or "")
-            size += len(held[-1])
-            if size >= TEXTS_BYTES:
-                found += code.encode(held)
-                held, size = [], 0
-        found += code.encode(held) if held else []
-        return pa.StructArray.from_arrays(
-            [pa.array([f[0] for f in found], type=pa.binary()), pa.array([f[1] for f in found], type=pa.binary())], names=["a", "b"]
-        )
+        for batch in batches:
+            for part in parts(_sizes(batch.column(1))):
+                found = code.encode(batch.column(1)[part].fill_null("").to_pylist())
+                ids = [pa.array([f[i] for f in found], type=pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], *ids], names=["key", "a", "b"])
 
-    both = F.arrow_udf(run, "a binary, b binary")(text)
-    named = [F.col(f"`{c}`").alias(c) for c in keep]
-    rows = docs.select(*named, F.monotonically_increasing_id().alias("row"), both.alias("ids"))
-    return handover(rows.select(*keep, "row", "ids.a", "ids.b"), "tokens")
+    rows = docs.select(_quoted(key).alias("key"), _quoted(text).alias("text")).mapInArrow(run, f"key {kind}, a binary, b binary")
+    return handover(rows.select(F.col("key").alias(key), F.monotonically_increasing_id().alias("row"), "a", "b"), "tokens", BATCH_ROWS)
 
 
 def link_rows(coded: DataFrame, given: Vocabularies) -> DataFrame:
@@ -353,12 +403,13 @@ def count_pairs(coded: DataFrame, given: Vocabularies, head: int = HEAD) -> Pair
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(given)
         for batch in batches:
-            for part in slices(batch.column("a"), batch.column("b"), code):
-                x, y = part.links()
-                pairs, counts = np.unique(_pairs(part.a[x], part.b[y]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "n"])
+            for some in parts(_sizes(batch.column("a"))):
+                for part in slices(batch.column("a")[some], batch.column("b")[some], code):
+                    x, y = part.links()
+                    pairs, counts = np.unique(_pairs(part.a[x], part.b[y]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "n"])
 
-    table = handover(coded.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    table = handover(coded.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs", BATCH_ROWS)
     first = table.orderBy(F.desc("n"), "pair").limit(head).toArrow()
     pairs, counts = first.column("pair").to_numpy(), first.column("n").to_numpy()
     order = np.argsort(pairs)
@@ -370,18 +421,48 @@ def count_pairs(coded: DataFrame, given: Vocabularies, head: int = HEAD) -> Pair
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_group_links", "n_best", "count_sum")
 TAIL = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64()), ("best", pa.int64())]))
-ARROW = pa.struct([*((name, pa.int64()) for name in FIGURES), ("groups", pa.string()), ("tail", TAIL)])
 RESULT = ", ".join(f"{name} long" for name in FIGURES) + ", groups string, tail array<struct<pair: long, n: long, best: long>>"
 
 
+def _aligned(ids_a: pa.Array, ids_b: pa.Array, code: Coder, pairs: np.ndarray, numbers: np.ndarray, best: np.ndarray) -> list[pa.Array]:
+    """Columns of RESULT for some encoded texts."""
+    n = len(ids_a)
+    figures = {name: np.zeros(n, dtype=np.int64) for name in FIGURES}
+    spelled: list[list[str]] = [[] for _ in range(n)]
+    tails: list[list[dict]] = [[] for _ in range(n)]
+    names = code.names()
+    for part in slices(ids_a, ids_b, code):
+        x, y = part.links()
+        owner_a = part.owners[part.a_groups]
+        owner = owner_a[x]
+        linked = _pairs(part.a[x], part.b[y])
+        place = np.minimum(np.searchsorted(pairs, linked), max(len(pairs) - 1, 0))
+        known = pairs[place] == linked if len(pairs) else np.zeros(len(linked), dtype=bool)
+        count = np.where(known, numbers[place], 0) if len(pairs) else np.zeros(len(linked), dtype=np.int64)
+        tops = known & (count == best[part.b[y]])
+        for name, owners in (("n_a", owner_a), ("n_b", part.owners[part.b_groups]), ("n_groups", part.owners), ("n_links", owner), ("n_best", owner[tops])):
+            figures[name] += np.bincount(owners, minlength=n)
+        np.add.at(figures["n_group_links"], owner_a, shared_group_counts(part.a_groups, part.b_groups, part.n_groups))
+        np.add.at(figures["count_sum"], owner, count)
+        for row, pair, top in zip(owner[~known].tolist(), linked[~known].tolist(), best[part.b[y[~known]]].tolist(), strict=True):
+            tails[row].append({"pair": pair, "n": 1, "best": top})
+        codes, group = group_codes(part, len(code.a_bytes), len(code.b_bytes))
+        edges = np.flatnonzero(np.diff(part.owners[group], prepend=-1, append=-1))
+        places, written = edges.tolist(), list(map(names.__getitem__, codes.tolist()))
+        for row, start, stop in zip(part.owners[group[edges[:-1]]].tolist(), places[:-1], places[1:], strict=True):
+            spelled[row].append("".join(written[start:stop]))
+    texts = pa.array(["".join(t)[:-1] for t in spelled], type=pa.string())
+    return [*(pa.array(figures[name]) for name in FIGURES), texts, pa.array(tails, type=TAIL)]
+
+
 def align(
     coded: DataFrame,
     given: Vocabularies,
     counts: PairCounts,
-    keep: tuple[str, ...] = ("doc_id",),
+    key: str = "doc_id",
     groups: Callable[[Column], Column] = lambda text: text,
 ) -> DataFrame:
-    """One row per row of ``coded``: kept columns, the figures, and ``groups``.
+    """One row per row of ``coded``: ``key``, the figures, and ``groups``.
 
     ``n_group_links`` counts the token pairs inside shared groups, ``n_best`` the links whose pair is the most
     frequent one of its B id, ``count_sum`` adds up the corpus-wide counts of all links. ``groups`` lists the ids
@@ -392,48 +473,18 @@ def align(
     spark = coded.sparkSession
     held = spark.sparkContext.broadcast((counts.head_pairs, counts.head_counts, counts.best))
 
-    def run(ids_a: pa.Array, ids_b: pa.Array) -> pa.Array:
+    kind = coded.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(given)
-        pairs, numbers, best = held.value
-        n = len(ids_a)
-        figures = {name: np.zeros(n, dtype=np.int64) for name in FIGURES}
-        texts: dict[int, list[str]] = {}
-        tails: dict[int, list[dict]] = {}
-        names = code.names()
-        for part in slices(ids_a, ids_b, code):
-            x, y = part.links()
-            owner_a, owner_b = part.owners[part.a_groups], part.owners[part.b_groups]
-            row = owner_a[x]
-            in_groups = shared_group_counts(part.a_groups, part.b_groups, part.n_groups)
-            linked = _pairs(part.a[x], part.b[y])
-            place = np.minimum(np.searchsorted(pairs, linked), max(len(pairs) - 1, 0))
-            known = pairs[place] == linked if len(pairs) else np.zeros(len(linked), dtype=bool)
-            count = np.where(known, numbers[place], 0) if len(pairs) else np.zeros(len(linked), dtype=np.int64)
-            tops = known & (count == best[part.b[y]])
-            for name, value in (
-                ("n_a", np.bincount(owner_a, minlength=n)), ("n_b", np.bincount(owner_b, minlength=n)),
-                ("n_groups", np.bincount(part.owners, minlength=n)), ("n_links", np.bincount(row, minlength=n)),
-                ("n_best", np.bincount(row[tops], minlength=n)),
-            ):
-                figures[name] += value
-            np.add.at(figures["n_group_links"], owner_a, in_groups)
-            np.add.at(figures["count_sum"], row, count)
-            rare = ~known
-            for r, pair, top in zip(row[rare].tolist(), linked[rare].tolist(), best[part.b[y[rare]]].tolist(), strict=True):
-                tails.setdefault(r, []).append({"pair": pair, "n": 1, "best": top})
-            codes, group = group_codes(part, len(code.a_bytes), len(code.b_bytes))
-            owner = part.owners[group]
-            edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
-            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                texts.setdefault(int(owner[start]), []).append("".join(map(names.__getitem__, codes[start:stop].tolist())))
-        columns = [pa.array(figures[name]) for name in FIGURES]
-        columns.append(pa.array(["".join(texts.get(i, ()))[:-1] for i in range(n)], type=pa.string()))
-        columns.append(pa.array([tails.get(i, []) for i in range(n)], type=TAIL))
-        return pa.StructArray.from_arrays(columns, fields=list(ARROW))
-
-    own = [c for c in keep if c != "row"]
-    first = coded.select(*own, "row", F.arrow_udf(run, RESULT)("a", "b").alias("r"))
-    first = handover(first.select(*own, "row", *[f"r.{f}" for f in FIGURES], groups(F.col("r.groups")).alias("groups"), "r.tail"), "aligned")
+        for batch in batches:
+            for part in parts(_sizes(batch.column(2))):
+                some = batch.slice(part.start, part.stop - part.start)
+                columns = _aligned(some.column(2), some.column(3), code, *held.value)
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], *columns], names=["key", "row", *FIGURES, "groups", "tail"])
+
+    first = coded.select(_quoted(key).alias("key"), "row", "a", "b").mapInArrow(run, f"key {kind}, row long, {RESULT}")
+    first = handover(first.withColumn("groups", groups(F.col("groups"))), "aligned", BATCH_ROWS)
     rare = first.select("row", F.explode("tail").alias("t")).select("row", "t.*")
     met = rare.join(counts.table.withColumnRenamed("n", "total").hint("merge"), "pair")
     late = met.groupBy("row").agg(
@@ -441,4 +492,4 @@ def align(
     )
     joined = first.drop("tail").join(late.hint("merge"), "row", "left")
     added = {"n_best": F.col("n_best") + F.coalesce("late_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("late_sum", F.lit(0))}
-    return joined.withColumns(added).select(*own, *FIGURES, "groups")
+    return joined.withColumns(added).select(F.col("key").alias(key), *FIGURES, "groups")

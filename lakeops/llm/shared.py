@@ -14,13 +14,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def handover(df: DataFrame, name: str) -> DataFrame:
+def handover(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a step's rows to the shared folder once and go on from the files.
 
-    Cuts the lineage: a lost executor only repeats the tasks of the step at hand.
+    Cuts the lineage: a lost executor only repeats the tasks of the step at hand. ``batch_rows`` bounds the Arrow batches
+    of this step's Python functions, for rows that are large; the session's own setting is put back.
     """
     path = f"{scratch_root(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, str(batch_rows) if batch_rows else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(setting, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -59,7 +59,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.withColumn(key, _content())
     found = decontaminate.contaminated(keyed.select(key, "text"), table(spark, sf_dir, "benchmark"), id_column=key)
     gone = handover(found.select(key).distinct(), "contaminated")
-    return keyed.join(gone, key, "left_anti").select(*_columns(docs))
+    return keyed.join(gone.hint("merge"), key, "left_anti").select(*_columns(docs))  # one plan at every size
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

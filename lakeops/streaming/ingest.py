@@ -60,6 +60,12 @@ def append_new_chunks(chunks: DataFrame, path: str, batch: int, letters: int = P
     placed.write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/batch={batch}")
 
 
+def table_pattern(source: str) -> str:
+    """A pattern that only ``source`` matches, where it is named like a parquet table. Without one a stream takes its path
+    for a folder of partitions and cannot read a single file; a pattern fits a file and a folder of files alike."""
+    return f"{source[:-1]}[{source[-1]}]" if source.endswith(".parquet") else source
+
+
 def stream_new_chunks(
     spark: SparkSession,
     source: str,
@@ -77,11 +83,8 @@ def stream_new_chunks(
 
     A micro-batch takes at most ``files_per_trigger`` files, so a long pause before a call does not make one huge batch.
     """
-    folder, _, name = source.rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if name.endswith(".parquet"):
-        reader, source = reader.option("pathGlobFilter", name), folder
-    documents = reader.parquet(source)
+    documents = reader.parquet(table_pattern(source))
     chunks = document_chunks(documents, text, keys, size, overlap)
     stream = (
         chunks.writeStream.option("checkpointLocation", checkpoint)

@@ -206,6 +206,22 @@ def test_a_trigger_takes_a_bounded_number_of_files(spark, tmp_path):
     assert stored.count() == document_chunks(rows, "document_text", ["document_id"], 120, 20).select("chunk_hash").distinct().count()
 
 
+def test_a_stream_reads_a_file_and_a_folder_of_files(spark, tmp_path):
+    rows = knowledge(spark)
+    folder = str(tmp_path / "tables" / "documents.parquet")
+    rows.repartition(3).write.parquet(folder)
+    (tmp_path / "single").mkdir()
+    part = next((tmp_path / "tables" / "documents.parquet").glob("part-*"))
+    file = tmp_path / "single" / "documents.parquet"
+    file.write_bytes(part.read_bytes())
+    (tmp_path / "single" / "other.parquet").write_bytes(b"not read")
+    for source in (folder, str(file)):
+        target = str(tmp_path / uuid.uuid4().hex)
+        stream_new_chunks(spark, source, rows.schema, f"{target}/out", f"{target}/state", "document_text", ["document_id"], 120, 20)
+        wanted = document_chunks(spark.read.parquet(source), "document_text", ["document_id"], 120, 20).select("chunk_hash").distinct()
+        assert sorted(spark.read.parquet(f"{target}/out").select("chunk_hash").collect()) == sorted(wanted.collect())
+
+
 VALID = {
     "spec_id": 1, "catalog_name": None, "schema_name": "clientes_silver", "table_name": "tb_cliente", "table_description": "Tabela",
     "table_properties": governance.DEFAULT_PROPERTIES, "table_tags": {"descricao_tabela": "Tabela", "sla": "N/A"}, "using_format": "delta",

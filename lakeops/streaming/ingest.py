@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeops.operators.events import new_events, newest
+from lakeops.functions.text import normalize_text
+from lakeops.operators.events import latest_by, newest
 from lakeops.operators.retrieval import chunk_identity, chunk_rows
 
 
@@ -22,6 +23,8 @@ NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 PREFIX_LETTERS = 2  # 256 prefixes of hexadecimal hashes
 MOST_LETTERS = 4  # the driver lists the prefixes of a batch
 FILES_PER_TRIGGER = 1000
+MANY_COPIES = 1000  # of one hash in a batch
+COPIED_HASHES = 16  # of a prefix that are cut to their newest chunk before the shuffle; the others are cut behind it
 
 
 def document_chunks(documents: DataFrame, text: str, keys: Sequence[str], size: int, overlap: int) -> DataFrame:
@@ -53,11 +56,33 @@ def append_new_chunks(chunks: DataFrame, path: str, batch: int, letters: int = P
     if not 0 < letters <= MOST_LETTERS:
         raise ValueError(f"between 1 and {MOST_LETTERS} letters")
     spark = chunks.sparkSession
-    prefixes = [r[0] for r in chunks.select(hash_prefix(letters)).distinct().collect()]  # at most 16 ** MOST_LETTERS
-    stored = stored_hashes(spark, path, prefixes, batch)
-    fresh = new_events(chunks, stored, ["chunk_hash"], newest("chunk_id"), unique_existing=True)
-    placed = fresh.withColumn("prefix", hash_prefix(letters)).repartition("prefix")
-    placed.write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/batch={batch}")
+    met = prefix_copies(chunks, letters).collect()  # at most 16 ** MOST_LETTERS rows
+    stored = stored_hashes(spark, path, [r.prefix for r in met], batch)
+    copied = [(c.chunk_hash, c.newest) for r in met for c in r.copied]
+    placed = placed_chunks(chunks, stored, spark.createDataFrame(copied, "chunk_hash STRING, newest STRING") if copied else None, letters)
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("prefix").parquet(f"{path}/batch={batch}")
+
+
+def prefix_copies(chunks: DataFrame, letters: int) -> DataFrame:
+    """The prefixes of a batch, each with its most copied hashes and the newest chunk of each."""
+    counted = chunks.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_id").alias("newest"))
+    copied = F.collect_list(F.when(F.col("n") > MANY_COPIES, F.struct("n", "chunk_hash", "newest")))
+    return counted.groupBy(hash_prefix(letters).alias("prefix")).agg(F.slice(F.sort_array(copied, asc=False), 1, COPIED_HASHES).alias("copied"))
+
+
+def placed_chunks(chunks: DataFrame, stored: DataFrame, copied: DataFrame | None, letters: int) -> DataFrame:
+    """The chunks whose hash is not stored, the newest per hash, by hash prefix.
+
+    One shuffle by prefix serves the comparison and the folders, so a text moves once; the normalised text is made again
+    behind it. Of the ``copied`` hashes only the newest chunk moves, so that many copies do not meet in one task.
+    """
+    slim = chunks.drop("chunk_text_normalized")
+    if copied is not None:
+        slim = slim.join(copied, "chunk_hash", "left").filter("newest IS NULL OR chunk_id = newest").drop("newest")
+    both = slim.withColumn("seen", F.lit(False)).unionByName(stored.withColumn("seen", F.lit(True)), allowMissingColumns=True)
+    placed = both.withColumn("prefix", hash_prefix(letters)).repartition("prefix")
+    fresh = latest_by(placed, ["prefix", "chunk_hash"], newest("seen", "chunk_id")).filter("NOT seen")
+    return fresh.withColumn("chunk_text_normalized", normalize_text("chunk_text")).select(*chunks.columns, "prefix")
 
 
 def table_pattern(source: str) -> str:

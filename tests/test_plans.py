@@ -26,6 +26,7 @@ from lakeops.plans.monitoring import prediction_drift_alerts, store_drift
 from lakeops.plans.training import train_and_score
 from lakeops.session import checkpoint_root
 from lakeops.sources.tables import append_events
+from lakeops.streaming import ingest
 from lakeops.streaming.ingest import append_new_chunks, document_chunks, hash_prefix, stored_hashes, stream_new_chunks
 
 NOW = datetime(2024, 2, 1)
@@ -222,6 +223,25 @@ def test_a_stream_reads_a_file_and_a_folder_of_files(spark, tmp_path):
         assert sorted(spark.read.parquet(f"{target}/out").select("chunk_hash").collect()) == sorted(wanted.collect())
 
 
+def test_texts_of_a_batch_move_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "MANY_COPIES", 1)
+    path = str(tmp_path / "store")
+    rows = knowledge(spark)
+    chunks = document_chunks(rows.unionByName(rows.withColumn("document_id", F.concat(F.lit("copy-"), "document_id"))), "document_text", ["document_id"], 120, 20)
+    copied = [c for r in ingest.prefix_copies(chunks, 2).collect() for c in r.copied]
+    assert copied and all(c.n > 1 and not c.newest.startswith("copy-") for c in copied)
+    append_new_chunks(chunks.filter("position = 0"), path, 0)
+    append_new_chunks(chunks, path, 1)
+    stored = spark.read.parquet(path)
+    newest_ids = chunks.groupBy("chunk_hash").agg(F.max("chunk_id").alias("chunk_id"), F.max("chunk_text_normalized").alias("chunk_text_normalized"))
+    assert stored.count() == newest_ids.count()
+    fresh = stored.filter("batch = 1").select("chunk_hash", "chunk_id", "chunk_text_normalized")
+    assert fresh.count() > 0 and fresh.exceptAll(newest_ids).isEmpty()
+    seen = stored_hashes(spark, path, [r[0] for r in chunks.select(hash_prefix(2)).distinct().collect()], 2)
+    plan = ingest.placed_chunks(chunks, seen, None, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Join" not in plan
+
+
 VALID = {
     "spec_id": 1, "catalog_name": None, "schema_name": "clientes_silver", "table_name": "tb_cliente", "table_description": "Tabela",
     "table_properties": governance.DEFAULT_PROPERTIES, "table_tags": {"descricao_tabela": "Tabela", "sla": "N/A"}, "using_format": "delta",

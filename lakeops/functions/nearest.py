@@ -20,6 +20,9 @@ CELLS = 4_000_000
 FIRST_ROWS = 128  # of the first slice of a task; the following ones double
 SET_SHARE = 0.005  # 64 words become one bit set while their squared shares of the questions add up to this
 MOST_SETS = 8
+CELL_ROWS = 256  # chunks of one cell inside a task, on average
+FIRST_CELLS = 4  # cells a question without a bar looks at first
+MARGIN = 1e-7  # what rounding can take from a bound
 
 
 @dataclass
@@ -148,7 +151,7 @@ class Best:
     """Best chunks per question so far, by falling score, then place; question q has the slots ``starts[q]`` to
     ``starts[q] + keep[q] - 1``. ``floor`` is the score a chunk must beat in any case."""
 
-    def __init__(self, keep: np.ndarray, floor: float = -np.inf, steps: Callable[[np.ndarray], np.ndarray] | None = None):
+    def __init__(self, keep: np.ndarray, floor: float | np.ndarray = -np.inf, steps: Callable[[np.ndarray], np.ndarray] | None = None):
         self.keep, self.floor, self.steps = keep, floor, steps or cosine_steps
         self.starts = np.cumsum(keep) - keep
         self.scores = np.full(int(keep.sum()), -np.inf)
@@ -195,10 +198,11 @@ class Best:
 RANKERS = {"vector": (vector_scores, -np.inf, cosine_steps), "terms": (overlap_scores, 0.0, count_steps)}
 
 
-def rank_chunks(chunks: pa.Table, questions: Questions, names: list[str]) -> tuple[pa.Array, dict[str, Best]]:
-    """Ids of the chunks in order, and each ranker's best places in it."""
+def rank_chunks(chunks: pa.Table, questions: Questions, names: list[str], floors: dict[str, np.ndarray] | None = None) -> tuple[pa.Array, dict[str, Best]]:
+    """Ids of the chunks in order, and each ranker's best places in it. ``floors`` are scores that each question's chunks
+    must beat."""
     chunks = chunks.take(pc.sort_indices(chunks, [("chunk_id", "ascending")]))
-    best = {name: Best(questions.keep, *RANKERS[name][1:]) for name in names}
+    best = {name: Best(questions.keep, (floors or {}).get(name, RANKERS[name][1]), RANKERS[name][2]) for name in names}
     most = max(1, CELLS // max(1, len(questions.ids)))
     at, size = 0, min(FIRST_ROWS, most)
     while at < chunks.num_rows:
@@ -210,6 +214,114 @@ def rank_chunks(chunks: pa.Table, questions: Questions, names: list[str]) -> tup
     return chunks.column("chunk_id").combine_chunks(), best
 
 
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector's pivot of highest cosine, and its angle to it."""
+    if len(vectors) and vectors.shape[1] != pivots.shape[1]:
+        raise ValueError("vectors of different lengths cannot be compared")
+    own, angle = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
+    for part in steps(len(vectors), len(pivots)):
+        cosines = vectors[part] @ pivots.T
+        own[part] = cosines.argmax(axis=1)
+        angle[part] = np.arccos(np.clip(cosines.max(axis=1), -1.0, 1.0))
+    return own, angle
+
+
+def steps(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows`` that make about a quarter of ``CELLS`` with ``width`` columns."""
+    size = max(1, CELLS // 4 // max(1, width))
+    return (slice(at, min(at + size, rows)) for at in range(0, rows, size))
+
+
+def cosine_bounds(cosines: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Highest cosine that any vector of a cell (columns) can have to a question (rows), given the questions' cosines to
+    the pivots. A cell holds the vectors whose nearest pivot is its own, within ``radius`` (an angle, -1 if it is empty).
+
+    The first bound is the triangle inequality of angles. The second: a cell lies beyond the bisector between its pivot
+    and the question's nearest one, and a point at distance d from the question has no higher cosine than sqrt(1 - d * d).
+    """
+    upper = np.cos(np.maximum(np.arccos(np.clip(cosines, -1.0, 1.0)) - radius, 0.0))
+    own = cosines.argmax(axis=1)
+    square = (pivots**2).sum(axis=1)
+    apart = np.sqrt(np.maximum(square[own][:, None] + square[None, :] - 2.0 * (pivots[own] @ pivots.T), 0.0))
+    distance = np.divide(cosines.max(axis=1)[:, None] - cosines, apart, out=np.zeros_like(cosines), where=apart > 1e-4)
+    upper = np.minimum(upper, np.sqrt(np.maximum(1.0 - distance**2, 0.0)))
+    return np.where(radius >= 0, upper, -np.inf)
+
+
+class Found:
+    """Candidates per question, cut to the best whenever they are many. ``bars`` are scores that a question's last chunk
+    reaches in any case; lower ones stay out, equal ones rank by place."""
+
+    def __init__(self, keep: np.ndarray, bars: np.ndarray):
+        self.keep, self.bars = keep, bars.copy()
+        self.parts, self.pending = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+
+    def add(self, scores: np.ndarray, places: np.ndarray, questions: np.ndarray) -> None:
+        """Scores of some chunks (rows) and questions (columns)."""
+        row, column = np.nonzero(scores >= self.bars[questions] - SLACK)
+        question, score = questions[column], np.round(scores[row, column], DIGITS)
+        kept = score >= self.bars[question]
+        self.parts.append((question[kept], places[row[kept]], score[kept]))
+        self.pending += int(kept.sum())
+        if self.pending > CELLS // 4:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, place, score) of the best so far, in order; full lists raise their question's bar."""
+        question, place, score, rank = first_of(*(np.concatenate(x) for x in zip(*self.parts)), self.keep)
+        last = rank == self.keep[question]
+        self.bars[question[last]] = np.maximum(self.bars[question[last]], score[last])
+        self.parts, self.pending = [(question, place, score)], 0
+        return self.parts[0]
+
+
+def rank_near(chunks: pa.Table, questions: Questions, bars: np.ndarray) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of the chunks in order, and the best (question, place, score) by cosine that reach the questions' ``bars``.
+
+    The chunks are grouped around every ``CELL_ROWS``-th of them; a question meets the cells whose bound reaches its bar.
+    """
+    chunks = chunks.take(pc.sort_indices(chunks, [("chunk_id", "ascending")]))
+    vectors = unit_rows(to_matrix(chunks.column("vector").combine_chunks()))
+    pivots = np.unique(vectors[::CELL_ROWS], axis=0)
+    if questions.vectors.shape[1] != pivots.shape[1]:
+        raise ValueError("vectors of different lengths cannot be compared")
+    cell, angle = nearest_pivots(vectors, pivots)
+    order = np.argsort(cell, kind="stable")
+    starts = np.searchsorted(cell[order], np.arange(len(pivots) + 1))
+    radius = np.full(len(pivots), -1.0)
+    np.maximum.at(radius, cell, angle)
+    found = Found(questions.keep, bars)
+
+    def visit(meets: np.ndarray, first: int) -> None:
+        for j in np.flatnonzero(meets.any(axis=0)):
+            asking = np.flatnonzero(meets[:, j]) + first
+            for part in steps(starts[j + 1] - starts[j], len(asking)):
+                places = order[starts[j] + part.start : starts[j] + part.stop]
+                found.add(vectors[places] @ questions.vectors[asking].T, places, asking)
+
+    for part in steps(len(questions.ids), len(pivots)):
+        cosines = questions.vectors[part] @ pivots.T
+        seen = np.zeros(cosines.shape, dtype=bool)
+        unbarred = np.isneginf(found.bars[part])
+        if unbarred.any():
+            count = min(FIRST_CELLS, len(pivots))
+            np.put_along_axis(seen, np.argpartition(-cosines, count - 1, axis=1)[:, :count], True, axis=1)
+            seen[~unbarred] = False
+            visit(seen, part.start)
+            found.settle()
+        visit((cosine_bounds(cosines, pivots, radius) >= found.bars[part][:, None] - MARGIN) & ~seen, part.start)
+    return chunks.column("chunk_id").combine_chunks(), found.settle()
+
+
+def before(question: np.ndarray, place: np.ndarray, score: np.ndarray, ids: pa.Array, bars: np.ndarray, bar_ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries that rank before their question's bar, a score and a chunk id (NULL: no bar); ``ids`` are sorted."""
+    known = bar_ids.is_valid().to_numpy(zero_copy_only=False)
+    limit = np.full(len(bars), len(ids), dtype=np.int64)
+    limit[known] = np.searchsorted(ids.to_numpy(zero_copy_only=False), bar_ids.filter(bar_ids.is_valid()).to_numpy(zero_copy_only=False))
+    kept = (score > bars[question]) | (place < limit[question])
+    return question[kept], place[kept], score[kept]
+
+
 def compact(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Rebuild sliced list columns so that their offsets start at zero."""
     return batch.take(pa.array(np.arange(batch.num_rows)))
@@ -236,6 +348,12 @@ def merged_rows(queries: pa.Array, ids: pa.Array, found: tuple, asked: np.ndarra
     return pa.RecordBatch.from_arrays([values[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+def with_fragment(rows: pa.RecordBatch, some: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The list rows of a group with its fragment in front."""
+    table = pa.Table.from_batches([rows])
+    return table.add_column(0, schema.field(0), pa.array([some.column("fragment")[0].as_py()] * table.num_rows, pa.int64()))
+
+
 def merge_lists(lists: pa.Table, depth: int) -> tuple[pa.Array, pa.Array, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
     """Merge the lists of several fragments: ids of the questions and chunks they name, per ranker (question, chunk,
     score, rank) by question and rank, and how many each question asks for."""

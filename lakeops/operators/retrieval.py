@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +171,7 @@ def index_rows(embeddings: DataFrame, dimensions: int | None = None, bucket_bits
 # ---- search ----------------------------------------------------------------------------------
 
 MERGE_FAN = 64  # fragments whose lists one task merges
+MOST_PIVOTS = 4096  # chunks that the driver lists as pivots
 
 
 def _bytes(rows: DataFrame, names: Sequence[str]) -> Column:
@@ -184,10 +187,9 @@ def _search(
     ``questions`` with each one's own. With ``fuse_offset`` the lists of all rankers (``depth`` or ``k`` entries, whichever is
     more) are fused by reciprocal rank; without, the one ranker's list is the result.
 
-    One plan at every size: both sides are stored once, so that what they are computed from runs once. Each
-    is cut into parts of ``part_bytes``, the chunks into one for every core at least. Every block of questions
-    meets every fragment of chunks in a shuffle; a task holds one of each and keeps the best per question.
-    Those lists, one row a question and fragment, are merged ``MERGE_FAN`` fragments at a time.
+    One plan at every size: both sides are stored once, so that what they are computed from runs once. Vectors are
+    looked up by :func:`_near_lists`, words by :func:`_word_lists`. Their lists, one row a question and fragment, are
+    merged ``MERGE_FAN`` fragments at a time.
     """
     complete = " AND ".join(f"{name} IS NOT NULL" for name in names)
     wanted = F.col(k) if isinstance(k, str) else F.lit(k)
@@ -199,31 +201,12 @@ def _search(
          T.StructField("k", T.IntegerType()), T.StructField("chunk_ids", T.ArrayType(chunk_id.dataType)), T.StructField("scores", T.ArrayType(T.DoubleType()))]
     )
     out = T.StructType([query_id, chunk_id, T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    held_lists = T.StructType(lists.fields[2:])
-    arrow, lists_arrow, out_arrow = to_arrow_schema(held_lists), to_arrow_schema(lists), to_arrow_schema(out)
-    rankers = list(names)
+    arrow, lists_arrow, out_arrow = to_arrow_schema(T.StructType(lists.fields[2:])), to_arrow_schema(lists), to_arrow_schema(out)
 
     cores = q.sparkSession.sparkContext.defaultParallelism
-    asked_bytes, entries = q.agg(F.sum(_bytes(q, names)), F.sum(F.greatest("k", F.lit(depth)).cast("long"))).first()
-    blocks = max(1, -(-(asked_bytes or 0) // part_bytes))
-    fragments = max(cores, -(-(c.agg(F.sum(_bytes(c, names))).first()[0] or 0) // part_bytes))
+    entries = q.agg(F.sum(F.greatest("k", F.lit(depth)).cast("long"))).first()[0] or 0
     # an entry of a list is an id and a score, about 32 bytes
-    buckets = max(cores, -(-32 * (entries or 0) * len(names) * min(fragments, MERGE_FAN) // part_bytes))
-    left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)).cast("array<bigint>"))
-    )
-    right = c.withColumn("fragment", F.pmod(F.xxhash64("chunk_id"), F.lit(fragments))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    )
-
-    def rank_block(some_questions: pa.Table, some_chunks: pa.Table) -> pa.Table:
-        if not some_questions.num_rows or not some_chunks.num_rows:
-            return pa.Table.from_batches([], schema=fragment_arrow)
-        held = nearest.Questions.from_table(some_questions, depth)
-        ids, best = nearest.rank_chunks(some_chunks, held, rankers)
-        found = pa.Table.from_batches([nearest.list_rows(ids, state, held, name, arrow) for name, state in best.items()], schema=arrow)
-        place = pa.array([some_questions.column("fragment")[0].as_py()] * found.num_rows, pa.int64())
-        return found.add_column(0, fragment_arrow.field(0), place)
+    buckets = max(cores, -(-32 * entries * len(names) * MERGE_FAN // part_bytes))
 
     def merge_some(some: pa.Table) -> pa.Table:
         queries, chunk_ids, merged, asked = nearest.merge_lists(some, depth)
@@ -235,6 +218,13 @@ def _search(
             table = table.add_column(i, lists_arrow.field(i), pa.array([some.column(column)[0].as_py()] * table.num_rows, pa.int64()))
         return table
 
+    def merged(found: DataFrame, fragments: int, until: int) -> DataFrame:
+        found = found.withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.lit(buckets))).select(*lists.names)
+        while fragments > until:
+            fragments = -(-fragments // MERGE_FAN)
+            found = found.withColumn("fragment", F.floor(F.col("fragment") / MERGE_FAN)).groupBy("bucket", "fragment").applyInArrow(merge_some, lists)
+        return found
+
     def finish(some: pa.Table) -> pa.Table:
         queries, chunk_ids, merged, asked = nearest.merge_lists(some, depth)
         if fuse_offset is None:
@@ -244,15 +234,135 @@ def _search(
         columns = [queries.take(pa.array(question)), chunk_ids.take(pa.array(chunk)), pa.array(score), pa.array(rank.astype("int32"))]
         return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, out_arrow, strict=True)], schema=out_arrow)
 
-    keys = ["block", "fragment"]
-    fragment_schema = T.StructType(lists.fields[1:])
-    fragment_arrow = to_arrow_schema(fragment_schema)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, fragment_schema)
-    found = found.withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.lit(buckets))).select(*lists.names)
-    while fragments > MERGE_FAN:
-        fragments = -(-fragments // MERGE_FAN)
-        found = found.withColumn("fragment", F.floor(F.col("fragment") / MERGE_FAN)).groupBy("bucket", "fragment").applyInArrow(merge_some, lists)
-    return found.groupBy("bucket").applyInArrow(finish, out)
+    held = T.StructType(lists.fields[1:])
+    searches = {"vector": _near_lists, "terms": _word_lists}
+    parts = [
+        merged(*searches[name](q.select("query_id", "k", name), c.select("chunk_id", name), held, depth, part_bytes, merged), MERGE_FAN) for name in names
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("bucket").applyInArrow(finish, out)
+
+
+def _spread(rows: DataFrame, side: str, count: int) -> DataFrame:
+    """Each row once for every number below ``count``, in the column ``side``."""
+    return rows.withColumn(side, F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>")))
+
+
+def _near_lists(q: DataFrame, c: DataFrame, schema: T.StructType, depth: int, part_bytes: int, merged: Callable) -> tuple[DataFrame, int]:
+    """Lists by cosine, and the number of fragments. A fragment holds the chunks nearest to one of the pivots (at most
+    ``MOST_PIVOTS`` chunks); a large one is cut into parts by a hash.
+
+    Every question first meets the fragment of its nearest pivot. The last score of that list is its bar: the question then
+    goes only to the fragments in which a chunk can reach the bar, by the angles to the pivots (:func:`nearest.cosine_bounds`).
+    """
+    spark, arrow = q.sparkSession, to_arrow_schema(schema)
+    cores = spark.sparkContext.defaultParallelism
+    n, size = c.agg(F.count(F.lit(1)), F.sum(_bytes(c, ["vector"]))).first()
+    asked_bytes = q.agg(F.sum(_bytes(q, ["vector"]))).first()[0]
+    if not n or not asked_bytes:
+        return spark.createDataFrame([], schema), 1
+    blocks = max(1, -(-asked_bytes // part_bytes))
+    count = min(max(4 * cores, -(-size // part_bytes)), MOST_PIVOTS, n)
+    sample = c.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, n // (2 * count)))) == 0).select("vector").limit(count)
+    vectors = [r.vector for r in sample.collect()] or [c.first().vector]
+    pivots = np.unique(nearest.unit_rows(nearest.to_matrix(pa.array(vectors))), axis=0)
+
+    def placed(parts: np.ndarray) -> DataFrame:
+        def place(batches):
+            for batch in batches:
+                own, angle = nearest.nearest_pivots(nearest.unit_rows(nearest.to_matrix(batch.column("vector"))), pivots)
+                spread = batch.column("spread").to_numpy()
+                added = {"fragment": pa.array(own), "part": pa.array(spread % parts[own]), "angle": pa.array(angle)}
+                yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("vector"), *added.values()], names=["chunk_id", "vector", *added])
+
+        rows = c.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 31)).alias("spread"))
+        return rows.mapInArrow(place, T.StructType([*c.schema.fields, T.StructField("fragment", T.LongType()), T.StructField("part", T.LongType()), T.StructField("angle", T.DoubleType())]))
+
+    radius, parts = np.full(len(pivots), -1.0), np.ones(len(pivots), dtype=np.int64)
+    for r in placed(parts).groupBy("fragment").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r.fragment], parts[r.fragment] = r.radius, max(1, -(-r.n * size // n // (2 * part_bytes)))
+
+    asked = T.StructType([*q.schema.fields, T.StructField("bar", T.DoubleType())])
+    sent = T.StructType([*asked.fields, T.StructField("fragment", T.LongType()), T.StructField("part", T.LongType())])
+
+    def send(first: bool) -> Callable:
+        def rows(batches):
+            for batch in batches:
+                vectors = nearest.unit_rows(nearest.to_matrix(batch.column("vector")))
+                own, _ = nearest.nearest_pivots(vectors, pivots)
+                bars = batch.column("bar").fill_null(-np.inf).to_numpy()
+                for part in nearest.steps(batch.num_rows, len(pivots)):
+                    meets = np.arange(len(pivots)) == own[part][:, None]
+                    if not first:
+                        bounds = nearest.cosine_bounds(vectors[part] @ pivots.T, pivots, radius)
+                        meets = ~meets & (bounds >= bars[part][:, None] - nearest.MARGIN)
+                    row, fragment = np.nonzero(meets)
+                    many = parts[fragment]
+                    taken = batch.take(pa.array(np.repeat(row + part.start, many)))
+                    within = nearest.ranges(np.zeros(len(many), dtype=np.int64), many)
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.repeat(fragment, many)), pa.array(within)], names=sent.names)
+
+        return rows
+
+    def rank_block(some_questions: pa.Table, some_chunks: pa.Table) -> pa.Table:
+        if not some_questions.num_rows or not some_chunks.num_rows:
+            return pa.Table.from_batches([], schema=arrow)
+        held = nearest.Questions.from_table(some_questions, depth)
+        ids, found = nearest.rank_near(some_chunks, held, some_questions.column("bar").combine_chunks().fill_null(-np.inf).to_numpy())
+        return nearest.with_fragment(nearest.merged_rows(held.ids, ids, (*found, None), held.asked, "vector", pa.schema(list(arrow)[1:])), some_questions, arrow)
+
+    right = _spread(placed(parts).drop("angle"), "block", blocks)
+    keys = ["block", "fragment", "part"]
+
+    def lists(barred: DataFrame, first: bool) -> DataFrame:
+        left = barred.mapInArrow(send(first), sent).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        return stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, schema), "near")
+
+    near = lists(q.select("*", F.lit(None).cast("double").alias("bar")), True)
+    last = F.greatest("k", F.lit(depth))
+    bars = near.groupBy("query_id").agg(F.max(F.try_element_at("scores", last)).alias("bar"))
+    far = lists(q.join(bars, "query_id", "left").select(*asked.names), False)
+    return near.unionByName(far), len(pivots)
+
+
+def _word_lists(q: DataFrame, c: DataFrame, schema: T.StructType, depth: int, part_bytes: int, merged: Callable) -> tuple[DataFrame, int]:
+    """Lists by shared words, and the number of fragments. The chunks are cut into fragments, one for every core at least, the
+    questions into blocks; every block meets every fragment in a shuffle, and a task keeps the best per question.
+
+    The first fragments, about the root of their number, run ahead: the last entry of their merged list is the question's
+    bar, and later fragments list only what ranks before it."""
+    arrow = to_arrow_schema(schema)
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-(q.agg(F.sum(_bytes(q, ["terms"]))).first()[0] or 0) // (2 * part_bytes)))
+    fragments = max(cores, -(-(c.agg(F.sum(_bytes(c, ["terms"]))).first()[0] or 0) // (4 * part_bytes)))
+    ahead = min(fragments, max(cores, math.isqrt(fragments)))
+    bar_id = T.StructField("bar_id", c.schema["chunk_id"].dataType)
+    c = c.withColumn("fragment", F.pmod(F.xxhash64("chunk_id"), F.lit(fragments)))
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+
+    def rank_block(some_questions: pa.Table, some_chunks: pa.Table) -> pa.Table:
+        if not some_questions.num_rows or not some_chunks.num_rows:
+            return pa.Table.from_batches([], schema=arrow)
+        held = nearest.Questions.from_table(some_questions, depth)
+        bars = some_questions.column("bar").combine_chunks().fill_null(0.0).to_numpy()
+        ids, best = nearest.rank_chunks(some_chunks, held, ["terms"], {"terms": np.maximum(bars - 0.5, 0.0)})
+        found = nearest.before(*best["terms"].lists(), ids, bars, some_questions.column("bar_id").combine_chunks())
+        return nearest.with_fragment(nearest.merged_rows(held.ids, ids, (*found, None), held.asked, "terms", pa.schema(list(arrow)[1:])), some_questions, arrow)
+
+    def lists(barred: DataFrame, condition: Column) -> DataFrame:
+        left = _spread(barred, "fragment", fragments).filter(condition)
+        right = _spread(c.filter(condition), "block", blocks)
+        keys = ["block", "fragment"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, schema)
+
+    none = q.select("*", F.lit(None).cast("double").alias("bar"), F.lit(None).cast(bar_id.dataType).alias("bar_id"))
+    first = merged(lists(none, F.col("fragment") < ahead), ahead, 1)
+    if ahead == fragments:
+        return first.select(*schema.names), 1
+    first = stored(first.select(*schema.names), "words")
+    last = F.greatest("k", F.lit(depth))
+    bars = first.select("query_id", F.try_element_at("scores", last).alias("bar"), F.try_element_at("chunk_ids", last).alias("bar_id"))
+    later = lists(q.join(bars, "query_id", "left"), F.col("fragment") >= ahead)
+    return first.unionByName(later), fragments
 
 
 def similar_chunks(questions: DataFrame, chunks: DataFrame, k: int | str = 5, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeops.functions import nearest
 from lakeops.functions import text as tx
@@ -174,6 +175,59 @@ def test_lists_of_many_fragments_merge_in_rounds(spark, monkeypatch):
         monkeypatch.setattr(rt, "MERGE_FAN", 2)
 
 
+def test_near_cells_give_the_same_lists_with_few_scores(monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = rng.uniform(-1, 1, (20_000, 8))
+    vectors[::50] = vectors[0]
+    ids = rng.permutation(len(vectors))
+    asked = np.concatenate([rng.uniform(-1, 1, (60, 8)), vectors[:1], np.zeros((1, 8)), vectors[7:8]])
+    chunks = pa.table({"chunk_id": ids, "vector": vectors.tolist()})
+    held = nearest.Questions.from_table(pa.table({"query_id": range(len(asked)), "k": pa.array([7] * len(asked), pa.int32()), "vector": asked.tolist()}))
+    made = []
+    add = nearest.Found.add
+    monkeypatch.setattr(nearest.Found, "add", lambda self, scores, *rest: (made.append(scores[:, :].size), add(self, scores, *rest))[1])
+    by_id, (question, place, score) = nearest.rank_near(chunks, held, np.full(len(asked), -np.inf))
+    whole = np.round(nearest.unit_rows(asked) @ nearest.unit_rows(vectors).T, 12)
+    for i in range(len(asked)):
+        wanted = sorted(range(len(vectors)), key=lambda j: (-whole[i, j], ids[j]))[:7]
+        assert by_id.take(pa.array(place[question == i])).to_pylist() == ids[wanted].tolist()
+    assert sum(made) < 0.6 * whole.size
+    bars = np.array([score[question == i][-1] for i in range(len(asked))])
+    made.clear()
+    again = nearest.rank_near(chunks, held, bars)[1]
+    assert all((a == b).all() for a, b in zip(again, (question, place, score))) and 0 < sum(made) < 0.6 * whole.size
+
+
+def test_questions_go_only_to_near_fragments(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    v = rng.uniform(-1, 1, (4000, 3))
+    c = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "chunk_id long, vector array<double>")
+    q = spark.createDataFrame([(i, 3, x) for i, x in enumerate(v[:300].tolist())], "query_id long, k int, vector array<double>")
+    kind = T.StructType.fromDDL("fragment long, query_id long, ranker string, k int, chunk_ids array<long>, scores array<double>")
+    lists, fragments = rt._near_lists(q, c, kind, 0, 2000, None)
+    assert fragments > 40 and 300 <= lists.count() < 300 * fragments / 4
+
+
+def test_later_fragments_list_what_ranks_before_the_bar(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: [f"w{x}" for x in np.unique(rng.integers(0, 12, n))]
+    c = spark.createDataFrame([(f"c{i}", [1.0, float(i)], some(6)) for i in range(900)], "chunk_id string, vector array<double>, terms array<string>")
+    q = spark.createDataFrame([(i, [1.0, float(i)], some(5)) for i in range(20)], "query_id long, vector array<double>, terms array<string>")
+    whole = {tuple(r) for r in rt.hybrid_chunks(q, c, 6, depth=5).collect()}
+    assert whole == {tuple(r) for r in rt.hybrid_chunks(q, c, 6, depth=5, part_bytes=150).collect()} and len(whole) == 120
+    kind = T.StructType.fromDDL("fragment long, query_id long, ranker string, k int, chunk_ids array<string>, scores array<double>")
+    q = q.select("query_id", F.lit(6).alias("k"), "terms")
+    held = {}
+
+    def merged(found, fragments, until):
+        held[fragments] = found
+        return found.groupBy("query_id", "ranker", "k").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("scores", "chunk_ids"))), lambda a, b: F.when(a.scores != b.scores, F.when(a.scores > b.scores, -1).otherwise(1)).when(a.chunk_ids < b.chunk_ids, -1).otherwise(1)), 1, 6).alias("x")).select(
+            F.lit(0).cast("long").alias("fragment"), "query_id", "ranker", "k", "x.chunk_ids", "x.scores")
+
+    lists, fragments = rt._word_lists(q, c.select("chunk_id", "terms"), kind, 5, 150, merged)
+    assert fragments > 60 and lists.agg(F.sum(F.size("scores"))).first()[0] < 20 * 6 * fragments / 2
+
+
 def test_requests_for_too_many_chunks_are_rejected(spark):
     rows = spark.createDataFrame([("a", "x", 5), ("b", "x", 10_000), ("c", " ", 5)], "query_id string, question string, num_results int")
     got = {r.query_id: (r.is_rejected, r.reject_reason) for r in rt.question_rows(rows.withColumn("prompt", F.lit(None).cast("string"))).collect()}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.functions.rules import blank, printed
-from lakeops.operators.events import latest_by, newest
+from lakeops.operators.events import latest_by, newest, top_by
 
 # Model states, promotion paths, rollback targets.
 MODEL_STATES = (
@@ -26,6 +26,12 @@ ROLLBACK_TARGETS = ("hml", "prd")
 MODEL = ("model_name", "model_version")
 MODEL_ENV = ("model_name", "target_env")
 
+CARRIED = ("model_version", "artifact_path", "source_env", "run_id")  # of a deployment, into its INACTIVE event
+REGISTERED = ("algorithm", "run_id", "artifact_path")  # of a registry entry, into its next status event
+# What rollback_decisions adds to a plan, for its accepted rows.
+ACTIVE_COLUMNS = tuple(f"old_{c}" for c in CARRIED)
+REGISTRY_COLUMNS = tuple(f"registered_{c}" for c in REGISTERED)
+
 
 def _order(events: DataFrame) -> list[Column]:
     """Newest first; ``step`` and ``run_id`` break ties where the table has them."""
@@ -69,7 +75,7 @@ def invalid_states(events: DataFrame, states: Sequence[str] = MODEL_STATES) -> D
 def status_events(changes: DataFrame, registry: DataFrame, states: Sequence[str] = MODEL_STATES) -> DataFrame:
     """New registry events for requested status changes (model, version, status, event_timestamp),
     carrying over algorithm, run and path of the newest entry. Unknown models and states give none."""
-    current = latest_registry(registry).select(*MODEL, "algorithm", "run_id", "artifact_path")
+    current = latest_registry(registry).select(*MODEL, *REGISTERED)
     return changes.filter(F.col("status").isin(*states)).join(current, list(MODEL), "inner")
 
 
@@ -84,26 +90,35 @@ def active_deployments(deployments: DataFrame, strict: bool = False) -> DataFram
     return latest_by(deployments.filter("is_active"), MODEL_ENV, _order(deployments))
 
 
+def with_active(requests: DataFrame, deployments: DataFrame, strict: bool = False) -> DataFrame:
+    """``requests`` with the current active deployment of their model and environment as ``old_`` columns."""
+    current = active_deployments(deployments, strict).select(*MODEL_ENV, *[F.col(c).alias(f"old_{c}") for c in CARRIED])
+    return requests.join(current, list(MODEL_ENV), "left")
+
+
 def activation_events(
     requests: DataFrame, deployments: DataFrame, strict: bool = False, order: Sequence[str] = ("run_id", "model_version", "artifact_path")
 ) -> DataFrame:
     """Deployment events of activation requests: an INACTIVE event for the current active deployment
     (step 1), then the new active one (step 2). Several requests for one (model, environment) follow each
     other in ``order``: each retires the one before it (steps 3 and 4, and so on), so the last stays active."""
-    carried = ("model_version", "artifact_path", "source_env", "run_id")
-    current = active_deployments(deployments, strict).select(*MODEL_ENV, *[F.col(c).alias(f"old_{c}") for c in carried])
+    return _activations(with_active(requests, deployments, strict), order)
+
+
+def _activations(requests: DataFrame, order: Sequence[str] = ("run_id", "model_version", "artifact_path")) -> DataFrame:
+    """The same for requests that hold the ``old_`` columns already."""
     queue = Window.partitionBy(*MODEL_ENV).orderBy(*order)
-    lined_up = requests.withColumns({"__before": F.lag(F.struct(*carried)).over(queue), "__turn": F.row_number().over(queue)})
-    joined = lined_up.join(current, list(MODEL_ENV), "left").withColumns(
-        {f"old_{c}": F.when(F.col("__turn") == 1, F.col(f"old_{c}")).otherwise(F.col(f"__before.{c}")) for c in carried}
+    lined_up = requests.withColumns({"__before": F.lag(F.struct(*CARRIED)).over(queue), "__turn": F.row_number().over(queue)})
+    joined = lined_up.withColumns(
+        {f"old_{c}": F.when(F.col("__turn") == 1, F.col(f"old_{c}")).otherwise(F.col(f"__before.{c}")) for c in CARRIED}
     )
     # Fixed value: note text.
     retired_note = F.concat(F.lit("Desativado por nova ativacao da versao "), F.col("model_version"))
     rows = F.stack(
         F.lit(2),
-        F.lit(1), *[F.col(f"old_{c}") for c in carried], F.lit("INACTIVE"), F.lit(False), retired_note,
-        F.lit(2), *[F.col(c) for c in carried], F.col("deployment_status"), F.lit(True), F.col("notes"),
-    ).alias("step", *[f"new_{c}" for c in carried], "new_status", "is_active", "new_notes")
+        F.lit(1), *[F.col(f"old_{c}") for c in CARRIED], F.lit("INACTIVE"), F.lit(False), retired_note,
+        F.lit(2), *[F.col(c) for c in CARRIED], F.col("deployment_status"), F.lit(True), F.col("notes"),
+    ).alias("step", *[f"new_{c}" for c in CARRIED], "new_status", "is_active", "new_notes")
     events = joined.select(*MODEL_ENV, "__turn", F.col("old_model_version").isNotNull().alias("had_active"), rows)
     return events.filter(F.col("had_active") | F.col("is_active")).select(
         "model_name",
@@ -119,17 +134,32 @@ def activation_events(
     )
 
 
+def inactive_versions(deployments: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per model and environment the newest two versions whose own newest event is INACTIVE, as the structs ``__first``
+    and ``__second`` of ``columns``: one of them is the newest other than any given version."""
+    order = _order(deployments)
+    per_version = latest_by(deployments, [*MODEL_ENV, "model_version"], order).filter(
+        (F.col("deployment_status") == "INACTIVE") & F.col("model_version").isNotNull()
+    )
+    newest_two = top_by(per_version, MODEL_ENV, order, 2)
+    turns = Window.partitionBy(*MODEL_ENV).orderBy(*order)
+    rows = newest_two.withColumn("__first", F.struct(*columns))
+    paired = rows.withColumns({"__second": F.lead("__first").over(turns), "__turn": F.row_number().over(turns)})
+    return paired.filter(F.col("__turn") == 1).select(*MODEL_ENV, "__first", "__second")
+
+
+def _other_than(version: str) -> Column:
+    """Of the two rows of :func:`inactive_versions` the first with another version."""
+    other = F.when(F.col("__first.model_version") != F.col(version), F.col("__first")).otherwise(F.col("__second"))
+    return F.when(F.col(version).isNotNull(), other)
+
+
 def rollback_candidates(requests: DataFrame, deployments: DataFrame) -> DataFrame:
     """Per request (model, environment, current version): the newest other version whose own newest
     event is INACTIVE. Requests without one are absent."""
-    per_version = latest_by(deployments, [*MODEL_ENV, "model_version"], _order(deployments)).filter(
-        F.col("deployment_status") == "INACTIVE"
-    )
-    wanted = requests.select(*MODEL_ENV, "current_model_version").distinct()
-    per_version = per_version.join(wanted, list(MODEL_ENV), "inner").filter(
-        F.col("model_version") != F.col("current_model_version")
-    )
-    return latest_by(per_version, [*MODEL_ENV, "current_model_version"], _order(deployments))
+    wanted, columns = requests.select(*MODEL_ENV, "current_model_version").distinct(), [c for c in deployments.columns if c not in MODEL_ENV]
+    found = wanted.join(inactive_versions(deployments, columns), list(MODEL_ENV)).withColumn("__other", _other_than("current_model_version"))
+    return found.filter(F.col("__other").isNotNull()).select(*MODEL_ENV, *[F.col(f"__other.{c}").alias(c) for c in columns], "current_model_version")
 
 
 def rollback_plan(requests: DataFrame, deployments: DataFrame, registry: DataFrame) -> DataFrame:
@@ -138,31 +168,34 @@ def rollback_plan(requests: DataFrame, deployments: DataFrame, registry: DataFra
     Reasons in order: target environment not allowed, no active deployment, no candidate, version not
     in the registry.
     """
-    active = active_deployments(deployments).select(*MODEL_ENV, F.col("model_version").alias("from_version"))
-    judged = requests.join(active, list(MODEL_ENV), "left")
-    wanted = judged.filter(F.col("from_version").isNotNull()).select(
-        *MODEL_ENV, F.col("from_version").alias("current_model_version")
+    return rollback_decisions(requests, deployments, registry).drop(*ACTIVE_COLUMNS, *REGISTRY_COLUMNS)
+
+
+def rollback_decisions(requests: DataFrame, deployments: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of :func:`rollback_plan`; the accepted ones also hold the active deployment and the registry entry they
+    were judged by, so that their events need no second fold."""
+    judged = with_active(requests, deployments).withColumn("from_version", F.col("old_model_version"))
+    judged = judged.join(inactive_versions(deployments, CARRIED), list(MODEL_ENV), "left").withColumn("__other", _other_than("from_version"))
+    judged = judged.withColumns({f"to_{c}": F.col(f"__other.{c}") for c in CARRIED}).drop("__first", "__second", "__other")
+    judged = judged.withColumnRenamed("to_model_version", "to_version")
+    known = latest_registry(registry).select(
+        "model_name", F.col("model_version").alias("from_version"), F.lit(True).alias("registered"), *[F.col(c).alias(f"registered_{c}") for c in REGISTERED]
     )
-    candidate = rollback_candidates(wanted, deployments).select(
-        *MODEL_ENV,
-        F.col("model_version").alias("to_version"),
-        F.col("artifact_path").alias("to_artifact_path"),
-        F.col("source_env").alias("to_source_env"),
-        F.col("run_id").alias("to_run_id"),
-    )
-    known = latest_registry(registry).select("model_name", F.col("model_version").alias("from_version"), F.lit(True).alias("registered"))
-    joined = judged.join(candidate, list(MODEL_ENV), "left").join(known, ["model_name", "from_version"], "left")
+    joined = judged.join(known, ["model_name", "from_version"], "left")
     reason = (
         F.when(~F.col("target_env").isin(*ROLLBACK_TARGETS), "INVALID_TARGET")
         .when(F.col("from_version").isNull(), "NO_ACTIVE_DEPLOYMENT")
         .when(F.col("to_version").isNull(), "NO_CANDIDATE")
         .when(F.col("registered").isNull(), "NOT_IN_REGISTRY")
     )
-    return joined.withColumn("reason", reason).drop("registered")
+    decided = joined.withColumn("reason", reason).drop("registered")
+    return decided.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in (*ACTIVE_COLUMNS, *REGISTRY_COLUMNS)})
 
 
 def rollback_deployment_events(plan: DataFrame, deployments: DataFrame) -> DataFrame:
-    """Deployment events of the accepted rows of a rollback plan."""
+    """Deployment events of the accepted rows of a rollback plan; ``deployments`` are folded only for a plan without
+    the columns of :func:`rollback_decisions`."""
+    held = [c for c in ACTIVE_COLUMNS if c in plan.columns]
     accepted = plan.filter("reason IS NULL").select(
         "model_name",
         F.col("to_version").alias("model_version"),
@@ -172,16 +205,19 @@ def rollback_deployment_events(plan: DataFrame, deployments: DataFrame) -> DataF
         F.lit("ROLLED_BACK_ACTIVE").alias("deployment_status"),
         F.col("to_run_id").alias("run_id"),
         F.concat(F.lit("Rollback ativou versao "), F.col("to_version")).alias("notes"),
+        *held,
     )
-    return activation_events(accepted, deployments)
+    return _activations(accepted) if held else activation_events(accepted, deployments)
 
 
 def rollback_status_events(plan: DataFrame, registry: DataFrame) -> DataFrame:
-    """ROLLED_BACK registry events for the versions rolled back from."""
+    """ROLLED_BACK registry events for the versions rolled back from; ``registry`` is folded only for a plan without
+    the columns of :func:`rollback_decisions`."""
+    held = [F.col(f"registered_{c}").alias(c) for c in REGISTERED if f"registered_{c}" in plan.columns]
     changes = plan.filter("reason IS NULL").select(
-        "model_name", F.col("from_version").alias("model_version"), F.lit("ROLLED_BACK").alias("status")
+        "model_name", F.col("from_version").alias("model_version"), F.lit("ROLLED_BACK").alias("status"), *held
     )
-    return status_events(changes, registry)
+    return changes if held else status_events(changes, registry)
 
 
 def rollback_governance_events(plan: DataFrame) -> DataFrame:

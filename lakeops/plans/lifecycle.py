@@ -59,8 +59,8 @@ def run_rollbacks(
         return {table: _timed(rows, as_of, env, project) for table, rows in events.items()}
 
     folder = _journal(spark, schema, "rollback", journal)
-    found = decide_once(requests, folder, [*lc.MODEL_ENV, "run_id"], lambda asked: lc.rollback_plan(asked, deployments, registry), derive)
-    return _carry_out(*found, schema, plan_table)
+    found = decide_once(requests, folder, [*lc.MODEL_ENV, "run_id"], lambda asked: lc.rollback_decisions(asked, deployments, registry), derive)
+    return _carry_out(found[0].drop(*lc.ACTIVE_COLUMNS, *lc.REGISTRY_COLUMNS), found[1], schema, plan_table)
 
 
 def run_promotions(

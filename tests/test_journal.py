@@ -91,6 +91,47 @@ def test_only_parts_that_a_filter_names_are_read(spark, tmp_path):
     assert spark.read.parquet(f"{path}/rows/plan").count() == 4000
 
 
+def test_requests_are_read_twice_at_most_where_a_journal_exists(spark, tmp_path):
+    schema, folder, reads = stored(spark), str(tmp_path / "journal"), spark.sparkContext.accumulator(0)
+    asked = [(f"m{i}", "hml", f"g{i}") for i in range(40)]
+    run(spark, schema, folder, ("m", "hml", "g"), *asked[:20])
+
+    def read(row):
+        reads.add(1)
+        return row
+
+    counted = spark.createDataFrame(spark.sparkContext.parallelize([("m", "hml", "g"), *asked], 2).map(read), requests(spark, *asked).schema)
+    plan = lifecycle.run_rollbacks(spark, schema, counted, F.lit(datetime(2024, 1, 9)), "dev", "demo", f"{schema}.plan", folder)
+    assert reads.value <= 2 * 41
+    assert plan.count() == 41 and plan.filter("reason IS NULL").count() == 1
+    assert spark.table(f"{schema}.{TABLES[2]}").count() == 2 * 41
+
+
+def test_a_batch_with_a_filter_of_another_layout_still_answers(spark, tmp_path):
+    path, keys = str(tmp_path / "journal"), ["k", "v"]
+    first = spark.range(30).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, "x").alias("v"))
+    decide = lambda asked: asked.withColumn("answer", F.lit(1))
+    derive = lambda plan: {"events": plan.select("k")}
+    decide(first).write.parquet(f"{path}/rows/plan/batch=old")
+    first.select("k").write.parquet(f"{path}/rows/events/batch=old")
+    first.withColumn("part", journal.part_of(keys)).write.partitionBy("part").parquet(f"{path}/keys/batch=old")
+    spark.createDataFrame([("old",)], "batch STRING").write.parquet(f"{path}/commits")
+    more = first.unionByName(spark.range(30, 40).select(F.col("id").alias("k"), F.lit("x").alias("v")))
+    for count in (40, 40):
+        plan, events = journal.decide_once(more, path, keys, decide, derive)
+        assert plan.count() == count and events["events"].count() == count
+    assert spark.read.parquet(f"{path}/rows/plan").count() == 40
+
+
+def test_a_key_takes_one_row_of_a_filter(spark):
+    rows = spark.range(3000).select(F.col("id").alias("k"))
+    masks = journal.with_mask(rows, ["k"])
+    assert masks.count() == 3000
+    bits = {r.n: r["count"] for r in masks.groupBy(F.bit_count("mask").alias("n")).count().collect()}
+    assert set(bits) <= set(range(1, journal.PROBES + 1)) and bits[journal.PROBES] > 2000
+    assert journal.filter_rows(rows, ["k"]).join(masks, ["part", "word"]).count() == 3000
+
+
 def test_a_snapshot_and_its_tail_give_the_whole_fold(spark, tmp_path):
     path, order = str(tmp_path / "state"), newest("event_timestamp", "id")
     start = datetime(2024, 1, 1)

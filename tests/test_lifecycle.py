@@ -62,6 +62,23 @@ def test_rollback_reasons(spark):
     assert "Rollback executado de new para old" in {r.message for r in logged}
 
 
+def test_events_of_stored_decisions_need_no_second_fold(spark, tmp_path):
+    history = deployments(
+        spark, [("old", "hml", "DEPLOYED_HML", True, 1), ("old", "hml", "INACTIVE", False, 2), ("new", "hml", "DEPLOYED_HML", True, 3), ("only", "prd", "DEPLOYED_PRD", True, 1)]
+    )
+    known = registry(spark, [("new", "DEPLOYED_HML", "p", 1), ("only", "DEPLOYED_PRD", "p", 1)])
+    asked = requests(spark, ("m", "hml", "g1"), ("m", "hml", "g2"), ("m", "prd", "g3"), ("x", "hml", "g4"))
+    plain = lc.rollback_plan(asked, history, known)
+    lc.rollback_decisions(asked, history, known).write.parquet(str(tmp_path / "plan"))
+    decided = spark.read.parquet(str(tmp_path / "plan"))
+    for events, other in ((lc.rollback_deployment_events, history), (lc.rollback_status_events, known)):
+        carried, folded = events(decided, other), events(plain, other)
+        assert carried.columns == folded.columns
+        assert sorted(map(str, carried.collect())) == sorted(map(str, folded.collect())) and folded.count() in (2, 4)
+        tree = carried._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in tree and tree.count("Relation") == 1
+
+
 def test_candidate_needs_newest_event_inactive(spark):
     history = deployments(
         spark, [("a", "hml", "INACTIVE", False, 1), ("a", "hml", "ROLLED_BACK_ACTIVE", True, 5), ("b", "hml", "INACTIVE", False, 2), ("c", "hml", "DEPLOYED_HML", True, 9)]
@@ -79,6 +96,21 @@ def stored(spark):
     return schema
 
 
+def test_candidate_is_the_newest_other_version_in_two_scans(spark, tmp_path):
+    inactive = [(v, "hml", "INACTIVE", False, at) for at, v in enumerate(("a", "b", "c", None), 1)]
+    events = deployments(spark, [*inactive, ("d", "hml", "DEPLOYED_HML", True, 9)])
+    asked = spark.createDataFrame([("m", "hml", v) for v in ("a", "b", "c", "d", "d", None)], "model_name string, target_env string, current_model_version string")
+    found = lc.rollback_candidates(asked, events)
+    assert sorted((r.current_model_version, r.model_version, r.run_id) for r in found.collect()) == [
+        ("a", "c", "run-c"), ("b", "c", "run-c"), ("c", "b", "run-b"), ("d", "c", "run-c"),
+    ]
+    path = str(tmp_path / "events")
+    events.write.parquet(path)
+    plan = lc.rollback_plan(requests(spark, ("m", "hml", "g")), spark.read.parquet(path), registry(spark, [("d", "TRAINED", "p", 1)]))
+    assert [(r.from_version, r.to_version, r.to_run_id, r.reason) for r in plan.collect()] == [("d", "c", "run-c", None)]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+
+
 def promote(spark, schema, version, at, run):
     asked = spark.createDataFrame([("m", version, "dev", "hml", run)], "model_name string, model_version string, source_env string, target_env string, run_id string")
     return run_promotions(spark, schema, asked, F.lit(datetime(2024, 1, at)), "dev", "demo", f"{schema}.plan_{run}").first()

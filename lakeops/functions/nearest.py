@@ -18,6 +18,12 @@ DIGITS = 12
 SLACK = 10.0**-DIGITS  # rounding to DIGITS moves a score by less
 CELLS = 4_000_000
 FIRST_ROWS = 128  # of the first slice of a task; the following ones double
+DENSE_ROWS = 512  # first chunks of a task without bars, scored against every question
+GROWTH = 6  # of the slices after them
+ROW_SHARE = 1024  # a word in one of so many chunks has a row of bits
+ROWS_BYTES = 64 << 20  # of all rows of bits in a task
+BATCH_BYTES = 64 << 10  # of one plane of the questions counted at a time
+WORD_END = "\x1f"  # between words that move as one string
 SET_SHARE = 0.005  # 64 words become one bit set while their squared shares of the questions add up to this
 MOST_SETS = 8
 CELL_ROWS = 256  # chunks of one cell inside a task, on average
@@ -87,14 +93,6 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def vector_scores(questions: Questions, batch: pa.RecordBatch) -> np.ndarray:
-    """Cosine of every chunk (rows) and question (columns), not yet rounded."""
-    chunks = unit_rows(to_matrix(batch.column("vector")))
-    if chunks.shape[1] != questions.vectors.shape[1]:
-        raise ValueError("vectors of different lengths cannot be compared")
-    return chunks @ questions.vectors.T
-
-
 def overlap_scores(questions: Questions, batch: pa.RecordBatch) -> np.ndarray:
     """Number of shared distinct words of every chunk and question: the set bits both have, and for all other
     words one for each posting."""
@@ -171,11 +169,12 @@ class Best:
         enters = found > bars[question]
         row, question, found = row[enters], question[enters], found[enters]
         if len(question):
-            self._merge(question, first + row, found)
+            self.merge(question, first + row, found)
 
-    def _merge(self, question: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
+    def merge(self, question: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
+        """Entries that enter, of later places than the kept ones, each question's by place."""
         self.sorts += 1
-        touched = np.unique(question)
+        touched = np.flatnonzero(np.bincount(question))
         slots = ranges(self.starts[touched], self.keep[touched])
         filled = self.places[slots] >= 0
         slots, owner = slots[filled], np.repeat(touched, self.keep[touched])[filled]
@@ -195,23 +194,194 @@ class Best:
         return np.repeat(np.arange(len(self.keep)), self.keep)[filled], self.places[filled], self.scores[filled]
 
 
-RANKERS = {"vector": (vector_scores, -np.inf, cosine_steps), "terms": (overlap_scores, 0.0, count_steps)}
-
+def rank_chunks(
+    chunks: pa.Table, questions: Questions, bars: np.ndarray | None = None, bar_ids: pa.Array | None = None
+) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of the chunks in order, and the best (question, place, score) by number of shared words. With ``bars``, a score (0: none)
+    and a chunk id per question, only what ranks before them.
 
-def rank_chunks(chunks: pa.Table, questions: Questions, names: list[str], floors: dict[str, np.ndarray] | None = None) -> tuple[pa.Array, dict[str, Best]]:
-    """Ids of the chunks in order, and each ranker's best places in it. ``floors`` are scores that each question's chunks
-    must beat."""
+    Without bars the first chunks are scored one by one against all questions, and slices grow, so that the lists they fill shut
+    out most of the later ones. Slices after that are counted by :class:`WordRows`.
+    """
     chunks = chunks.take(pc.sort_indices(chunks, [("chunk_id", "ascending")]))
-    best = {name: Best(questions.keep, (floors or {}).get(name, RANKERS[name][1]), RANKERS[name][2]) for name in names}
-    most = max(1, CELLS // max(1, len(questions.ids)))
-    at, size = 0, min(FIRST_ROWS, most)
-    while at < chunks.num_rows:
-        part = chunks.slice(at, size).combine_chunks()
-        batch = compact(part.to_batches()[0])
-        for name, state in best.items():
-            state.add(RANKERS[name][0](questions, batch), at)
-        at, size = at + size, min(2 * size, most)
-    return chunks.column("chunk_id").combine_chunks(), best
+    ids, lists, count = chunks.column("chunk_id").combine_chunks(), chunks.column("terms").combine_chunks(), len(questions.ids)
+    bars = np.zeros(count) if bars is None else bars
+    best = Best(questions.keep, np.maximum(bars - 0.5, 0.0), count_steps)
+    before = places_before(ids, bar_ids) if bar_ids is not None else np.full(count, len(ids))
+    at = 0
+    if not bars.any():
+        most = max(1, CELLS // max(1, count))
+        while at < min(DENSE_ROWS, len(ids)):
+            part = lists.slice(at, min(max(at, FIRST_ROWS), most, DENSE_ROWS - at))
+            best.add(overlap_scores(questions, compact(pa.record_batch({"terms": part}))), at)
+            at += len(part)
+    place, word = known_words(lists.slice(at), questions.words)
+    asked = AskedWords.of(questions, word)
+    place += at
+    word = asked.rank[word]
+    while at < len(ids):
+        end = min(GROWTH * at, len(ids)) if at else len(ids)
+        own = slice(*np.searchsorted(place, [at, end]))
+        rows = WordRows(place[own] - at, word[own], end - at, len(asked.rank))
+        parts, pending = [], 0
+        need = np.floor(best.bars).astype(np.int64) + 1
+        for question, found, score in rows.reach(asked, need):
+            kept = (score > bars[question]) | (found + at < before[question])
+            parts.append((question[kept], found[kept] + at, score[kept].astype(float)))
+            pending += int(kept.sum())
+            if pending > CELLS // 4:
+                best.merge(*(np.concatenate(x) for x in zip(*parts)))
+                parts, pending = [], 0
+        if pending:
+            best.merge(*(np.concatenate(x) for x in zip(*parts)))
+        at = end
+    return ids, best.lists()
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """``terms`` of every row, from the strings ``joined`` where it is NULL."""
+    kept, at = table.column("terms"), table.schema.get_field_index("terms")
+    lists = pc.split_pattern(table.column("joined"), WORD_END).cast(kept.type)
+    lists = lists if kept.null_count == len(kept) else pc.coalesce(kept, lists)
+    return table.set_column(at, "terms", lists).drop_columns("joined")
+
+
+def known_words(lists: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of every word in ``lists`` that is one of ``words``."""
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    found = pc.index_in(lists.flatten(), value_set=words)
+    return rows[found.is_valid().to_numpy(zero_copy_only=False)], pc.drop_null(found).to_numpy()
+
+
+@dataclass
+class AskedWords:
+    """The words of each question, ``words[offsets[q]:offsets[q + 1]]``, as ranks by falling number of chunks that have them;
+    ``rank`` turns a word's number into its rank."""
+
+    rank: np.ndarray
+    offsets: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, questions: Questions, word: np.ndarray) -> AskedWords:
+        """``word`` has the word numbers of all chunks."""
+        count = len(questions.words)
+        rank = np.empty(count, dtype=np.int32)
+        rank[np.argsort(-np.bincount(word, minlength=count), kind="stable")] = np.arange(count)
+        owner = questions.posting_questions
+        words = np.repeat(rank, np.diff(questions.posting_offsets))
+        order = np.lexsort((words, owner))
+        return cls(rank, np.searchsorted(owner[order], np.arange(len(questions.ids) + 1)), words[order])
+
+
+class WordRows:
+    """Which chunks of a slice have which word: a row of bits per frequent word, places in a list for the others.
+
+    Rows are added as they are, 64 chunks at a time: bit j of every chunk's number of shared words stands in plane j.
+    """
+
+    def __init__(self, place: np.ndarray, word: np.ndarray, size: int, words: int):
+        """``place`` and ``word``, a rank by falling frequency, of every word in ``size`` chunks."""
+        counts = np.bincount(word, minlength=words)
+        self.width = -(-size // 64)
+        self.rows = min(int((counts * ROW_SHARE >= size).sum()), ROWS_BYTES // (8 * self.width))
+        frequent = word < self.rows
+        self.bits = np.zeros((self.rows + 1, self.width), dtype=np.uint64)  # the last row stays empty
+        set_bits(self.bits.reshape(-1), word[frequent] * np.int64(64 * self.width) + place[frequent])
+        shift = np.int64(int(size).bit_length())
+        listed = np.sort((word[~frequent] << shift) | place[~frequent])
+        self.places = listed & ((1 << shift) - 1)
+        self.starts = np.concatenate([np.zeros(self.rows + 1, np.int64), np.cumsum(counts[self.rows :])])
+
+    def reach(self, asked: AskedWords, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(question, place, score) of all chunks that share at least ``need`` words, by question and place, some questions at
+        a time."""
+        length = np.diff(asked.offsets)
+        owner = np.repeat(np.arange(len(length)), length)
+        frequent = np.bincount(owner[asked.words < self.rows], minlength=len(length))
+        able = np.flatnonzero(length >= need)
+        able = able[np.argsort(frequent[able], kind="stable")]
+        size = max(1, BATCH_BYTES // (8 * self.width))
+        for at in range(0, len(able), size):
+            some = able[at : at + size]
+            planes = self._planes(asked.words, asked.offsets[some], frequent[some], length[some])
+            own, place, score = reaching(planes, need[some], self.width)
+            yield some[own], place, score
+
+    def _planes(self, words: np.ndarray, starts: np.ndarray, frequent: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        levels = []
+        turn = np.arange(int(frequent.max(initial=0)))[:, None]
+        for row in np.where(turn < frequent, words[np.minimum(starts + turn, len(words) - 1)], self.rows):
+            add_bits(levels, self.bits[row], 0)
+        rare = length - frequent
+        word = words[ranges(starts + frequent, rare)]
+        sizes = self.starts[word + 1] - self.starts[word]
+        owner = np.repeat(np.repeat(np.arange(len(starts)), rare), sizes)
+        hits = np.sort(owner * (64 * self.width) + self.places[ranges(self.starts[word], sizes)])
+        first = np.flatnonzero(np.append(True, hits[1:] != hits[:-1])[: len(hits)])
+        counts = np.diff(first, append=len(hits))
+        for j in range(int(counts.max(initial=0)).bit_length()):
+            row = np.zeros((len(starts), self.width), dtype=np.uint64)
+            set_bits(row.reshape(-1), hits[first[counts >> j & 1 == 1]])
+            add_bits(levels, row, j)
+        return settled(levels)
+
+
+def set_bits(flat: np.ndarray, at: np.ndarray) -> None:
+    """Set bits of an array of 64-bit numbers by their places, each named once."""
+    np.add.at(flat, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+
+
+def add_bits(levels: list[list[np.ndarray]], row: np.ndarray, level: int) -> None:
+    """Add bits that are worth 2 ** level to ``levels``; three rows of one level become a row there and a carried one. Rows are
+    written over."""
+    while True:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(row)
+        if len(levels[level]) < 3:
+            return
+        a, b, c = levels[level]
+        one = a ^ b
+        a &= b
+        np.bitwise_and(one, c, out=b)
+        a |= b
+        one ^= c
+        levels[level], row, level = [one], a, level + 1
+
+
+def settled(levels: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """One row per level, with the same sum."""
+    level = 0
+    while level < len(levels):
+        if len(levels[level]) == 2:
+            a, b = levels[level]
+            levels[level] = [a ^ b]
+            add_bits(levels, a & b, level + 1)
+        level += 1
+    return [rows[0] if rows else np.zeros_like(levels[-1][0]) for rows in levels]
+
+
+def reaching(planes: list[np.ndarray], need: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, number) where the number whose bits are ``planes`` is at least the row's ``need``, which is positive."""
+    beaten = need - 1
+    above = np.zeros((len(need), width), dtype=np.uint64)
+    equal = np.where(beaten >> len(planes) == 0, ~np.uint64(0), np.uint64(0))[:, None] | above
+    for j in reversed(range(len(planes))):
+        bit = np.where(beaten >> j & 1 == 1, ~np.uint64(0), np.uint64(0))[:, None]
+        differs = planes[j] ^ bit
+        higher = equal & differs
+        equal ^= higher
+        higher &= planes[j]
+        above |= higher
+    above = above.reshape(-1)
+    some = np.flatnonzero(above)
+    bits = np.flatnonzero(np.unpackbits(above[some].astype("<u8").view(np.uint8), bitorder="little"))
+    at, bit = some[bits >> 6], (bits & 63).astype(np.uint64)
+    number = np.zeros(len(at), dtype=np.int64)
+    for j, plane in enumerate(planes):
+        number |= (plane.reshape(-1)[at] >> bit & np.uint64(1)).astype(np.int64) << j
+    return at // width, at % width * 64 + (bits & 63), number
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,13 +483,12 @@ def rank_near(chunks: pa.Table, questions: Questions, bars: np.ndarray) -> tuple
     return chunks.column("chunk_id").combine_chunks(), found.settle()
 
 
-def before(question: np.ndarray, place: np.ndarray, score: np.ndarray, ids: pa.Array, bars: np.ndarray, bar_ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The entries that rank before their question's bar, a score and a chunk id (NULL: no bar); ``ids`` are sorted."""
+def places_before(ids: pa.Array, bar_ids: pa.Array) -> np.ndarray:
+    """How many of the sorted ``ids`` come before each bar's chunk id; all where it is NULL."""
     known = bar_ids.is_valid().to_numpy(zero_copy_only=False)
-    limit = np.full(len(bars), len(ids), dtype=np.int64)
-    limit[known] = np.searchsorted(ids.to_numpy(zero_copy_only=False), bar_ids.filter(bar_ids.is_valid()).to_numpy(zero_copy_only=False))
-    kept = (score > bars[question]) | (place < limit[question])
-    return question[kept], place[kept], score[kept]
+    places = np.full(len(bar_ids), len(ids), dtype=np.int64)
+    places[known] = np.searchsorted(ids.to_numpy(zero_copy_only=False), bar_ids.filter(bar_ids.is_valid()).to_numpy(zero_copy_only=False))
+    return places
 
 
 def compact(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -193,8 +193,9 @@ def _search(
     """
     complete = " AND ".join(f"{name} IS NOT NULL" for name in names)
     wanted = F.col(k) if isinstance(k, str) else F.lit(k)
-    q = stored(questions.select("query_id", wanted.cast("int").alias("k"), *names).filter(f"{complete} AND k > 0"), "questions")
-    c = stored(chunks.select("chunk_id", *names).filter(complete), "chunks")
+    # a filter before the write would compute vectors and words once more
+    q = stored(questions.select("query_id", wanted.cast("int").alias("k"), *names), "questions").filter(f"{complete} AND k > 0")
+    c = stored(chunks.select("chunk_id", *names), "chunks").filter(complete)
     query_id, chunk_id = q.schema["query_id"], c.schema["chunk_id"]
     lists = T.StructType(
         [T.StructField("bucket", T.LongType()), T.StructField("fragment", T.LongType()), query_id, T.StructField("ranker", T.StringType()),
@@ -324,44 +325,55 @@ def _near_lists(q: DataFrame, c: DataFrame, schema: T.StructType, depth: int, pa
     return near.unionByName(far), len(pivots)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``terms`` as one string ``joined``, which moves in a third of the space; a list that would not come back from it stays."""
+    joined = F.array_join("terms", nearest.WORD_END)
+    ends = F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(nearest.WORD_END), F.lit("")))
+    whole = ends == F.size("terms") - 1
+    return rows.withColumns({"joined": F.when(whole, joined), "terms": F.when(~whole, F.col("terms"))})
+
+
 def _word_lists(q: DataFrame, c: DataFrame, schema: T.StructType, depth: int, part_bytes: int, merged: Callable) -> tuple[DataFrame, int]:
     """Lists by shared words, and the number of fragments. The chunks are cut into fragments, one for every core at least, the
     questions into blocks; every block meets every fragment in a shuffle, and a task keeps the best per question.
 
-    The first fragments, about the root of their number, run ahead: the last entry of their merged list is the question's
-    bar, and later fragments list only what ranks before it."""
+    If the chunks fill several fragments, the first of them, the root of their number, run ahead: the last entry of their
+    merged list is the question's bar, and later fragments count and list only what ranks before it."""
     arrow = to_arrow_schema(schema)
     cores = q.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-(q.agg(F.sum(_bytes(q, ["terms"]))).first()[0] or 0) // (2 * part_bytes)))
-    fragments = max(cores, -(-(c.agg(F.sum(_bytes(c, ["terms"]))).first()[0] or 0) // (4 * part_bytes)))
-    ahead = min(fragments, max(cores, math.isqrt(fragments)))
+    least = max(1, -(-(q.agg(F.sum(_bytes(q, ["terms"]))).first()[0] or 0) // (2 * part_bytes)))
+    taken = F.lit(16) + F.octet_length(F.array_join("terms", "")) + 4 * F.size("terms")
+    full = -(-(c.agg(F.sum(taken.cast("long"))).first()[0] or 0) // (4 * part_bytes))
+    fragments = max(cores, full)
+    ahead = math.isqrt(fragments) if full > 1 else fragments
     bar_id = T.StructField("bar_id", c.schema["chunk_id"].dataType)
-    c = c.withColumn("fragment", F.pmod(F.xxhash64("chunk_id"), F.lit(fragments)))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    q, c = _packed(q), _packed(c).withColumn("fragment", F.pmod(F.xxhash64("chunk_id"), F.lit(fragments)))
 
     def rank_block(some_questions: pa.Table, some_chunks: pa.Table) -> pa.Table:
         if not some_questions.num_rows or not some_chunks.num_rows:
             return pa.Table.from_batches([], schema=arrow)
+        some_questions, some_chunks = nearest.unpacked(some_questions), nearest.unpacked(some_chunks)
         held = nearest.Questions.from_table(some_questions, depth)
         bars = some_questions.column("bar").combine_chunks().fill_null(0.0).to_numpy()
-        ids, best = nearest.rank_chunks(some_chunks, held, ["terms"], {"terms": np.maximum(bars - 0.5, 0.0)})
-        found = nearest.before(*best["terms"].lists(), ids, bars, some_questions.column("bar_id").combine_chunks())
+        ids, found = nearest.rank_chunks(some_chunks, held, bars, some_questions.column("bar_id").combine_chunks())
         return nearest.with_fragment(nearest.merged_rows(held.ids, ids, (*found, None), held.asked, "terms", pa.schema(list(arrow)[1:])), some_questions, arrow)
 
-    def lists(barred: DataFrame, condition: Column) -> DataFrame:
-        left = _spread(barred, "fragment", fragments).filter(condition)
-        right = _spread(c.filter(condition), "block", blocks)
+    def lists(barred: DataFrame, first: int, last: int) -> DataFrame:
+        blocks = max(least, -(-cores // (last - first)))
+        left = _spread(barred.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "fragment", last - first)
+        left = left.withColumn("fragment", F.col("fragment") + first)
+        right = _spread(c.filter(F.col("fragment").between(first, last - 1)), "block", blocks)
         keys = ["block", "fragment"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank_block, schema)
 
     none = q.select("*", F.lit(None).cast("double").alias("bar"), F.lit(None).cast(bar_id.dataType).alias("bar_id"))
-    first = merged(lists(none, F.col("fragment") < ahead), ahead, 1)
+    first = merged(lists(none, 0, ahead), ahead, 1)
     if ahead == fragments:
         return first.select(*schema.names), 1
     first = stored(first.select(*schema.names), "words")
     last = F.greatest("k", F.lit(depth))
     bars = first.select("query_id", F.try_element_at("scores", last).alias("bar"), F.try_element_at("chunk_ids", last).alias("bar_id"))
-    later = lists(q.join(bars, "query_id", "left"), F.col("fragment") >= ahead)
+    later = lists(q.join(bars, "query_id", "left"), ahead, fragments)
     return first.unionByName(later), fragments
 
 

@@ -228,6 +228,65 @@ def test_later_fragments_list_what_ranks_before_the_bar(spark):
     assert fragments > 60 and lists.agg(F.sum(F.size("scores"))).first()[0] < 20 * 6 * fragments / 2
 
 
+def ranked_words(chunks: list[list[str]], ids: list, asked: list[list[str]], keep: int) -> list[list[tuple[int, object]]]:
+    counted = [[(-len(set(words) & set(a)), i) for words, i in zip(chunks, ids)] for a in asked]
+    return [[(-n, i) for n, i in sorted(some)[:keep] if n] for some in counted]
+
+
+@pytest.mark.parametrize("settings", [{}, {"ROW_SHARE": 1}, {"ROW_SHARE": 10**9}, {"ROWS_BYTES": 500, "ROW_SHARE": 10**9}, {"BATCH_BYTES": 1}])
+@pytest.mark.parametrize("kind", ["string", "number"])
+def test_word_rows_give_the_same_lists_with_few_scores(monkeypatch, settings, kind):
+    for name, value in {"DENSE_ROWS": 40, "GROWTH": 3, "FIRST_ROWS": 16, **settings}.items():
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(9)
+    draw = lambda most: [f"w{x}" for x in np.unique((rng.pareto(0.7, rng.integers(0, most)) * 3).astype(int) % 400)]
+    chunks, asked = [draw(60) for _ in range(1500)], [*(draw(40) for _ in range(50)), ["nowhere"], [], ["w0"], [f"w{x}" for x in range(400)]]
+    ids = [f"c{i}" if kind == "string" else int(i) for i in rng.permutation(len(chunks))]
+    held = nearest.Questions.from_table(pa.table({"query_id": range(len(asked)), "k": pa.array([7] * len(asked), pa.int32()), "terms": pa.array(asked, pa.list_(pa.string()))}))
+    table = pa.table({"chunk_id": ids, "terms": pa.array(chunks, pa.list_(pa.string()))})
+    dense, scores = [], nearest.overlap_scores
+    monkeypatch.setattr(nearest, "overlap_scores", lambda held, batch: (dense.append(batch.num_rows), scores(held, batch))[1])
+
+    def lists(bars=None, bar_ids=None):
+        by_id, (question, place, score) = nearest.rank_chunks(table, held, bars, bar_ids)
+        return [list(zip(score[question == i].astype(int).tolist(), by_id.take(pa.array(place[question == i])).to_pylist())) for i in range(len(asked))]
+
+    wanted = ranked_words(chunks, ids, asked, 7)
+    assert lists() == wanted and sum(dense) == 40
+    last = [some[-1] if len(some) == 7 else (0, None) for some in wanted]
+    dense.clear()
+    barred = lists(np.array([float(n) for n, _ in last]), pa.array([i for _, i in last], table.schema.field("chunk_id").type))
+    assert barred == [some[:-1] if len(some) == 7 else some for some in wanted] and not dense
+
+
+def test_planes_of_bits_add_up():
+    rng = np.random.default_rng(0)
+    for count in range(12):
+        weights, rows = rng.integers(0, 3, count), rng.integers(0, 2, (count, 2, 130))
+        levels = []
+        for weight, row in zip(weights.tolist(), rows):
+            bits = np.zeros((2, 3), dtype=np.uint64)
+            nearest.set_bits(bits.reshape(-1), np.flatnonzero(np.pad(row, ((0, 0), (0, 62)))))
+            nearest.add_bits(levels, bits, weight)
+        total = (rows << weights[:, None, None]).sum(axis=0) if count else np.zeros((2, 130), dtype=int)
+        need = np.array([3, max(int(total.max()), 1)])
+        got = list(zip(*(x.tolist() for x in nearest.reaching(nearest.settled(levels), need, 3))))
+        assert got == [(i, j, total[i, j]) for i in range(2) for j in range(130) if total[i, j] >= need[i]]
+
+
+def test_words_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def terms(i):
+        seen.add(1)
+        return [f"w{i % 3}"]
+
+    c = spark.range(30).repartition(2).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"), terms("id").alias("terms"))
+    q = spark.createDataFrame([(1, [1.0, 1.0], ["w1"])], "query_id int, vector array<double>, terms array<string>")
+    assert rt.hybrid_chunks(q, c, 3).count() == 3 and seen.value == 30
+
+
 def test_requests_for_too_many_chunks_are_rejected(spark):
     rows = spark.createDataFrame([("a", "x", 5), ("b", "x", 10_000), ("c", " ", 5)], "query_id string, question string, num_results int")
     got = {r.query_id: (r.is_rejected, r.reject_reason) for r in rt.question_rows(rows.withColumn("prompt", F.lit(None).cast("string"))).collect()}

@@ -21,7 +21,7 @@ FIRST_ROWS = 128  # of the first slice of a task; the following ones double
 DENSE_ROWS = 512  # first chunks of a task without bars, scored against every question
 GROWTH = 6  # of the slices after them
 ROW_SHARE = 1024  # a word in one of so many chunks has a row of bits
-ROWS_BYTES = 64 << 20  # of all rows of bits in a task
+ROWS_BYTES = 32 << 20  # of all rows of bits in a task
 BATCH_BYTES = 64 << 10  # of one plane of the questions counted at a time
 WORD_END = "\x1f"  # between words that move as one string
 SET_SHARE = 0.005  # 64 words become one bit set while their squared shares of the questions add up to this
@@ -206,7 +206,7 @@ def rank_chunks(
     chunks = chunks.take(pc.sort_indices(chunks, [("chunk_id", "ascending")]))
     ids, lists, count = chunks.column("chunk_id").combine_chunks(), chunks.column("terms").combine_chunks(), len(questions.ids)
     bars = np.zeros(count) if bars is None else bars
-    best = Best(questions.keep, np.maximum(bars - 0.5, 0.0), count_steps)
+    best = Best(questions.keep, 0.0, count_steps)
     before = places_before(ids, bar_ids) if bar_ids is not None else np.full(count, len(ids))
     at = 0
     if not bars.any():
@@ -224,11 +224,10 @@ def rank_chunks(
         own = slice(*np.searchsorted(place, [at, end]))
         rows = WordRows(place[own] - at, word[own], end - at, len(asked.rank))
         parts, pending = [], 0
-        need = np.floor(best.bars).astype(np.int64) + 1
-        for question, found, score in rows.reach(asked, need):
-            kept = (score > bars[question]) | (found + at < before[question])
-            parts.append((question[kept], found[kept] + at, score[kept].astype(float)))
-            pending += int(kept.sum())
+        beaten = np.maximum(bars, best.bars)
+        for question, found, score in rows.reach(asked, beaten.astype(np.int64), np.where(best.bars < bars, before - at, 0)):
+            parts.append((question, found + at, score.astype(float)))
+            pending += len(question)
             if pending > CELLS // 4:
                 best.merge(*(np.concatenate(x) for x in zip(*parts)))
                 parts, pending = [], 0
@@ -293,26 +292,26 @@ class WordRows:
         self.places = listed & ((1 << shift) - 1)
         self.starts = np.concatenate([np.zeros(self.rows + 1, np.int64), np.cumsum(counts[self.rows :])])
 
-    def reach(self, asked: AskedWords, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(question, place, score) of all chunks that share at least ``need`` words, by question and place, some questions at
-        a time."""
+    def reach(self, asked: AskedWords, beaten: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(question, place, score) of all chunks that share more than ``beaten`` words, or as many and have a place below
+        ``before``, by question and place, some questions at a time."""
         length = np.diff(asked.offsets)
         owner = np.repeat(np.arange(len(length)), length)
         frequent = np.bincount(owner[asked.words < self.rows], minlength=len(length))
-        able = np.flatnonzero(length >= need)
+        able = np.flatnonzero(length >= beaten + (before <= 0))
         able = able[np.argsort(frequent[able], kind="stable")]
         size = max(1, BATCH_BYTES // (8 * self.width))
         for at in range(0, len(able), size):
             some = able[at : at + size]
             planes = self._planes(asked.words, asked.offsets[some], frequent[some], length[some])
-            own, place, score = reaching(planes, need[some], self.width)
+            own, place, score = reaching(planes, beaten[some], before[some], self.width)
             yield some[own], place, score
 
     def _planes(self, words: np.ndarray, starts: np.ndarray, frequent: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
         levels = []
         turn = np.arange(int(frequent.max(initial=0)))[:, None]
         for row in np.where(turn < frequent, words[np.minimum(starts + turn, len(words) - 1)], self.rows):
-            add_bits(levels, self.bits[row], 0)
+            add_bits(levels, self.bits.take(row, axis=0), 0)
         rare = length - frequent
         word = words[ranges(starts + frequent, rare)]
         sizes = self.starts[word + 1] - self.starts[word]
@@ -329,7 +328,8 @@ class WordRows:
 
 def set_bits(flat: np.ndarray, at: np.ndarray) -> None:
     """Set bits of an array of 64-bit numbers by their places, each named once."""
-    np.add.at(flat, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    for part in steps(len(at), 1):
+        np.add.at(flat, at[part] >> 6, np.uint64(1) << (at[part] & 63).astype(np.uint64))
 
 
 def add_bits(levels: list[list[np.ndarray]], row: np.ndarray, level: int) -> None:
@@ -362,18 +362,22 @@ def settled(levels: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [rows[0] if rows else np.zeros_like(levels[-1][0]) for rows in levels]
 
 
-def reaching(planes: list[np.ndarray], need: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, number) where the number whose bits are ``planes`` is at least the row's ``need``, which is positive."""
-    beaten = need - 1
-    above = np.zeros((len(need), width), dtype=np.uint64)
-    equal = np.where(beaten >> len(planes) == 0, ~np.uint64(0), np.uint64(0))[:, None] | above
+def reaching(planes: list[np.ndarray], beaten: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, number) where the number whose bits are ``planes`` is more than the row's ``beaten``, or the same at a place
+    below ``before``."""
+    every, none = ~np.uint64(0), np.uint64(0)
+    above = np.zeros((len(beaten), width), dtype=np.uint64)
+    equal = np.where(beaten >> len(planes) == 0, every, none)[:, None] | above
     for j in reversed(range(len(planes))):
-        bit = np.where(beaten >> j & 1 == 1, ~np.uint64(0), np.uint64(0))[:, None]
-        differs = planes[j] ^ bit
+        differs = planes[j] ^ np.where(beaten >> j & 1 == 1, every, none)[:, None]
         higher = equal & differs
         equal ^= higher
         higher &= planes[j]
         above |= higher
+    for row, end in zip(equal, np.clip(before, 0, 64 * width).tolist()):
+        row[end >> 6 : (end >> 6) + 1] &= np.uint64((1 << (end & 63)) - 1)
+        row[(end >> 6) + 1 :] = 0
+    above |= equal
     above = above.reshape(-1)
     some = np.flatnonzero(above)
     bits = np.flatnonzero(np.unpackbits(above[some].astype("<u8").view(np.uint8), bitorder="little"))

@@ -287,6 +287,26 @@ def test_words_are_computed_once(spark, tmp_path):
     assert rt.hybrid_chunks(q, c, 3).count() == 3 and seen.value == 30
 
 
+@pytest.mark.parametrize("part", [1 << 24, 40])
+def test_any_words_come_back_from_one_string(spark, part):
+    end = nearest.WORD_END
+    lists = [["a", "b"], [f"a{end}b"], [], [""], ["b", ""], ["b", f"{end}"], None, ["a", "b", "c"]]
+    kind = "vector array<double>, terms array<string>"
+    c = spark.createDataFrame([(i, [1.0], words) for i, words in enumerate(lists)], f"chunk_id long, {kind}")
+    q = spark.createDataFrame([(i, [1.0], words) for i, words in enumerate(lists)], f"query_id long, {kind}")
+    some = [(i, words) for i, words in enumerate(lists) if words is not None]
+    held = rt._packed(c.filter("terms IS NOT NULL")).orderBy("chunk_id").collect()
+    assert [r.joined is None for r in held] == [False, True, True, False, False, True, False]
+    wanted = set()
+    for i, words in some:
+        near = {j: 1 / (60 + k) for k, (j, _) in enumerate(some, 1)}
+        shared = sorted((-len(set(words) & set(other)), j) for j, other in some if set(words) & set(other))
+        for k, (_, j) in enumerate(shared, 1):
+            near[j] += 1 / (60 + k)
+        wanted |= {(i, j, k) for k, j in enumerate(sorted(near, key=lambda j: (-round(near[j], 12), j)), 1)}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in rt.hybrid_chunks(q, c, 8, depth=8, part_bytes=part).collect()} == wanted
+
+
 def test_requests_for_too_many_chunks_are_rejected(spark):
     rows = spark.createDataFrame([("a", "x", 5), ("b", "x", 10_000), ("c", " ", 5)], "query_id string, question string, num_results int")
     got = {r.query_id: (r.is_rejected, r.reject_reason) for r in rt.question_rows(rows.withColumn("prompt", F.lit(None).cast("string"))).collect()}

@@ -173,8 +173,13 @@ class Best:
 
     def merge(self, question: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
         """Entries that enter, of later places than the kept ones, each question's by place."""
-        self.sorts += 1
         touched = np.flatnonzero(np.bincount(question))
+        if len(touched) > 1 and len(question) + self.keep[touched].sum() > CELLS // 2:
+            first = question < touched[len(touched) // 2]
+            for half in (first, ~first):
+                self.merge(question[half], place[half], score[half])
+            return
+        self.sorts += 1
         slots = ranges(self.starts[touched], self.keep[touched])
         filled = self.places[slots] >= 0
         slots, owner = slots[filled], np.repeat(touched, self.keep[touched])[filled]

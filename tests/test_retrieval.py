@@ -161,6 +161,20 @@ def test_slices_without_an_entry_sort_nothing():
     assert (question.tolist(), place.tolist(), score.tolist()) == ([0, 0, 1], [0, 4, 0], [0.5, 0.45, 0.9])
 
 
+def test_large_merges_go_by_parts_of_the_questions(monkeypatch):
+    rng = np.random.default_rng(5)
+    keep, slices = rng.integers(1, 9, 40), rng.integers(0, 4, (3, 30, 40)).astype(float)
+    lists = []
+    for cells in (nearest.CELLS, 60):
+        monkeypatch.setattr(nearest, "CELLS", cells)
+        best = nearest.Best(keep, 0.0, nearest.count_steps)
+        for i, scores in enumerate(slices):
+            best.add(scores, 30 * i)
+        lists.append([x.tolist() for x in best.lists()])
+        assert (best.sorts > 3) == (cells == 60)
+    assert lists[0] == lists[1]
+
+
 def test_lists_of_many_fragments_merge_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(rt, "MERGE_FAN", 2)
     rng = np.random.default_rng(6)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -262,6 +264,40 @@ def test_valid_spec_has_no_violation(spark):
     assert {r.rule for r in governance.audit_contracts(bare, columns, defaults={}).collect()} == {"missing_property"}
 
 
+def test_spec_audit_of_odd_rows(spark):
+    """Specifications without a key or named twice, names without text or of other case, repeated rows and tags."""
+    specs = [{**VALID, "spec_id": k} for k in (1, 1, 2, 2, None, None, 3)]
+    tables = spark.createDataFrame([tuple(s.values()) for s in specs], SPEC)
+    columns = spark.createDataFrame(
+        [(1, "a", "", None), (1, "a", "", None), (1, "A", "STRING", "x"), (3, None, " ", "x"), (3, "b", "STRING", "x"), (4, "c", "STRING", "x"), (4, " ", None, "x")], COLUMN
+    )
+    full = {"pii": "sim", "classificacao": "interno"}
+    tags = spark.createDataFrame([(1, "a", full), (1, "A", full), (2, "x", {"pii": "sim"}), (2, "X", None), (3, None, full), (None, "c", full)], TAG)
+    got = Counter(map(tuple, governance.audit_specs(tables, columns, tags).collect()))
+    assert got == Counter(
+        {
+            (1, "blank_column_type", "a"): 2, (1, "blank_column_comment", "a"): 2, (1, "duplicate_column", "a"): 1,
+            (2, "no_columns", ""): 2, (2, "tags_of_unknown_column", "x"): 1,
+            (2, "missing_column_tags", "x:classificacao"): 1, (2, "missing_column_tags", "x:classificacao,pii"): 1,
+            (None, "no_columns", ""): 2, (None, "tags_of_unknown_column", "c"): 1,
+            (3, "blank_column_name", ""): 1, (3, "blank_column_type", None): 1, (3, "column_without_tags", "b"): 1,
+            (4, "blank_column_name", ""): 1, (4, "blank_column_type", " "): 1, (4, "column_without_tags", " "): 1, (4, "column_without_tags", "c"): 1,
+        }
+    )
+    assert governance.audit_specs(tables.limit(0), columns.limit(0), tags.limit(0)).count() == 0
+
+
+def test_spec_audit_shuffles_counts_only(spark):
+    """Only counts are grouped, and no explode reads its rows from a lambda, which would be interpreted."""
+    tables = spark.createDataFrame([tuple(VALID.values())], SPEC)
+    columns = spark.createDataFrame([(1, "nome", "STRING", "Nome")], COLUMN)
+    tags = spark.createDataFrame([(1, "nome", {"pii": "sim"})], TAG)
+    plan = governance.audit_specs(tables, columns, tags)._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(shuffles) == 2 and not any("rule" in s or "detail" in s for s in shuffles)
+    assert plan.count("Generate explode(") == 5 and "Generate explode(filter(" not in plan
+
+
 def test_masking_depends_on_the_caller(spark):
     df = spark.createDataFrame([("Maria 1", "x@y.z")], "nome string, email string")
     tags = {"nome": {"mascaramento": "mascarado"}, "email": {"mascaramento": "aberto"}}

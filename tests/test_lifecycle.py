@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -62,6 +64,70 @@ def test_rollback_reasons(spark):
     assert "Rollback executado de new para old" in {r.message for r in logged}
 
 
+def test_governance_rows_of_odd_requests(spark):
+    """Requests that come twice, without a target, without a model, for a target that is not allowed or of other case; the newest
+    inactive version is the active one itself, so the second holds."""
+    history = deployments(
+        spark,
+        [
+            ("v1", "hml", "INACTIVE", False, 1), ("v2", "hml", "INACTIVE", False, 2), ("v3", "hml", "DEPLOYED_HML", True, 3), ("v3", "hml", "INACTIVE", False, 4),
+            (None, "hml", "INACTIVE", False, 5), ("v1", None, "DEPLOYED_HML", True, 6), ("v1", "dev", "DEPLOYED_DEV", True, 1), ("v2", "dev", "INACTIVE", False, 2),
+            ("v9", "prd", "DEPLOYED_PRD", True, 1), ("v8", "prd", "INACTIVE", False, 1),
+        ],
+    )
+    known = registry(spark, [("v3", "TRAINED", "p", 1), ("v3", "TRAINED", "q", 2), (None, "TRAINED", "p", 1)])
+    asked = requests(spark, ("m", "hml", "g1"), ("m", "hml", "g1"), ("m", None, "g2"), (None, "hml", "g3"), ("m", "dev", "g4"), ("m", "HML", "g5"), ("m", "prd", None))
+    plan = lc.rollback_plan(asked, history, known)
+    assert plan.columns == [
+        "model_name", "from_version", "target_env", "run_id", "to_version", "to_artifact_path", "to_source_env", "to_run_id", "reason",
+    ]
+    refused = {r.run_id: r for r in plan.collect() if r.reason == "INVALID_TARGET"}
+    assert sorted(refused) == ["g4", "g5"] and (refused["g4"].from_version, refused["g4"].to_version, refused["g4"].to_run_id) == ("v1", "v2", "run-v2")
+    rows = lc.rollback_governance_events(plan)
+    assert rows.columns == ["component", "model_name", "target_env", "run_id", "step", "status", "model_version", "source_env", "artifact_path", "message"]
+    got = Counter(tuple(r)[1:] for r in rows.collect())
+    started = ("STARTED", None, None, None, "Rollback iniciado")
+    done = ("SUCCESS", "v2", "dev", "path/v2", "Rollback executado de v3 para v2")
+    assert got == Counter(
+        {
+            ("m", "hml", "g1", 1, *started): 2, ("m", "hml", "g1", 2, *done): 2,
+            ("m", None, "g2", 1, *started): 1, ("m", None, "g2", 2, "ERROR", None, None, None, "ValueError: NO_ACTIVE_DEPLOYMENT"): 1,
+            (None, "hml", "g3", 1, *started): 1, (None, "hml", "g3", 2, "ERROR", None, None, None, "ValueError: NO_ACTIVE_DEPLOYMENT"): 1,
+            ("m", "prd", None, 1, *started): 1, ("m", "prd", None, 2, "ERROR", None, None, None, "ValueError: NOT_IN_REGISTRY"): 1,
+        }
+    )
+
+
+def test_candidate_is_another_version_with_all_its_columns(spark):
+    history = deployments(spark, [("v1", "hml", "INACTIVE", False, 1), ("v2", "hml", "INACTIVE", False, 2), ("v7", "prd", "INACTIVE", False, 1)])
+    asked = spark.createDataFrame(
+        [("m", "hml", "v2"), ("m", "hml", "v2"), ("m", "hml", "v1"), ("m", "hml", "x"), ("m", "hml", None), ("m", "prd", "v7"), ("m", None, "v1")],
+        "model_name string, target_env string, current_model_version string",
+    )
+    found = lc.rollback_candidates(asked, history)
+    assert found.columns == ["model_name", "target_env", *[c for c in history.columns if c not in lc.MODEL_ENV], "current_model_version"]
+    got = sorted((r.current_model_version, r.model_version, r.artifact_path, r.run_id, r.deployment_status, r.env, r.notes) for r in found.collect())
+    assert got == [
+        ("v1", "v2", "path/v2", "run-v2", "INACTIVE", "dev", None), ("v2", "v1", "path/v1", "run-v1", "INACTIVE", "dev", None), ("x", "v2", "path/v2", "run-v2", "INACTIVE", "dev", None),
+    ]
+
+
+def test_governance_rows_read_only_what_they_need(spark, tmp_path):
+    """Targets that are not allowed and columns that are not selected are gone before anything is shuffled."""
+    deployments(spark, [("v1", "hml", "INACTIVE", False, 1)]).write.parquet(str(tmp_path / "deployments"))
+    registry(spark, [("v1", "TRAINED", "p", 1)]).write.parquet(str(tmp_path / "registry"))
+    requests(spark, ("m", "hml", "g1")).write.parquet(str(tmp_path / "requests"))
+    asked, history, known = (spark.read.parquet(str(tmp_path / name)) for name in ("requests", "deployments", "registry"))
+    rows = lc.rollback_governance_events(lc.rollback_plan(asked, history, known)).select("run_id", "step", "status", "model_version", "message")
+    lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = {i: set(re.findall(r"(\w+)#", line.partition("[")[2].partition("]")[0])) for i, line in enumerate(lines) if "FileScan" in line}
+    events = [c for c in scans.values() if "event_timestamp" in c]
+    assert len(scans) == 4 and len(events) == 3 and {"model_name", "model_version", "event_timestamp"} in events
+    assert not any(c & {"artifact_path", "source_env", "algorithm"} for c in scans.values())
+    for i, columns in scans.items():
+        assert ("target_env" in columns) == any("Filter" in line and "IN (hml,prd)" in line for line in lines[i - 2 : i])
+
+
 def test_events_of_stored_decisions_need_no_second_fold(spark, tmp_path):
     history = deployments(
         spark, [("old", "hml", "DEPLOYED_HML", True, 1), ("old", "hml", "INACTIVE", False, 2), ("new", "hml", "DEPLOYED_HML", True, 3), ("only", "prd", "DEPLOYED_PRD", True, 1)]

@@ -157,11 +157,12 @@ def delivery_outcomes(alerts: DataFrame, deliveries: DataFrame, keys: Sequence[s
     otherwise, NO_CHANNEL if no channel was planned; other events pass through. Each channel counts with
     its newest attempt.
     """
-    attempt = F.struct("delivered_at", "delivery_status", "delivery_error")
-    per_channel = deliveries.groupBy(*keys, "channel").agg(F.max(attempt).alias("last"))
-    error = F.nullif(F.col("last.delivery_error"), F.lit(""))
+    # Rows of plain columns: the newest attempt as a struct takes more bytes in the shuffle.
+    attempts = deliveries.select(*keys, "channel", "delivered_at", "delivery_status", "delivery_error")
+    per_channel = latest_by(attempts, [*keys, "channel"], newest("delivered_at", "delivery_status", "delivery_error"))
+    error = F.nullif(F.col("delivery_error"), F.lit(""))
     folded = per_channel.groupBy(*keys).agg(
-        F.max(F.coalesce(F.col("last.delivery_status") == "FAILED", F.lit(False))).alias("__failed"),
+        F.max(F.coalesce(F.col("delivery_status") == "FAILED", F.lit(False))).alias("__failed"),
         F.collect_set("channel").alias("__delivered"),
         F.sort_array(F.collect_list(F.when(error.isNotNull(), F.struct("channel", error.alias("e"))))).alias("__list"),
     )

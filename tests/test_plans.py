@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from lakeops.operators import clean, datasets, governance
-from lakeops.operators.alerts import AlertingConfig, alerts_with_status, apply_alert_rules
+from lakeops.operators.alerts import AlertingConfig, alerts_with_status, apply_alert_rules, delivery_outcomes
 from lakeops.operators.drift import prediction_drift
 from lakeops.operators.events import event_rows, newest
 from lakeops.operators.policy import Policy
@@ -244,6 +244,43 @@ def test_texts_of_a_batch_move_once(spark, tmp_path, monkeypatch):
     assert plan.count("Exchange hashpartitioning(") == 1 and "Join" not in plan
 
 
+DELIVERY = "a string, b string, channel string, delivered_at int, delivery_status string, delivery_error string"
+
+
+def test_outcomes_of_odd_deliveries(spark):
+    """Keys and channels without a value, attempts that come twice or at the same time, without time, status or error, and
+    alerts that come twice or already have an error."""
+    alerts = spark.createDataFrame(
+        [("x", None, "PLANNED", "old"), ("x", None, "PLANNED", "old"), (None, None, "PLANNED", None), ("y", "1", "SKIPPED", "old"), ("z", "1", "PLANNED", "old"), ("u", "1", "PLANNED", "old"), ("v", "1", "PLANNED", None), ("w", "1", None, "old")],
+        "a string, b string, notification_status string, notification_error string",
+    )
+    deliveries = spark.createDataFrame(
+        [
+            ("x", None, "slack", 1, "FAILED", "s1"), ("x", None, "slack", 2, "DELIVERED", None), ("x", None, "slack", 2, "FAILED", "s2"), ("x", None, "slack", 2, "FAILED", "s2"),
+            ("x", None, "email", None, "DELIVERED", None), ("x", None, "email", 0, "FAILED", "e0"), ("x", None, None, 1, None, "n1"), ("x", None, "teams", 5, "FAILED", ""),
+            (None, None, "slack", 1, "FAILED", None), (None, None, "slack", 1, "FAILED", "late"), ("y", "1", "slack", 1, "FAILED", "y"),
+            ("u", "1", "slack", 3, "DELIVERED", None), ("u", "1", "slack", 2, "FAILED", "u"), ("v", "1", None, None, None, None), ("w", "1", "slack", 1, "FAILED", "w"), ("q", "1", "slack", 1, "FAILED", "q"),
+        ],
+        DELIVERY,
+    )
+    got = sorted(map(str, map(tuple, delivery_outcomes(alerts, deliveries, ["a", "b"]).collect())))
+    expected = [
+        ("x", None, "FAILED", "n1 | e0 | s2"), ("x", None, "FAILED", "n1 | e0 | s2"), (None, None, "FAILED", "late"), ("y", "1", "SKIPPED", "old"),
+        ("z", "1", "PLANNED", "old"), ("u", "1", "SENT", None), ("v", "1", "SENT", None), ("w", "1", None, "old"),
+    ]
+    assert got == sorted(map(str, expected))
+
+
+def test_outcomes_shuffle_attempts_as_plain_columns(spark):
+    """The newest attempt per channel is taken before its shuffle, and not as a struct."""
+    alerts = spark.createDataFrame([("x", "1", "PLANNED")], "a string, b string, notification_status string")
+    deliveries = spark.createDataFrame([("x", "1", "slack", 1, "FAILED", "s", "more")], f"{DELIVERY}, answer string")
+    lines = delivery_outcomes(alerts, deliveries, ["a", "b"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(" in line and "channel#" in line]
+    assert "WindowGroupLimit" in lines[at + 1] and "Partial" in lines[at + 1]
+    assert not any("max(struct(" in line for line in lines) and "answer#" not in "".join(lines[: at + 4])
+
+
 VALID = {
     "spec_id": 1, "catalog_name": None, "schema_name": "clientes_silver", "table_name": "tb_cliente", "table_description": "Tabela",
     "table_properties": governance.DEFAULT_PROPERTIES, "table_tags": {"descricao_tabela": "Tabela", "sla": "N/A"}, "using_format": "delta",
